@@ -194,6 +194,17 @@ class _TextPass:
         return self.df, self.text, _findings(self.items)
 
 
+def _settled(df: DataFrame, keep: Sequence[str], **results: Column) -> DataFrame:
+    """The kept columns and the results of a fold, closed against filter pushdown.
+
+    A filter on a result would be pushed through every projection of the fold,
+    and each would copy its expression several times: exponential in the number
+    of rules.  A one-element ``inline`` stops that and still lets filters on the
+    kept columns through to the scan.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in results.items())))))
+
+
 def evaluate_texts(df: DataFrame, policy: Policy, *, path: Column | None, text: Column, target: Column,
                    key: Sequence[str] = (), detectors: Sequence = (), symbol_files: bool = False):
     """Run the text pass; gives (frame, final text, findings). NULL texts are skipped."""
@@ -235,9 +246,8 @@ def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text:
         df = df.withColumn("findings", F.concat(F.col(_P + "path_findings"), found))
         df = df.withColumn("disposition", F.when(has_action(F.col("findings"), BLOCK), BLOCKED)
                            .when(final != F.col(text), WRITE_SANITIZED_TEXT).otherwise(COPY_ORIGINAL))
-        return df.select(*files.columns, "disposition",
-                         F.when(F.col("disposition") == WRITE_SANITIZED_TEXT, final).alias("sanitized_text"),
-                         "findings")
+        return _settled(df, files.columns, disposition=F.col("disposition"), sanitized_text=F.when(
+            F.col("disposition") == WRITE_SANITIZED_TEXT, final), findings=F.col("findings"))
 
     if not policy.has_symbol_rules:
         return run(staged, False)
@@ -259,8 +269,7 @@ def evaluate_prompts(prompts: DataFrame, policy: Policy, *, text: str = "text",
     first = F.col(text) if interesting is None else F.when(interesting, F.col(text))
     df, final, found = evaluate_texts(prompts, policy, path=None, text=first, target=target, detectors=plugged)
     final = F.coalesce(final, F.col(text))
-    return df.select(*prompts.columns, final.alias("sanitized_text"),
-                     (final != F.col(text)).alias("was_redacted"), found.alias("findings"))
+    return _settled(df, prompts.columns, sanitized_text=final, was_redacted=final != F.col(text), findings=found)
 
 
 def all_findings(prompts: DataFrame, files: DataFrame, *, request: str = "request_id") -> DataFrame:
