@@ -146,7 +146,7 @@ def p4_rule_matches(spark, sf_dir):
 @query
 def p5_path_findings(spark, sf_dir):
     files = I.files(spark, sf_dir)
-    return files.withColumn("findings", rules.path_findings(F.col("path"), F.col("path"), I.FILES_POLICY)).select(
+    return files.withColumn("findings", rules.path_findings(F.col("path"), "path", I.FILES_POLICY)).select(
         "path", I.finding_lines().alias("findings"))
 
 
@@ -231,7 +231,7 @@ def t6_redact_secrets(spark, sf_dir):
         F.sha2(S.redact_secrets(text, found, "REDACT", "<$secret>"), 256).alias("redacted"),
         F.sha2(S.redact_secrets(text, found, "SUMMARIZE", ""), 256).alias("summarized"),
         F.sha2(S.redact_secrets(text, found, "BLOCK", ""), 256).alias("blocked"),
-        F.when(found > 0, S.secret_message(found, "CONFIRM")).alias("message"))
+        F.when(found > 0, F.expr(S.secret_message("found", "CONFIRM"))).alias("message"))
 
 
 @query
@@ -294,7 +294,7 @@ def conversation_request(spark, sf_dir):
     turns = I.turns(spark, sf_dir)
     opening = F.col("turn") == 0
     prompts = turns.filter(opening).select(F.col("conv_id").alias("request_id"), F.col("role").alias("source_label"), "text")
-    name = F.concat(F.lit("turns/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
+    name = F.concat(F.lit("turns/"), F.col("request_id").cast("string"), F.lit("/"), F.col("turn").cast("string"),
                     F.when(F.col("role") == "system", ".jks").otherwise(".txt"))
     files = tables.files_from_table(turns.filter(~opening).withColumnRenamed("conv_id", "request_id"), name, "text",
                                     carry=("request_id", "turn"))
@@ -340,7 +340,7 @@ def stored_manifest(files: DataFrame) -> DataFrame:
         "root", path.alias("source_path"), F.when(d % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
         "mtime_ms", F.when(d % 5 == 0, rules.WRITE_SANITIZED_TEXT).otherwise(rules.COPY_ORIGINAL).alias("disposition"),
         F.when(d % 5 == 0, F.concat(F.lit("stored "), d.cast("string"))).alias("sanitized_text"),
-        F.array(rules.finding(F.col("path"), REDACT, rules.POLICY_RULE, "stored", "earlier")).alias("findings"))
+        F.array(F.expr(rules.finding("path", REDACT, rules.POLICY_RULE, "'stored'", "earlier"))).alias("findings"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -69,14 +70,84 @@ def _literal(char: str) -> str:
     return char if char.isalnum() or char in "/_" else "\\" + char
 
 
+def required_literal(pattern: str) -> str:
+    """Longest run of plain characters that every match contains, ``''`` if unknown.
+
+    Groups and classes are stepped over; anything unusual gives ``''``.
+    """
+    runs, run, i = [""], "", 0
+
+    def after_class(at: int) -> int:
+        body = re.compile(r"\[\^?\]?(?:\\.|[^\]\[\\&])*\]").match(pattern, at)
+        return body.end() if body else -1
+
+    def after_group(at: int) -> int:
+        depth = 0
+        while at < len(pattern):
+            c = pattern[at]
+            if c == "\\":
+                at += 1
+            elif c == "[":
+                at = after_class(at) - 1
+                if at < 0:
+                    return -1
+            elif c in "()":
+                depth += 1 if c == "(" else -1
+                if depth == 0:
+                    return at + 1
+            at += 1
+        return -1
+
+    if re.search(r"\\[QE1-9k]|\(\?[^:]", pattern):
+        return ""
+    while i < len(pattern):
+        c, char = pattern[i], ""
+        if c in "|{}*+?)]":
+            return ""
+        if c in "([":
+            i = after_group(i) if c == "(" else after_class(i)
+            if i < 0:
+                return ""
+        elif c == "\\":
+            if i + 1 == len(pattern):
+                return ""
+            char = "" if pattern[i + 1].isalnum() else pattern[i + 1]
+            if pattern[i + 1] in "pPxuN":
+                return ""
+            i += 2
+        else:
+            char = "" if c in "^$." else c
+            i += 1
+        quantifier = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})[?+]?").match(pattern, i)
+        if quantifier:
+            i = quantifier.end()
+            run += char if quantifier.group().startswith("+") else ""
+        else:
+            run += char
+        if quantifier or not char:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len)
+
+
+def found(text: Column, pattern: str) -> Column:
+    """``rlike`` behind a byte search for a literal that every match contains.
+
+    Most texts match no rule; the byte search rejects them at a fraction of the
+    cost of a regex scan.
+    """
+    literal = required_literal(pattern)
+    return text.contains(literal) & text.rlike(pattern) if literal else text.rlike(pattern)
+
+
 def any_regex(col: Column, patterns) -> Column:
     """True if any pattern is found; NULL input gives false."""
-    found = reduce(or_, (col.rlike(p) for p in patterns), F.lit(False))
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(reduce(or_, (found(col, p) for p in patterns), F.lit(False)), F.lit(False))
 
 
 def glob_match(path: Column, globs) -> Column:
-    return any_regex(path, [glob_to_regex(g) for g in globs])
+    """Whole-path match of any glob."""
+    return F.coalesce(reduce(or_, (path.rlike(glob_to_regex(g)) for g in globs), F.lit(False)), F.lit(False))
 
 
 def path_regex_match(path: Column, patterns) -> Column:

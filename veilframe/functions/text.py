@@ -36,6 +36,11 @@ def quote_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def sql_string(value: str) -> str:
+    """A string literal for SQL expressions."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def redact_content(text: Column, patterns, replacement: str) -> Column:
     """Replace every pattern in order; ``$1`` and ``\\`` work in the replacement."""
     return reduce(lambda t, p: F.regexp_replace(t, F.lit(p), F.lit(replacement)), patterns, text)

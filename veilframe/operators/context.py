@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import is_sanitizable_line
 from ..policy import BLOCK, CONFIRM, Policy
+from ..sources.scratch import written
 from .rules import BLOCKED, evaluate_prompts, has_action
 
 CONTEXT_HEAD = "These cleaned files may be read for more context:"
@@ -23,30 +24,33 @@ def context_lines(prompts: DataFrame, files: DataFrame, *, request: str = "reque
 
     In order of section and ord: 0 the base prompt, 1 a blank line and the
     heading, 2 one line per allowed file, 3 a blank line and the closing note.
-    Without files only the base prompt remains.  A request with any number of
-    files stays spread over the cluster.
+    Without files only the base prompt remains.  ``files`` are the attachments
+    of the given prompts' requests and ``position`` numbers them.
+
+    Every file also brings the heading and the note of its request; duplicates
+    of these fall to the partial aggregation.  So files are evaluated once, and
+    a request with any number of them stays spread over the cluster.
     """
-    listed = files.filter(F.col("disposition") != BLOCKED) \
-        .join(prompts.select(request), request, "left_semi")
-    base = prompts.select(request, F.lit(0).alias("section"), F.lit(0).cast("long").alias("ord"),
-                          F.col("sanitized_text").alias("content"))
-    frame = listed.select(request).distinct().select(request, F.explode(F.array(
-        F.struct(F.lit(1).alias("section"), F.lit("\n" + CONTEXT_HEAD).alias("content")),
-        F.struct(F.lit(3).alias("section"), F.lit("\n" + CONTEXT_TAIL).alias("content")))).alias("l")) \
-        .select(request, "l.section", F.lit(0).cast("long").alias("ord"), "l.content")
-    names = listed.select(request, F.lit(2).alias("section"), F.col(position).cast("long").alias("ord"),
-                          F.concat(F.lit("- "), path).alias("content"))
-    return base.unionByName(frame).unionByName(names)
+    def block(section: int, ord_: Column, content: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), ord_.cast("long").alias("ord"), content.alias("content"))
+
+    base = prompts.select(request, block(0, F.lit(0), F.col("sanitized_text")).alias("b"))
+    listed = files.filter(F.col("disposition") != BLOCKED).select(request, F.explode(F.array(
+        block(1, F.lit(0), F.lit("\n" + CONTEXT_HEAD)),
+        block(2, F.col(position), F.concat(F.lit("- "), path)),
+        block(3, F.lit(0), F.lit("\n" + CONTEXT_TAIL)))).alias("b"))
+    return base.select(request, "b.*").unionByName(listed.select(request, "b.*").distinct())
 
 
 def assemble_context(prompts: DataFrame, files: DataFrame, *, request: str = "request_id", path: str = "path",
                      position: str = "position", max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
     """One prompt text per request that fits a cell; ``prompt`` is NULL for larger ones.
 
-    Sizes are summed up first and larger requests are not gathered: write them
-    from ``context_lines``, which holds every request whole.
+    The blocks are written to the shared folder first, as they are read twice:
+    to sum up sizes, and to gather the requests that fit.  Larger requests are
+    not gathered: write them from ``context_lines``, which holds each one whole.
     """
-    blocks = context_lines(prompts, files, request=request, path=path, position=position)
+    blocks = written(context_lines(prompts, files, request=request, path=path, position=position), "context")
     sizes = blocks.groupBy(request).agg(F.sum(F.length("content") + 1).alias("chars"))
     fitting = sizes.filter(F.col("chars") <= max_chars)
     texts = blocks.join(fitting.select(request), request, "left_semi").groupBy(request).agg(

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import extract_spans, is_blank, redact_values, summary_of_detector
-from ..policy import BLOCK, CONFIRM, REDACT, SUMMARIZE, Policy
+from ..policy import ALLOW, REDACT, SUMMARIZE, Policy
 
 # Detector ids and the JSON each of them writes.
 PRIVACY_FILTER, GITLEAKS = "privacy-filter", "gitleaks"
@@ -119,34 +119,27 @@ def register_detector(detector_id: str, fn: Callable[[pd.Series], pd.DataFrame],
 
 
 def apply_detector(df: DataFrame, detector: Detector, replacement: str = "<redacted>", *,
-                   text: str = "text", target: Column | None = None) -> DataFrame:
+                   text: str = "text", target: str = "CAST(NULL AS STRING)") -> DataFrame:
     """One detector stage on its own: adds sanitized_text, detector_finding, detector_status.
 
-    ``detector_finding`` is NULL where nothing was found or changed.  A missing
-    or unreadable detector output shows in ``detector_status``; it never looks
-    like a clean text.
+    ``target`` is SQL.  ``detector_finding`` is NULL where nothing was found or
+    changed.  A missing or unreadable detector output shows in
+    ``detector_status``; it never looks like a clean text.
     """
-    from .rules import TEXT_SANITIZER_BACKEND, finding
+    from .rules import FINDING_TYPE, TEXT_SANITIZER_BACKEND, detector_message, finding
 
-    target = F.lit(None).cast("string") if target is None else target
-    staged = df.withColumn("_result", detector.result(F.col(text)))
     result, source = F.col("_result"), F.col(text)
-    found = F.coalesce(source.isNotNull() & (result["redacted_text"].isNotNull()
-                                             | (F.size(result["matched_values"]) > 0)), F.lit(False))
-    verb = {BLOCK: "Detected sensitive text via", CONFIRM: "Detected sensitive text via",
-            REDACT: "Redacted sensitive text via", SUMMARIZE: "Summarized content via"}.get(detector.action)
-    if detector.action == REDACT:
-        changed = F.coalesce(result["redacted_text"], redact_values(source, result["matched_values"], replacement))
-    elif detector.action == SUMMARIZE:
-        changed = summary_of_detector(detector.id)
-    else:
-        changed = source
-    staged = staged.withColumn("_found", found).withColumn(
+    present = F.coalesce(source.isNotNull() & (result["redacted_text"].isNotNull()
+                                               | (F.size(result["matched_values"]) > 0)), F.lit(False))
+    changed = {REDACT: F.coalesce(result["redacted_text"], redact_values(source, result["matched_values"], replacement)),
+               SUMMARIZE: summary_of_detector(detector.id)}.get(detector.action, source)
+    staged = df.withColumn("_result", detector.result(source)).withColumn("_found", present).withColumn(
         "sanitized_text", F.when(F.col("_found"), changed).otherwise(source))
-    reported = F.col("_found") if detector.action != REDACT else F.col("_found") & (F.col("sanitized_text") != source)
-    entry = finding(target, detector.action, TEXT_SANITIZER_BACKEND,
-                    F.coalesce(result["summary"], F.lit(f"{verb} {detector.id}")), detector.id)
-    return staged.withColumn("detector_finding", F.when(reported, entry) if verb else F.lit(None)) \
+    reported = F.col("_found") & F.lit(detector.action != ALLOW)
+    if detector.action == REDACT:
+        reported = reported & (F.col("sanitized_text") != source)
+    entry = finding(target, detector.action, TEXT_SANITIZER_BACKEND, detector_message("_result", detector), detector.id)
+    return staged.withColumn("detector_finding", F.when(reported, F.expr(entry)).cast(FINDING_TYPE)) \
         .withColumn("detector_status", result["status"]).drop("_result", "_found")
 
 

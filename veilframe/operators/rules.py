@@ -7,17 +7,15 @@ except for Kotlin files under symbol rules (see ``operators.symbols``).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import secrets as S
-from ..functions.match import any_regex, path_condition, rule_matches
-from ..functions.text import redact_content, redact_values, replace_ranges, summary_of_detector, summary_of_rule
-from ..policy import BLOCK, CONFIRM, REDACT, SUMMARIZE, Policy, Rule
+from ..functions.match import path_condition, rule_matches
+from ..functions.text import (redact_content, redact_values, replace_ranges, sql_string, summary_of_detector,
+                              summary_of_rule)
+from ..policy import ALLOW, BLOCK, CONFIRM, REDACT, SUMMARIZE, Policy, Rule
 from .symbols import with_symbol_ranges
 
 FINDING_TYPE = "struct<target:string,action:string,source:string,message:string,rule_id:string>"
@@ -34,59 +32,50 @@ BLOCKED = "BLOCKED"
 _P = "_vf_"
 
 
-def finding(target: Column, action: str, source: str, message, rule_id: str | None) -> Column:
-    message = message if isinstance(message, Column) else F.lit(message)
-    return F.struct(
-        target.alias("target"), F.lit(action).alias("action"), F.lit(source).alias("source"),
-        message.alias("message"), F.lit(rule_id).cast("string").alias("rule_id"))
+def finding(target: str, action: str, source: str, message: str, rule_id: str | None) -> str:
+    """SQL of a finding; target and message are SQL expressions.
 
+    A policy has many findings with five fields each: SQL text is parsed by
+    Spark in one step, where Column calls would cost ten round trips.
+    """
+    rule = "CAST(NULL AS STRING)" if rule_id is None else sql_string(rule_id)
+    return (f"named_struct('target', {target}, 'action', {sql_string(action)}, 'source', {sql_string(source)}, "
+            f"'message', {message}, 'rule_id', {rule})")
+
+
+def rule_message(rule: Rule) -> str:
+    verb = {REDACT: "Redacted content using", SUMMARIZE: "Summarized content using"}.get(rule.action, "Matched")
+    return sql_string(f"{verb} rule {rule.id}")
 
-def _findings(items: Sequence[Column]) -> Column:
-    """Array of the non-null findings, in order."""
+
+def _findings(items: Sequence[tuple[str, str]]) -> Column:
+    """Array of the findings whose condition (a column name) holds, in order."""
     if not items:
         return F.array().cast(FINDINGS_TYPE)
-    return F.array_compact(F.array(*items)).cast(FINDINGS_TYPE)
+    cases = ", ".join(f"CASE WHEN `{hit}` THEN {entry} END" for hit, entry in items)
+    return F.expr(f"CAST(array_compact(array({cases})) AS {FINDINGS_TYPE})")
 
 
-def path_findings(path: Column, target: Column, policy: Policy) -> Column:
-    """BLOCK and CONFIRM findings of the rules that look at paths only."""
-    return _findings([
-        F.when(path_condition(rule.match, path),
-               finding(target, rule.action, POLICY_RULE, f"Matched rule {rule.id}", rule.id))
-        for rule in policy.rules
-        if rule.match.path_only and rule.action in (BLOCK, CONFIRM)])
+def path_findings(path: Column, target: str, policy: Policy) -> Column:
+    """BLOCK and CONFIRM findings of the rules that look at paths only; target is SQL."""
+    items = [F.when(path_condition(rule.match, path),
+                    F.expr(finding(target, rule.action, POLICY_RULE, rule_message(rule), rule.id)))
+             for rule in policy.rules if rule.match.path_only and rule.action in (BLOCK, CONFIRM)]
+    return (F.array_compact(F.array(*items)) if items else F.array()).cast(FINDINGS_TYPE)
 
 
 def has_action(findings: Column, action: str) -> Column:
     return F.exists(findings, lambda f: f["action"] == action)
 
 
-# Patterns with back references or named groups cannot share one alternation.
-_NOT_COMBINABLE = re.compile(r"\\[1-9]|\\k<|\(\?<[A-Za-z]|\\Q")
-
-
-def _prefilter(policy: Policy, path: Column | None, text: Column, detectors) -> Column | None:
-    """True for every text that any step could touch, None if that is unknown.
+class _TextPass:
+    """The fold over one frame: rules, then secrets, then plugged detectors.
 
-    All steps up to the first change see the original text, so a row where
-    nothing matches the original is unchanged and without findings.
+    Flags are collected until a text changes, so a policy costs one projection
+    per text version, and rules that change nothing cost none of their own.
     """
-    patterns = [p for rule in policy.rules for p in rule.match.content_regex]
-    if policy.detectors.secrets.enabled:
-        patterns.extend(S.SECRET_PATTERNS)
-    if detectors or any(_NOT_COMBINABLE.search(p) for p in patterns):
-        return None
-    checks = [c for rule in policy.rules if rule.match.path_only
-              for c in [path_condition(rule.match, path)]]
-    if patterns:
-        checks.append(any_regex(text, ["|".join(f"(?:{p})" for p in patterns)]))
-    return reduce(or_, checks, F.lit(False))
-
 
-class _TextPass:
-    """The fold over one frame: rules, then secrets, then plugged detectors."""
-
-    def __init__(self, df: DataFrame, policy: Policy, path: Column | None, target: Column, first_text: Column):
+    def __init__(self, df: DataFrame, policy: Policy, path: Column | None, target: str, first_text: Column):
         self.df = df.withColumn(_P + "text0", first_text)
         self.policy, self.path, self.target = policy, path, target
         self.text, self.pending, self.items, self.version = F.col(_P + "text0"), {}, [], 0
@@ -100,48 +89,49 @@ class _TextPass:
             self.df = self.df.withColumns(self.pending)
             self.pending = {}
 
-    def flag(self, condition: Column) -> Column:
+    def flag(self, condition: Column) -> str:
         """Remember a condition on the current text; evaluated with the next flush."""
         name = self._name("hit")
         self.pending[name] = F.coalesce(condition, F.lit(False))
-        return F.col(name)
+        return name
 
-    def replace(self, hit: Column, changed: Column) -> Column:
-        """Move to the next text version; returns the previous text."""
+    def extend(self, kind: str, value: Column) -> str:
+        """Add a column that later conditions of this pass refer to."""
         self._flush()
-        before, name = self.text, self._name("text")
-        self.df = self.df.withColumn(name, F.when(hit, changed).otherwise(before))
-        self.text = F.col(name)
+        name = self._name(kind)
+        self.df = self.df.withColumn(name, value)
+        return name
+
+    def replace(self, hit: str, changed: Column) -> Column:
+        """Move to the next text version; returns the previous text."""
+        before = self.text
+        self.text = F.col(self.extend("text", F.when(F.col(hit), changed).otherwise(before)))
         return before
 
-    def report(self, hit: Column, action: str, source: str, message, rule_id: str | None):
-        self.items.append(F.when(hit, finding(self.target, action, source, message, rule_id)))
+    def report(self, hit: str, action: str, source: str, message: str, rule_id: str | None):
+        self.items.append((hit, finding(self.target, action, source, message, rule_id)))
 
     def rule(self, rule: Rule, ranges: Column | None):
-        present = self.text.isNotNull()
         found = None if ranges is None else F.size(ranges) > 0
-        hit = self.flag(present & rule_matches(rule.match, self.path, self.text, found))
-        if rule.action in (BLOCK, CONFIRM):
-            self.report(hit, rule.action, POLICY_RULE, f"Matched rule {rule.id}", rule.id)
-        elif rule.action == SUMMARIZE:
+        hit = self.flag(self.text.isNotNull() & rule_matches(rule.match, self.path, self.text, found))
+        if rule.action == SUMMARIZE:
             self.replace(hit, summary_of_rule(rule.id))
-            self.report(hit, SUMMARIZE, POLICY_RULE, f"Summarized content using rule {rule.id}", rule.id)
         elif rule.action == REDACT:
             replacement = self.policy.replacement_of(rule)
             if ranges is not None:
-                changed = replace_ranges(self.text, F.transform(ranges, lambda r: F.struct(
-                    r["start"].alias("start"), r["end"].alias("end"),
-                    F.concat(F.lit(replacement + " // "), r["description"]).alias("replacement"))))
+                changed = replace_ranges(self.text, described_ranges(ranges, replacement))
             elif rule.match.content_regex:
                 changed = redact_content(self.text, rule.match.content_regex, replacement)
             else:
                 changed = F.lit(replacement)
             before = self.replace(hit, changed)
-            self.report(self.flag(hit & (self.text != before)), REDACT, POLICY_RULE,
-                        f"Redacted content using rule {rule.id}", rule.id)
+            hit = self.flag(F.col(hit) & (self.text != before))
+        self.report(hit, rule.action, POLICY_RULE, rule_message(rule), rule.id)
 
     def rules(self, symbol_files: bool, key: Sequence[str]):
         for rule in self.policy.rules:
+            if rule.action == ALLOW:
+                continue  # neither a finding nor a change
             ranges = None
             if rule.match.kotlin is not None:
                 if not symbol_files:
@@ -154,46 +144,49 @@ class _TextPass:
 
     def secrets(self):
         toggle = self.policy.detectors.secrets
-        if not toggle.enabled or toggle.action not in (BLOCK, CONFIRM, REDACT, SUMMARIZE):
+        if not toggle.enabled or toggle.action == ALLOW:
             return
-        name = self._name("secrets")
-        self._flush()
-        self.df = self.df.withColumn(name, S.count_secrets(self.text))
-        found = F.col(name)
-        self.replace(found > 0, S.redact_secrets(
-            self.text, found, toggle.action, self.policy.redact_replacement))
-        self.report(found > 0, toggle.action, SECRET_DETECTOR, S.secret_message(found, toggle.action), None)
+        count = self.extend("secrets", S.count_secrets(self.text))
+        hit = self.flag(F.col(count) > 0)
+        if toggle.action in (REDACT, SUMMARIZE):
+            self.replace(hit, S.redact_secrets(self.text, F.col(count), toggle.action, self.policy.redact_replacement))
+        self.report(hit, toggle.action, SECRET_DETECTOR, S.secret_message(f"`{count}`", toggle.action), None)
 
     def detector(self, detector):
         """A plugged detector; its result refers to the text as it is now."""
-        self._flush()
-        name = self._name("detected")
-        self.df = self.df.withColumn(name, detector.result(self.text))
+        if detector.action == ALLOW:
+            return
+        name = self.extend("detected", detector.result(self.text))
         result = F.col(name)
-        present = F.coalesce(self.text.isNotNull() & (
-            result["redacted_text"].isNotNull() | (F.size(result["matched_values"]) > 0)), F.lit(False))
-
-        def message(default: str) -> Column:
-            return F.coalesce(result["summary"], F.lit(default))
-
-        if detector.action in (BLOCK, CONFIRM):
-            self.report(present, detector.action, TEXT_SANITIZER_BACKEND,
-                        message(f"Detected sensitive text via {detector.id}"), detector.id)
-        elif detector.action == REDACT:
-            before = self.replace(present, F.coalesce(result["redacted_text"], redact_values(
+        hit = self.flag(self.text.isNotNull() & (
+            result["redacted_text"].isNotNull() | (F.size(result["matched_values"]) > 0)))
+        if detector.action == REDACT:
+            before = self.replace(hit, F.coalesce(result["redacted_text"], redact_values(
                 self.text, result["matched_values"], self.policy.redact_replacement)))
-            self.report(self.flag(present & (self.text != before)), REDACT, TEXT_SANITIZER_BACKEND,
-                        message(f"Redacted sensitive text via {detector.id}"), detector.id)
+            hit = self.flag(F.col(hit) & (self.text != before))
         elif detector.action == SUMMARIZE:
-            self.replace(present, summary_of_detector(detector.id))
-            self.report(present, SUMMARIZE, TEXT_SANITIZER_BACKEND,
-                        message(f"Summarized content via {detector.id}"), detector.id)
+            self.replace(hit, summary_of_detector(detector.id))
+        self.report(hit, detector.action, TEXT_SANITIZER_BACKEND, detector_message(name, detector), detector.id)
 
     def finish(self) -> tuple[DataFrame, Column, Column]:
         self._flush()
         return self.df, self.text, _findings(self.items)
 
 
+def described_ranges(ranges: Column, replacement: str) -> Column:
+    """Symbol ranges with their replacement, which names what was there."""
+    return F.transform(ranges, lambda r: F.struct(
+        r["start"].alias("start"), r["end"].alias("end"),
+        F.concat(F.lit(replacement + " // "), r["description"]).alias("replacement")))
+
+
+def detector_message(result: str, detector) -> str:
+    """SQL of a detector finding's message: its summary, else a default per action."""
+    verb = {REDACT: "Redacted sensitive text via", SUMMARIZE: "Summarized content via"}.get(
+        detector.action, "Detected sensitive text via")
+    return f"coalesce(`{result}`.summary, {sql_string(f'{verb} {detector.id}')})"
+
+
 def _settled(df: DataFrame, keep: Sequence[str], **results: Column) -> DataFrame:
     """The kept columns and the results of a fold, closed against filter pushdown.
 
@@ -205,7 +198,7 @@ def _settled(df: DataFrame, keep: Sequence[str], **results: Column) -> DataFrame
     return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in results.items())))))
 
 
-def evaluate_texts(df: DataFrame, policy: Policy, *, path: Column | None, text: Column, target: Column,
+def evaluate_texts(df: DataFrame, policy: Policy, *, path: Column | None, text: Column, target: str,
                    key: Sequence[str] = (), detectors: Sequence = (), symbol_files: bool = False):
     """Run the text pass; gives (frame, final text, findings). NULL texts are skipped."""
     run = _TextPass(df, policy, path, target, text)
@@ -227,22 +220,16 @@ def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text:
     where it differs from the original) and ``findings``.
     """
     target = F.col(path) if target is None else target
-    plugged = [d for d in detectors if d.enabled(policy)]
     # The dispositions of path rules come first: a blocked path ends the
     # evaluation, its text is not looked at.
-    staged = files.withColumns({
-        _P + "path_findings": path_findings(F.col(path), target, policy)})
+    staged = files.withColumn(_P + "target", target).withColumn(
+        _P + "path_findings", path_findings(F.col(path), _P + "target", policy))
     blocked = has_action(F.col(_P + "path_findings"), BLOCK)
 
     def run(df: DataFrame, symbol_files: bool) -> DataFrame:
-        wanted = ~F.col(_P + "blocked")
-        interesting = None if symbol_files else _prefilter(policy, F.col(path), F.col(text), plugged)
-        if interesting is not None:
-            wanted = wanted & interesting
         df, final, found = evaluate_texts(
-            df.withColumn(_P + "blocked", blocked), policy, path=F.col(path),
-            text=F.when(wanted, F.col(text)), target=target, key=key,
-            detectors=plugged, symbol_files=symbol_files)
+            df, policy, path=F.col(path), text=F.when(~blocked, F.col(text)), target=_P + "target", key=key,
+            detectors=detectors, symbol_files=symbol_files)
         df = df.withColumn("findings", F.concat(F.col(_P + "path_findings"), found))
         df = df.withColumn("disposition", F.when(has_action(F.col("findings"), BLOCK), BLOCKED)
                            .when(final != F.col(text), WRITE_SANITIZED_TEXT).otherwise(COPY_ORIGINAL))
@@ -264,11 +251,8 @@ def evaluate_prompts(prompts: DataFrame, policy: Policy, *, text: str = "text",
     Adds ``sanitized_text`` (always set), ``was_redacted`` and ``findings``.
     """
     target = F.concat(F.lit("prompt:"), F.col(label))
-    plugged = [d for d in detectors if d.enabled(policy)]
-    interesting = _prefilter(policy, None, F.col(text), plugged)
-    first = F.col(text) if interesting is None else F.when(interesting, F.col(text))
-    df, final, found = evaluate_texts(prompts, policy, path=None, text=first, target=target, detectors=plugged)
-    final = F.coalesce(final, F.col(text))
+    df, final, found = evaluate_texts(prompts.withColumn(_P + "target", target), policy, path=None, text=F.col(text),
+                                      target=_P + "target", detectors=detectors)
     return _settled(df, prompts.columns, sanitized_text=final, was_redacted=final != F.col(text), findings=found)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import BLANK_CLASS, replace_ranges, trimmed
+from ..functions.text import BLANK_CLASS, let, replace_ranges, trimmed
 from ..policy import SymbolCriteria
 
 # The declaration syntax that is recognised.
@@ -272,17 +272,32 @@ def with_symbol_ranges(df: DataFrame, criteria: SymbolCriteria, key: Sequence[st
         F.col("is_target").alias("is_range"))
     # A target on line 0 carries the row as well as its range.
     found = found.withColumn("_row", F.when(~F.col("is_range"), F.col("_row")))
-    w = Window.partitionBy(*key, "is_range").orderBy("start", "line")
+    w = Window.partitionBy(*key).orderBy("start", "line")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)
-    islands = found.withColumn("_reach", reach).withColumn("_island", F.sum(opens).over(w))
-    described = F.array_sort(F.collect_list(F.when(F.col("is_range"), F.struct("start", "line", "description"))))
-    merged = islands.groupBy(*key, "is_range", "_island").agg(
-        F.first("_row", True).alias("_row"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.array_join(F.transform(described, lambda d: d["description"]), ", ").alias("description"))
-    ranges = F.array_sort(F.collect_list(F.when(F.col("is_range"), F.struct("start", "end", "description"))))
-    return merged.groupBy(*key).agg(F.first("_row", True).alias("_row"), ranges.alias(name)) \
-        .select("_row.*", F.col(name).cast(RANGES_TYPE).alias(name))
+    islands = found.withColumn("_reach", reach).withColumn("island", F.sum(opens).over(w))
+    ranges = F.array_sort(F.collect_list(F.when(F.col("is_range"), F.struct(
+        "start", "line", "end", "description", "island"))))
+    return islands.groupBy(*key).agg(F.first("_row", True).alias("_row"), ranges.alias("_ranges")) \
+        .select("_row.*", let(F.col("_ranges"), _merged_islands).cast(RANGES_TYPE).alias(name))
+
+
+def _merged_islands(ranges: Column) -> Column:
+    """One range per island of an array sorted by start; linear in its length."""
+    last = F.size(ranges) - 1
+    opening = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (
+        F.get(ranges, i)["island"] != F.get(ranges, i - 1)["island"]))
+
+    def merged(at: Column) -> Column:
+        def one(first: Column, n: Column) -> Column:
+            upto = F.coalesce(F.get(at, n + 1), last + 1)
+            return let(F.slice(ranges, first + 1, upto - first), lambda part: F.struct(
+                F.element_at(part, 1)["start"].alias("start"), F.array_max(part["end"]).alias("end"),
+                F.array_join(part["description"], ", ").alias("description")))
+
+        return F.transform(at, one)
+
+    return F.when(F.size(ranges) == 0, F.array().cast(RANGES_TYPE)).otherwise(let(opening, merged))
 
 
 def redact_kotlin(files: DataFrame, criteria: SymbolCriteria, replacement: str, *,
@@ -291,6 +306,5 @@ def redact_kotlin(files: DataFrame, criteria: SymbolCriteria, replacement: str,
     sources = files.filter(F.col(path).endswith(".kt"))
     ranged = with_symbol_ranges(sources, criteria, key, F.col(text), "_ranges")
     replaced = replace_ranges(F.col(text), F.transform("_ranges", lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"),
-        F.concat(F.lit(replacement + " // "), r["description"]).alias("replacement"))))
+        r["start"].alias("start"), r["end"].alias("end"), F.concat(F.lit(replacement + " // "), r["description"]).alias("replacement"))))
     return ranged.withColumn("redacted_text", replaced).drop("_ranges")

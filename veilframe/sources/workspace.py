@@ -100,7 +100,7 @@ def read_workspace(spark: SparkSession, root: str, skip_dirs=SKIPPED_DIRECTORIES
     probe a manifest.
     """
     spark.dataSource.register(WorkspaceDataSource)
-    slices = slices or 8 * spark.sparkContext.defaultParallelism
+    slices = slices or 2 * spark.sparkContext.defaultParallelism
     return (spark.read.format("workspace").option("slices", str(slices)).option("skip", ",".join(skip_dirs))
             .option("content", "true" if content else "false").load(os.path.abspath(root)))
 
