@@ -278,8 +278,9 @@ def with_symbol_ranges(df: DataFrame, criteria: SymbolCriteria, key: Sequence[st
     islands = found.withColumn("_reach", reach).withColumn("island", F.sum(opens).over(w))
     ranges = F.array_sort(F.collect_list(F.when(F.col("is_range"), F.struct(
         "start", "line", "end", "description", "island"))))
+    # The key columns come from the grouping, which keeps the partitioning known.
     return islands.groupBy(*key).agg(F.first("_row", True).alias("_row"), ranges.alias("_ranges")) \
-        .select("_row.*", let(F.col("_ranges"), _merged_islands).cast(RANGES_TYPE).alias(name))
+        .select(*(F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in columns), let(F.col("_ranges"), _merged_islands).cast(RANGES_TYPE).alias(name))
 
 
 def _merged_islands(ranges: Column) -> Column:
