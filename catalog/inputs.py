@@ -125,7 +125,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = text.when(shape == i, s)
     path = F.concat(F.lit("app/"), F.regexp_replace("p_brand", "#", ""), F.lit("/P"), k,
                     F.when(F.col("p_partkey") % 7 == 6, ".kts").otherwise(".kt"))
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"), "p_partkey")
     return files_from_table(parts, path, text, carry=("p_partkey",))
 
 

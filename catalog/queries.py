@@ -11,7 +11,7 @@ from veilframe.functions import match, paths as P, secrets as S, text as T
 from veilframe.operators import audit, context, detectors as D, mapping, reuse, rollups, rules, symbols
 from veilframe.policy import REDACT, Toggle, policy_fingerprint
 from veilframe.sources import manifest as M, tables
-from veilframe.sources.scratch import new_folder
+from veilframe.sources.scratch import new_folder, written
 from veilframe.sources.workspace import read_workspace
 from veilframe.streaming import lines, sync
 
@@ -529,7 +529,7 @@ def w5_number_externals(spark, sf_dir):
 @query
 def k1_top_findings(spark, sf_dir):
     items = evaluated(spark, sf_dir).withColumn("root", F.concat(F.lit("/w/"), F.regexp_extract("path", "^[^/]+/[^/]+", 0)))
-    found = rules.explode_findings(items, "root", "path")
+    found = written(rules.explode_findings(items, "root", "path"), "findings")
     return rollups.top_findings(found, 10).withColumn("rank", F.col("rank").cast("long"))
 
 

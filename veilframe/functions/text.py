@@ -65,7 +65,7 @@ def replace_ranges(text: Column, ranges: Column) -> Column:
     the cost is linear in the text however many ranges there are.  Overlapping
     ranges are applied one by one, highest start first.
     """
-    ordered = F.array_sort(ranges)
+    ordered = F.sort_array(ranges)
 
     def overlaps(rs: Column) -> Column:
         return F.exists(
@@ -99,7 +99,7 @@ def redact_values(text: Column, values: Column, replacement: str) -> Column:
     Values of one length keep the order of their first occurrence.
     """
     kept = F.array_distinct(F.filter(values, lambda v: ~is_blank(v)))
-    ranked = F.array_sort(F.transform(kept, lambda v, i: F.struct(
+    ranked = F.sort_array(F.transform(kept, lambda v, i: F.struct(
         (-F.length(v)).alias("rank"), i.alias("ord"), v.alias("value"))))
     redacted = F.aggregate(ranked, text, lambda t, r: F.replace(t, r["value"], F.lit(replacement)))
     return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, redacted).otherwise(text)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.match import is_sanitizable_line
 from ..policy import BLOCK, CONFIRM, Policy
 from ..sources.scratch import written
+from .joins import spread_join
 from .rules import BLOCKED, evaluate_prompts, has_action
 
 CONTEXT_HEAD = "These cleaned files may be read for more context:"
@@ -53,8 +54,8 @@ def assemble_context(prompts: DataFrame, files: DataFrame, *, request: str = "re
     blocks = written(context_lines(prompts, files, request=request, path=path, position=position), "context")
     sizes = blocks.groupBy(request).agg(F.sum(F.length("content") + 1).alias("chars"))
     fitting = sizes.filter(F.col("chars") <= max_chars)
-    texts = blocks.join(fitting.select(request), request, "left_semi").groupBy(request).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "content"))),
+    texts = spread_join(blocks, fitting.select(request), [request], "left_semi", ["section", "ord"]).groupBy(request).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "ord", "content"))),
                                  lambda b: b["content"]), "\n").alias("prompt"))
     return sizes.join(texts, request, "left")
 

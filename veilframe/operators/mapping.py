@@ -1,8 +1,9 @@
 """Joins along path prefixes: includes, staged paths, nearest policy, numbering.
 
 Prefix conditions are turned into equality joins by exploding the ancestors of
-a path (bounded by its depth).  No side is broadcast by hint: adaptive execution
-does so by measured size, and otherwise splits a hot ancestor's partition.
+a path (bounded by its depth).  Every path looks up its top directories, so these
+keys are hot by nature: the joins are salted.  No side is broadcast by hint;
+adaptive execution does so by measured size.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.paths import absolute_chain, file_name, path_depth, safe_name
+from .joins import spread_join
 from .reuse import covered_by
 
 # Kinds of mapping entries by precedence, policy file names.
@@ -41,7 +43,7 @@ def map_paths(paths: DataFrame, mapping: DataFrame, workspace_root: str) -> Data
     rank = F.when(F.col("kind") == PROJECT, 0).when(F.col("kind") == DIRECTORY, 1).otherwise(2)
     probes = paths.select("session", "path").distinct() \
         .withColumn("from_path", F.explode(absolute_chain(F.col("path"))))
-    best = probes.join(mapping, ["session", "from_path"], "left") \
+    best = spread_join(probes, mapping, ["session", "from_path"], "left", ["path"]) \
         .withColumn("hit", F.when(F.col("kind").isNotNull() & (~exact_only | (F.col("from_path") == F.col("path"))),
                                   F.struct(rank.alias("rank"), "ord", "from_path", "to_path"))) \
         .groupBy("session", "path").agg(F.min("hit").alias("hit"))
@@ -72,7 +74,7 @@ def nearest_policy(directories: DataFrame, policies: DataFrame, *, names=POLICY_
         .select("ancestor", F.col("_best.path").alias("policy_path"))
     probes = wanted.select("directory").distinct() \
         .withColumn("ancestor", F.explode(absolute_chain(F.col("directory"))))
-    nearest = probes.join(located, "ancestor", "inner").groupBy("directory").agg(
+    nearest = spread_join(probes, located, ["ancestor"], "inner", ["directory"]).groupBy("directory").agg(
         F.max(F.struct(path_depth(F.col("ancestor")).alias("depth"), "policy_path")).alias("_near")) \
         .select("directory", F.col("_near.policy_path").alias("found"))
     return wanted.join(nearest, "directory", "left").select(

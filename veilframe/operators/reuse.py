@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import absolute_chain
 from ..policy import Policy, policy_fingerprint
+from .joins import spread_join
 from .rules import apply_policy
 
 MANIFEST_VERSION = 1
@@ -28,23 +29,24 @@ def probe_manifest(files: DataFrame, manifest: DataFrame, fingerprint: str) -> D
 
 
 def reuse_decisions(files: DataFrame, manifest: DataFrame, policy: Policy, *,
-                    detectors: Sequence = ()) -> DataFrame:
+                    carry: Sequence[str] = (), detectors: Sequence = ()) -> DataFrame:
     """Decision per file: replayed where path, policy, size and mtime are unchanged.
 
-    Files need root, source_path, path, text, size, mtime_ms.  Hits are a join
+    Files need root, source_path, path, text, size, mtime_ms; ``carry`` names
+    further narrow columns to keep.  Hits are a join
     of narrow keys with the manifest and never read a text.  Only the texts of
     the misses are evaluated; in the usual incremental run these are few, and
     adaptive execution then broadcasts their keys by measured size.
     """
     valid = valid_entries(manifest, policy_fingerprint(policy))
-    keys = files.select(*DECISION_KEY)
+    keys = files.select(*DECISION_KEY, *carry)
     stored = valid.select(*DECISION_KEY, "disposition", "sanitized_text", "findings")
     hits = keys.join(stored, list(DECISION_KEY), "inner").withColumn("cache_hit", F.lit(True))
-    miss_keys = keys.join(valid.select(*DECISION_KEY), list(DECISION_KEY), "left_anti")
+    miss_keys = files.select(*DECISION_KEY).join(valid.select(*DECISION_KEY), list(DECISION_KEY), "left_anti")
     misses = apply_policy(files.join(miss_keys, list(DECISION_KEY), "left_semi"), policy,
                           key=("root", "path"), detectors=detectors)
     return hits.unionByName(misses.select(
-        *DECISION_KEY, "disposition", "sanitized_text", "findings", F.lit(False).alias("cache_hit")))
+        *DECISION_KEY, *carry, "disposition", "sanitized_text", "findings", F.lit(False).alias("cache_hit")))
 
 
 def removed_paths(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -57,11 +59,10 @@ def covered_by(paths: DataFrame, directories: DataFrame, key: Sequence[str], pat
 
     Every path is looked up by its ancestors, so this is an equality join and
     its work grows with path depth, never with the number of directories.
-    Parents are deduplicated first: many files of one directory count once.
     """
     probes = paths.select(*key, path).distinct().withColumn("directory", F.explode(absolute_chain(F.col(path))))
-    return probes.join(directories.select(*key, "directory").distinct(), [*key, "directory"], "left_semi") \
-        .select(*key, path).distinct()
+    known = directories.select(*key, "directory").distinct()
+    return spread_join(probes, known, [*key, "directory"], "left_semi", [path]).select(*key, path).distinct()
 
 
 def invalidate_prefix(manifest: DataFrame, removed: DataFrame) -> DataFrame:

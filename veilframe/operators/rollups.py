@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import directory_chain, parent_directory
 from ..policy import ALLOW, BLOCK, CONFIRM
+from .joins import spread_join
 from .rules import BLOCKED, COPY_ORIGINAL, SECRET_DETECTOR, TEXT_SANITIZER_BACKEND, WRITE_SANITIZED_TEXT
 
 PASS, GATE_BLOCKED, APPROVAL = 0, 3, 4
@@ -82,7 +83,7 @@ def safe_subtrees(rollup: DataFrame) -> DataFrame:
     safe = rollup.filter("fully_safe")
     parent = safe.select("root", F.col("directory").alias("_parent"))
     candidates = safe.withColumn("_parent", F.when(F.col("directory") != "", parent_directory(F.col("directory"))))
-    return candidates.join(parent, ["root", "_parent"], "left_anti").drop("_parent")
+    return spread_join(candidates, parent, ["root", "_parent"], "left_anti", ["directory"]).drop("_parent")
 
 
 def finding_label() -> Column:
@@ -115,13 +116,12 @@ def top_findings(findings: DataFrame, k: int = 10, path: str = "path") -> DataFr
 
     Needs root, path, finding_ord and the finding columns.  The rank filter is
     applied before the shuffle already (at most k rows per root and task), and
-    totals are a separate partial aggregation.
+    totals are a separate partial aggregation.  Findings are read twice, so pass
+    a stored table.
     """
     notable = findings.filter(F.col("action") != ALLOW)
     order = Window.partitionBy("root").orderBy(F.split(F.col(path), "/"), "finding_ord")
     shown = notable.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    totals = findings.groupBy("root").agg(F.count(F.lit(1)).alias("_all"))
-    count = notable.groupBy("root").agg(F.count(F.lit(1)).alias("_notable"))
-    more = totals.join(count, "root").select(
-        "root", (F.col("_all") - F.least("_notable", F.lit(k))).alias("more"))
+    more = findings.groupBy("root").agg((F.count(F.lit(1)) - F.least(
+        F.count_if(F.col("action") != ALLOW), F.lit(k))).alias("more"))
     return shown.join(more, "root").select("root", "rank", path, "action", finding_label().alias("label"), "more")

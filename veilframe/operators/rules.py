@@ -16,7 +16,7 @@ from ..functions.match import path_condition, rule_matches
 from ..functions.text import (redact_content, redact_values, replace_ranges, sql_string, summary_of_detector,
                               summary_of_rule)
 from ..policy import ALLOW, BLOCK, CONFIRM, REDACT, SUMMARIZE, Policy, Rule
-from .symbols import with_symbol_ranges
+from .symbols import may_match, with_symbol_ranges
 
 FINDING_TYPE = "struct<target:string,action:string,source:string,message:string,rule_id:string>"
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
@@ -238,12 +238,28 @@ def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text:
 
     if not policy.has_symbol_rules:
         return run(staged, False)
-    # Symbol rules see Kotlin files only.  The split is a filter on the path,
-    # which goes down to the scan, so no text is evaluated twice.
-    kotlin = F.coalesce(F.col(path).endswith(".kt") & F.col(text).isNotNull(), F.lit(False))
+    # Symbol rules see Kotlin files only, and of these only the ones that they
+    # may match are shuffled.  The split is a filter on input columns, which
+    # goes down to the scan, so no text is evaluated twice.
+    kotlin = F.coalesce(F.col(path).endswith(".kt") & _symbol_candidates(policy, F.col(text)), F.lit(False))
     return run(staged.filter(~kotlin), False).unionByName(run(staged.filter(kotlin), True))
 
 
+def _symbol_candidates(policy: Policy, text: Column) -> Column:
+    """Superset of the texts that some symbol rule matches, from the original text.
+
+    Symbol rules see the output of earlier rules.  If one of these may change
+    texts, nothing is known about what the symbol rule will see.
+    """
+    candidates, changed = F.lit(False), False
+    for rule in policy.rules:
+        if rule.match.kotlin is not None:
+            candidates = candidates | (F.lit(True) if changed else may_match(text, rule.match.kotlin))
+        elif rule.action in (REDACT, SUMMARIZE):
+            changed = True
+    return candidates & text.isNotNull()
+
+
 def evaluate_prompts(prompts: DataFrame, policy: Policy, *, text: str = "text",
                      label: str = "source_label", detectors: Sequence = ()) -> DataFrame:
     """Evaluate prompts: no path, so rules with path or symbol criteria never match.

@@ -11,6 +11,8 @@ of the file.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,10 +47,25 @@ def package_matches(text: Column, criteria: SymbolCriteria) -> Column:
         return F.lit(True)
     name = package_name(text)
     checks = [(name == p) | name.startswith(p + ".") for p in criteria.packages]
-    gate = checks[0]
-    for check in checks[1:]:
-        gate = gate | check
-    return F.coalesce(gate, F.lit(False))
+    return F.coalesce(reduce(or_, checks), F.lit(False))
+
+
+def may_match(text: Column, criteria: SymbolCriteria) -> Column:
+    """The package gate, and some wanted name occurs in the text at all.
+
+    A match needs a declared name or an annotation's short name in the text, so
+    files without any of them need not be split into lines.
+    """
+    gate = package_matches(text, criteria)
+    if criteria.whole_file:
+        return gate
+    names = {*criteria.classes, *criteria.functions, *(_short(a) for a in criteria.annotations)}
+    mentioned = reduce(or_, (text.contains(name) for name in sorted(names)))
+    return F.coalesce(mentioned, F.lit(False)) & gate
+
+
+def _short(name: str) -> str:
+    return name.rsplit(".", 1)[-1]
 
 
 def source_lines(files: DataFrame, key: Sequence[str], text: Column | str = "text") -> DataFrame:
@@ -121,7 +138,7 @@ def annotation_groups(lines: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def _targets(lines: DataFrame, criteria: SymbolCriteria, key: Sequence[str]) -> DataFrame:
     """Adds ``is_target``: a declaration matched by name or by a pending annotation."""
-    short = [a.rsplit(".", 1)[-1] for a in criteria.annotations]
+    short = [_short(a) for a in criteria.annotations]
     wanted = (F.col("kind") == ANNOTATION) & F.col("name").isin(short) if short else F.lit(False)
     annotated = F.last(F.when(wanted, F.col("line")), True).over(_before(key)) >= F.col("group_start")
     by_name = (((F.col("kind") == CLASS) & F.col("name").isin(list(criteria.classes)))
@@ -218,7 +235,7 @@ def _declarations(lines: DataFrame, criteria: SymbolCriteria, key: Sequence[str]
 def kotlin_symbols(files: DataFrame, criteria: SymbolCriteria, *, key: Sequence[str] = ("root", "path"),
                    path: str = "path", text: str = "text") -> DataFrame:
     """Matched declarations: key, kind, name, first and last line, start and end offset."""
-    sources = files.filter(F.col(path).endswith(".kt") & package_matches(F.col(text), criteria))
+    sources = files.filter(F.col(path).endswith(".kt") & may_match(F.col(text), criteria))
     if criteria.whole_file:
         name = F.coalesce(package_name(F.col(text)), F.lit("<unknown>"))
         return sources.select(*key, F.lit("package").alias("kind"), name.alias("name"),
@@ -239,7 +256,7 @@ def merge_ranges(ranges: DataFrame, key: Sequence[str]) -> DataFrame:
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)
     numbered = ranges.withColumn("_reach", reach).withColumn("_island", F.sum(opens).over(w))
-    described = F.array_sort(F.collect_list(F.struct("start", "line", "description")))
+    described = F.sort_array(F.collect_list(F.struct("start", "line", "description")))
     return numbered.groupBy(*key, "_island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.array_join(F.transform(described, lambda d: d["description"]), ", ").alias("description")) \
@@ -253,7 +270,7 @@ def with_symbol_ranges(df: DataFrame, criteria: SymbolCriteria, key: Sequence[st
     The row itself travels with its first line, so nothing is joined back and a
     chain of symbol rules needs a single shuffle.
     """
-    gate = F.coalesce(package_matches(text, criteria), F.lit(False))
+    gate = may_match(text, criteria)
     if criteria.whole_file:
         whole = F.array(F.struct(
             F.lit(0).alias("start"), F.length(text).alias("end"),
@@ -276,7 +293,7 @@ def with_symbol_ranges(df: DataFrame, criteria: SymbolCriteria, key: Sequence[st
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)
     islands = found.withColumn("_reach", reach).withColumn("island", F.sum(opens).over(w))
-    ranges = F.array_sort(F.collect_list(F.when(F.col("is_range"), F.struct(
+    ranges = F.sort_array(F.collect_list(F.when(F.col("is_range"), F.struct(
         "start", "line", "end", "description", "island"))))
     # The key columns come from the grouping, which keeps the partitioning known.
     return islands.groupBy(*key).agg(F.first("_row", True).alias("_row"), ranges.alias("_ranges")) \

@@ -13,6 +13,7 @@ from ..operators import rollups
 from ..operators.reuse import reuse_decisions
 from ..operators.rules import all_findings, apply_policy, evaluate_prompts, explode_findings
 from ..policy import Policy
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,20 @@ class RequestRun:
 
 def evaluate_requests(prompts: DataFrame, files: DataFrame, policy: Policy, *, mode: str = "request",
                       approve: bool = False, detectors: Sequence = ()) -> RequestRun:
-    """Prompts (request_id, source_label, text) and files of many requests at once."""
-    checked = evaluate_prompts(prompts, policy, detectors=detectors)
+    """Prompts (request_id, source_label, text) and files of many requests at once.
+
+    Findings and decisions are read from a written copy without the original
+    texts; ``items`` is left to be evaluated when the files are staged.
+    """
+    checked = written(evaluate_prompts(prompts, policy, detectors=detectors), "prompts")
     items = apply_policy(files, policy, detectors=detectors)
-    decisions = rollups.gate(rollups.request_result(checked, items), mode=mode, approve=approve)
-    return RequestRun(checked, items, all_findings(checked, items), decisions)
+    verdicts = written(items.drop("text"), "verdicts")
+    decisions = rollups.gate(rollups.request_result(checked, verdicts), mode=mode, approve=approve)
+    return RequestRun(checked, items, all_findings(checked, verdicts), decisions)
+
+
+DECISION_COLUMNS = ("root", "source_path", "path", "size", "mtime_ms", "disposition", "sanitized_text", "findings",
+                    "cache_hit")
 
 
 @dataclass(frozen=True)
@@ -48,14 +58,17 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def evaluate_workspace(files: DataFrame, manifest: DataFrame | None, policy: Policy, *,
                        detectors: Sequence = ()) -> WorkspaceRun:
-    """Evaluate the files of workspaces, reusing what the manifest knows."""
+    """Evaluate the files of workspaces, reusing what the manifest knows.
+
+    The decisions (not the original texts) are written to the shared folder, as
+    every report of the run reads them.
+    """
     kept = files.filter(~in_skipped_directory(F.col("path")))
     if manifest is None:
         decisions = apply_policy(kept, policy, detectors=detectors).withColumn("cache_hit", F.lit(False))
     else:
-        paths = kept.select("root", "source_path", "size", "mtime_ms", "path")
-        decisions = reuse_decisions(kept, manifest, policy, detectors=detectors) \
-            .join(paths, ["root", "source_path", "size", "mtime_ms"])
+        decisions = reuse_decisions(kept, manifest, policy, carry=("path",), detectors=detectors)
+    decisions = written(decisions.select(*DECISION_COLUMNS), "decisions")
     rollup = rollups.directory_rollup(decisions)
     return WorkspaceRun(decisions, rollups.stage_stats(decisions), rollup, rollups.safe_subtrees(rollup),
                         explode_findings(decisions, "root", "path"))

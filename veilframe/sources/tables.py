@@ -36,17 +36,14 @@ def files_from_table(df: DataFrame, path: Column, text: Column | str, *, root: C
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a small input by key when it has fewer partitions than cores.
+    """Hash-partition a small input by key if it has no more partitions than cores.
 
-    Pattern matching is bound by CPU, so an input that comes as one file is
-    shared out.  The choice is made from the input files only; a large input,
-    which has partitions enough, is never shuffled.
+    Pattern matching is bound by CPU, so an input that is one file, or one row
+    group, is shared out.  At most one scan partition per core is ever moved; a
+    larger input has partitions enough and is not shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, *keys)
 
 
 def rules_frame(spark: SparkSession, policy: Policy, policy_id: str = "policy") -> DataFrame:

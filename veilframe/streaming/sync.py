@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import absolute_chain, in_skipped_directory, is_under, normalize, relative_path
+from ..operators.joins import spread_join
 from ..operators.reuse import reuse_decisions
 from ..operators.rollups import sync_status
 from ..operators.rules import BLOCKED, FINDINGS_TYPE, WRITE_SANITIZED_TEXT, apply_policy
@@ -99,8 +100,8 @@ def current_state(log: DataFrame) -> DataFrame:
     version = F.struct("mtime_ms", "event_id")
     removals = log.filter(F.col("op") == "DELETE").filter(F.col("action") == REMOVED) \
         .groupBy("root", F.col("path").alias("ancestor")).agg(F.max(version).alias("removed_at"))
-    overtaken = staged.select("root", "path", version.alias("version"),
-                              F.explode(absolute_chain(F.col("path"))).alias("ancestor")) \
-        .join(removals, ["root", "ancestor"]).filter(F.col("removed_at") > F.col("version")) \
+    probes = staged.select("root", "path", version.alias("version"),
+                           F.explode(absolute_chain(F.col("path"))).alias("ancestor"))
+    overtaken = spread_join(probes, removals, ["root", "ancestor"], "inner", ["path"]).filter(F.col("removed_at") > F.col("version")) \
         .select("root", "path").distinct()
     return staged.join(overtaken, ["root", "path"], "left_anti")
