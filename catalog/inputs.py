@@ -8,7 +8,9 @@ from veilframe.policy import SymbolCriteria, load_policy
 from veilframe.sources.tables import files_from_table, spread
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-IPV4 = r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9]|$)"
+# The second form is the same condition for engines without lookaround.
+IPV4 = r"(?<![0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}(?![0-9])"
+IPV4_PLAIN = r"(^|[^0-9.])[0-9]{1,3}(\.[0-9]{1,3}){3}([^0-9]|$)"
 CARD = "[0-9]{16}"
 PHONE = r"(\+1 )\(([0-9]{3})\) [0-9]{3}-[0-9]{4}"
 LICENSE = "Licensed under|Released under"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veilframe.functions.secrets import SECRET_REGEX
 
-from .inputs import BLOCK_WORD, CARD, CONFIRM_WORD, EMAIL, IPV4, LICENSE, PHONE, REDACT_WORD
+from .inputs import BLOCK_WORD, CARD, CONFIRM_WORD, EMAIL, IPV4_PLAIN, LICENSE, PHONE, REDACT_WORD
 
 SECRET = SECRET_REGEX.replace("'", "''")
 
@@ -32,7 +32,7 @@ def evaluated(source: str = "f", blocked: str = "false") -> str:
 e0 AS (SELECT *, regexp_full_match(path, '.*/[^/]*\.(jks|keystore)') AS b,
               regexp_full_match(path, '.*/src7/.*') AS src7 FROM {source}),
 e1 AS (SELECT *, CASE WHEN NOT b AND NOT ({blocked}) THEN text END AS t0 FROM e0),
-e2 AS (SELECT *, regexp_matches(t0, '{IPV4}') AS ip,
+e2 AS (SELECT *, regexp_matches(t0, '{IPV4_PLAIN}') AS ip,
               regexp_replace(t0, '{PHONE}', '\1(\2) <phone>', 'g') AS t1 FROM e1),
 e3 AS (SELECT *, regexp_replace(t1, '{EMAIL}', '<redacted:email>', 'g') AS t2 FROM e2),
 e4 AS (SELECT *, CASE WHEN regexp_matches(path, '/src[0-9]*[02468]/')
@@ -237,7 +237,7 @@ r(rule_ord, rule_id, action, paths, path_regex, replacement) AS (VALUES
   (9, 'hide-built', 'REDACT', 'build/**/es/**', '', '<redacted>')),
 h AS (SELECT
   count(*) FILTER (path LIKE '%.txt') AS c0, count(*) FILTER (path LIKE '%/%.jks') AS c1,
-  count(*) FILTER (path LIKE '%/src7/%') AS c2, count(*) FILTER (regexp_matches(text, '{IPV4}')) AS c3,
+  count(*) FILTER (path LIKE '%/src7/%') AS c2, count(*) FILTER (regexp_matches(text, '{IPV4_PLAIN}')) AS c3,
   count(*) FILTER (regexp_matches(text, '{PHONE}')) AS c4, count(*) FILTER (regexp_matches(text, '{EMAIL}')) AS c5,
   count(*) FILTER (regexp_matches(text, '{CARD}') AND regexp_matches(path, '/src[0-9]*[02468]/')) AS c6,
   count(*) FILTER (regexp_matches(text, '{LICENSE}')) AS c7,
@@ -280,12 +280,12 @@ SELECT path, path LIKE '%/src1_/%' OR (path LIKE 'build/%' AND path LIKE '%.kt')
 
     "p3_content_regex_match": f"""
 SELECT doc_id, regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{CARD}') AS contact,
-       regexp_matches(text, '{IPV4}') AS address, contains(text, 'Licensed under') OR contains(text, 'Released under') AS license
+       regexp_matches(text, '{IPV4_PLAIN}') AS address, contains(text, 'Licensed under') OR contains(text, 'Released under') AS license
 FROM documents""",
 
     "p4_rule_matches": f"""WITH {FILES}
 SELECT path, regexp_matches(path, '/src[0-9]*[02468]/') AND regexp_matches(text, '{CARD}') AS redact_card,
-       path LIKE '%/src7/%' AS review_src7, regexp_matches(text, '{IPV4}') AS confirm_ip FROM f""",
+       path LIKE '%/src7/%' AS review_src7, regexp_matches(text, '{IPV4_PLAIN}') AS confirm_ip FROM f""",
 
     "p5_path_findings": f"""WITH {FILES}
 SELECT path, concat_ws(chr(10),
@@ -427,7 +427,7 @@ FROM x LEFT JOIN near USING (directory)""",
 SELECT path, 0::BIGINT AS rule_ord, 'allow-text' AS rule_id, 'ALLOW' AS action FROM f WHERE path LIKE '%.txt'
 UNION ALL SELECT path, 1, 'block-keys', 'BLOCK' FROM f WHERE path LIKE '%/%.jks'
 UNION ALL SELECT path, 2, 'review-src7', 'CONFIRM' FROM f WHERE path LIKE '%/src7/%'
-UNION ALL SELECT path, 3, 'confirm-ip', 'CONFIRM' FROM f WHERE regexp_matches(text, '{IPV4}')
+UNION ALL SELECT path, 3, 'confirm-ip', 'CONFIRM' FROM f WHERE regexp_matches(text, '{IPV4_PLAIN}')
 UNION ALL SELECT path, 4, 'mask-phone', 'REDACT' FROM f WHERE regexp_matches(text, '{PHONE}')
 UNION ALL SELECT path, 5, 'redact-email', 'REDACT' FROM f WHERE regexp_matches(text, '{EMAIL}')
 UNION ALL SELECT path, 6, 'redact-card', 'REDACT' FROM f WHERE regexp_matches(text, '{CARD}') AND regexp_matches(path, '/src[0-9]*[02468]/')

@@ -70,12 +70,13 @@ def _literal(char: str) -> str:
     return char if char.isalnum() or char in "/_" else "\\" + char
 
 
-def required_literal(pattern: str) -> str:
-    """Longest run of plain characters that every match contains, ``''`` if unknown.
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """Plain texts of which every match contains at least one, empty if unknown.
 
-    Groups and classes are stepped over; anything unusual gives ``''``.
+    One per alternative at the top: its longest run of plain characters.  Groups
+    and classes are stepped over; anything unusual gives no literals.
     """
-    runs, run, i = [""], "", 0
+    best, runs, run, i = [], [""], "", 0
 
     def after_class(at: int) -> int:
         body = re.compile(r"\[\^?\]?(?:\\.|[^\]\[\\&])*\]").match(pattern, at)
@@ -99,21 +100,25 @@ def required_literal(pattern: str) -> str:
         return -1
 
     if re.search(r"\\[QE1-9k]|\(\?[^:]", pattern):
-        return ""
+        return ()
     while i < len(pattern):
         c, char = pattern[i], ""
-        if c in "|{}*+?)]":
-            return ""
+        if c == "|":
+            best.append(max([*runs, run], key=len))
+            runs, run, i = [""], "", i + 1
+            continue
+        if c in "{}*+?)]":
+            return ()
         if c in "([":
             i = after_group(i) if c == "(" else after_class(i)
             if i < 0:
-                return ""
+                return ()
         elif c == "\\":
             if i + 1 == len(pattern):
-                return ""
+                return ()
             char = "" if pattern[i + 1].isalnum() else pattern[i + 1]
             if pattern[i + 1] in "pPxuN":
-                return ""
+                return ()
             i += 2
         else:
             char = "" if c in "^$." else c
@@ -127,17 +132,20 @@ def required_literal(pattern: str) -> str:
         if quantifier or not char:
             runs.append(run)
             run = ""
-    return max([*runs, run], key=len)
+    best.append(max([*runs, run], key=len))
+    return tuple(best) if all(best) else ()
 
 
 def found(text: Column, pattern: str) -> Column:
-    """``rlike`` behind a byte search for a literal that every match contains.
+    """``rlike`` behind a byte search for the literals that matches contain.
 
     Most texts match no rule; the byte search rejects them at a fraction of the
     cost of a regex scan.
     """
-    literal = required_literal(pattern)
-    return text.contains(literal) & text.rlike(pattern) if literal else text.rlike(pattern)
+    literals = required_literals(pattern)
+    if not literals:
+        return text.rlike(pattern)
+    return reduce(or_, (text.contains(literal) for literal in literals)) & text.rlike(pattern)
 
 
 def any_regex(col: Column, patterns) -> Column:
