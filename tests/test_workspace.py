@@ -39,6 +39,9 @@ def test_listing(spark, tmp_path, slices):
     stat = (tmp_path / "w" / ".env").stat()
     assert (rows[".env"].size, rows[".env"].mtime_ms) == (3, stat.st_mtime_ns // 1_000_000)
     assert rows[".env"].source_path == str(tmp_path / "w" / ".env")
+    big = b"x" * (1 << 20)
+    write(tmp_path / "big", {f"b{i}": big for i in range(40)})  # more than one Arrow batch
+    assert read_workspace(spark, str(tmp_path / "big"), slices=1).filter(F.length("content") == 1 << 20).count() == 40
     names = read_workspace(spark, str(tmp_path / "w"), slices=slices, content=False)
     assert names.filter("content is not null").count() == 0 and names.count() == len(rows)
 
@@ -49,6 +52,7 @@ def run(spark, root, manifest=None):
 
 def test_second_run_reuses_decisions_until_a_file_changes(spark, tmp_path):
     root, folder = tmp_path / "w", str(tmp_path / "manifest")
+    assert read_manifest(spark, folder, POLICY).count() == 0  # nothing written yet
     write(root, {"src/a.txt": "clean", "src/b.txt": "a secret", "src/c.jks": "x", "lib/d.txt": "clean"})
     first = run(spark, root)
     assert first.stats.first().asDict() == {"root": str(root), "mirrored": 3, "redacted": 1, "blocked": 1, "pass_through": 2, "cache_hits": 0}

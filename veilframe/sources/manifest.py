@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import workspace_key
@@ -30,8 +31,14 @@ def write_manifest(decisions: DataFrame, path: str, policy: Policy) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str, policy: Policy) -> DataFrame:
-    """Entries of the manifest that still apply to the policy."""
-    return valid_entries(spark.read.schema(MANIFEST_SCHEMA).parquet(path), policy_fingerprint(policy))
+    """Entries of the manifest that still apply to the policy; none on the first run."""
+    try:
+        entries = spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        entries = spark.createDataFrame([], MANIFEST_SCHEMA)
+    return valid_entries(entries, policy_fingerprint(policy))
 
 
 def staged_items(items: DataFrame) -> DataFrame:

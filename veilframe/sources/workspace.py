@@ -13,6 +13,7 @@ import zlib
 from collections import deque
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,6 +23,17 @@ from ..functions.paths import SKIPPED_DIRECTORIES
 WORKSPACE_SCHEMA = "root string, source_path string, path string, content binary, size long, mtime_ms long"
 
 
+BATCH_BYTES, BATCH_ROWS = 1 << 25, 4096
+
+_ARROW = (("root", pa.string()), ("source_path", pa.string()), ("path", pa.string()), ("content", pa.binary()),
+          ("size", pa.int64()), ("mtime_ms", pa.int64()))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), _ARROW)],
+                                      names=[name for name, _ in _ARROW])
+
+
 @dataclass
 class Slice(InputPartition):
     """Part of one directory: whole subtrees, or a share of its loose files."""
@@ -64,15 +76,23 @@ class WorkspaceReader(DataSourceReader):
                             yield entry
 
     def read(self, partition: Slice):
+        """Arrow batches bounded by bytes, so large files do not add up in memory."""
         base = self.root.rstrip("/") + "/"
+        rows, held = [], 0
         for entry in self._files(partition):
             stat = entry.stat(follow_symlinks=False)
             content = None
             if self.content:
                 with open(entry.path, "rb") as handle:
                     content = handle.read()
-            yield (self.root, entry.path, entry.path[len(base):], content,
-                   stat.st_size, stat.st_mtime_ns // 1_000_000)
+            rows.append((self.root, entry.path, entry.path[len(base):], content,
+                         stat.st_size, stat.st_mtime_ns // 1_000_000))
+            held += len(content or b"")
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 class WorkspaceDataSource(DataSource):
