@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from veilframe import collapse_changes, current_state, load_policy, read_staged_log, run_lines, sanitize_turns, sync_batch, sync_stream
-from veilframe.streaming.sync import CHANGES_SCHEMA
+from veilframe.streaming.sync import CHANGES_SCHEMA, compacted
 
 POLICY = load_policy({"version": 1, "rules": [
     {"id": "keys", "match": {"paths": ["**/*.jks"]}, "action": {"type": "block"}},
@@ -40,6 +40,8 @@ def test_sync_over_batches(spark, tmp_path):
         sync_stream(changes, POLICY, str(tmp_path / "log" / f"part={i}"), str(tmp_path / f"checkpoint{i}")).awaitTermination()
     log = read_staged_log(spark, str(tmp_path / "log"))
     assert states(log) == EXPECTED
+    short = compacted(log)
+    assert states(short) == EXPECTED and short.count() < log.count()
     actions = {(r.path, r.event_id): r.action for r in log.collect()}
     assert actions[("/w/build/o", 5)] == actions[("/v/z", 6)] == "IGNORED"
     assert actions[("/w/k/k.jks", 7)] == actions[("/w/s", 14)] == "REMOVED"
@@ -61,6 +63,18 @@ def test_one_stream_with_many_batches_equals_the_batch(spark, tmp_path):
     assert states(read_staged_log(spark, str(tmp_path / "log"))) == EXPECTED
 
 
+def test_compaction_keeps_the_removal_of_a_path_that_became_a_file(spark):
+    rows = [event(1, "/w/d/x", "one", 10), event(2, "/w/d", None, 30, "DELETE"), event(3, "/w/d", "file", 50)]
+    log = None
+    for row in rows:
+        version = sync_batch(spark.createDataFrame([row], CHANGES_SCHEMA), POLICY).withColumn("batch_id", F.lit(row[0]))
+        log = version if log is None else log.unionByName(version)
+    late = sync_batch(spark.createDataFrame([event(4, "/w/d/y", "late", 20)], CHANGES_SCHEMA), POLICY).withColumn("batch_id", F.lit(9))
+    expected = {"/w/d": ("pass-through", "file")}
+    assert states(log) == states(compacted(log)) == expected
+    assert states(compacted(log).unionByName(late)) == expected
+
+
 def test_sync_reuses_the_manifest(spark):
     from veilframe.policy import policy_fingerprint
     changes = spark.createDataFrame(BATCHES[0], CHANGES_SCHEMA)

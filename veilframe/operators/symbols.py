@@ -164,61 +164,50 @@ def block_end(lines: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -
     Rows with a non-null column out of ``carry`` are kept as they are, with
     ``is_target`` false.
     """
-    w = _by_line(key)
-    solid = F.col("kind") != BLANK
-    rank = 2 * F.col("indent") + F.when(
-        F.col("kind").isin(ANNOTATION, CLASS, FUNCTION) | (F.col("indent") == 0), 0).otherwise(1)
-    whole = Window.partitionBy(*key)
-    spot = F.struct("line", "end")
-    over = "over (partition by {} order by line)".format(", ".join(f"`{k}`" for k in key))
-    lines = lines.withColumns({"rank": F.when(solid, rank), "solid_spot": F.when(solid, spot)})
-    lines = lines.withColumns({
-        "prev_rank": F.last("rank", True).over(_before(key)),
-        "next_rank": F.expr(f"lead(rank) ignore nulls {over}"),
-        "prev_solid": F.last("solid_spot", True).over(_before(key)),
-        "file_spot": F.max(spot).over(whole), "file_solid": F.max("solid_spot").over(whole),
-        "any_brace": F.max(F.col("is_target") & (F.col("delta") > 0)).over(whole),
-        "any_indent": F.max(F.col("is_target") & (F.col("delta") <= 0)).over(whole)})
-
-    def event(mode: str, direction: int, level: Column) -> Column:
-        return F.struct(F.lit(mode).alias("mode"), level.cast("int").alias("level"),
-                        F.lit(direction).alias("direction"))
-
-    def events(condition: Column, mode: str, direction: int, low: Column, high: Column, step: int = 1) -> Column:
-        """One event per level from low to high; none unless the condition holds."""
-        levels = F.sequence(low.cast("int"), F.greatest(low, high).cast("int"), F.lit(step))
-        return F.when(condition & (low <= high), F.transform(levels, lambda l: event(mode, direction, l))) \
-            .otherwise(F.array().cast("array<struct<mode:string,level:int,direction:int>>"))
-
-    rank, prev, nxt = F.col("rank"), F.col("prev_rank"), F.col("next_rank")
-    balance, delta = F.col("balance"), F.col("delta")
-    even = lambda c: c + F.pmod(c, F.lit(2))  # noqa: E731 - thresholds are even ranks
-    own_rank = 2 * F.col("indent")
-    alone = F.col("is_target") & (delta <= 0) & (nxt.isNull() | (nxt <= own_rank))
-    kept = [F.when(alone, F.array(event("self", 1, F.lit(0)))).otherwise(F.array().cast(
-        "array<struct<mode:string,level:int,direction:int>>"))]
-    kept.append(events(F.col("any_brace") & (delta > 0), "brace", 1, balance - delta, balance - 1))
-    kept.append(events(F.col("any_brace") & (delta < 0), "brace", 0, balance, balance - delta - 1))
-    kept.append(events(F.col("any_indent") & (prev > rank), "indent", 0, even(rank), prev - 1, 2))
-    kept.append(events(F.col("any_indent") & (nxt > rank), "indent", 1, even(rank), nxt - 1, 2))
-    if carry:
-        marker = F.when(F.col(carry[0]).isNotNull(), F.array(event("carry", 1, F.lit(0))))
-        kept.append(F.coalesce(marker, F.array().cast("array<struct<mode:string,level:int,direction:int>>")))
-
-    same_level = Window.partitionBy(*key, "mode", "level").orderBy("line", "direction")
-    crossings = lines.withColumn("event", F.explode(F.concat(*kept))).select("*", "event.*") \
-        .withColumn("next_event", F.lead(F.struct("line", "end", "prev_solid")).over(same_level))
-    mode, up = F.col("mode"), F.col("direction") == 1
-    own = F.col("is_target") & up & (
-        ((mode == "brace") & (delta > 0) & (F.col("level") == balance - delta))
-        | ((mode == "indent") & (delta <= 0) & (F.col("level") == own_rank)) | (mode == "self"))
-    found = (F.when(mode == "brace", F.coalesce(F.col("next_event").dropFields("prev_solid"), F.col("file_spot")))
-             .when(mode == "indent", F.coalesce(F.when(F.col("next_event").isNotNull(),
-                                                       F.col("next_event.prev_solid")), F.col("file_solid")))
-             .when(mode == "self", spot))
-    rows = crossings.filter(own | (mode == "carry"))
-    return rows.withColumns({"is_target": mode != "carry", "_found": found}).withColumns({
-        "end_line": F.col("_found.line"), "end_offset": F.col("_found.end")})
+    partition = "PARTITION BY " + ", ".join(f"`{k}`" for k in key)
+    by_line = f"OVER ({partition} ORDER BY line)"
+    before = f"OVER ({partition} ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    spot = "struct(line, `end`)"
+    no_event = "CAST(array() AS array<struct<mode:string,level:int,direction:int>>)"
+
+    def events(condition: str, mode: str, direction: int, low: str, high: str, step: int = 1) -> str:
+        """SQL: one event per level from low to high; none unless the condition holds."""
+        return f"""CASE WHEN {condition} AND {low} <= {high} THEN transform(
+            sequence(CAST({low} AS INT), CAST({high} AS INT), {step}),
+            l -> named_struct('mode', '{mode}', 'level', l, 'direction', {direction})) ELSE {no_event} END"""
+
+    # Thresholds are even ranks: the next one from a rank upwards.
+    even_rank = "(rank + pmod(rank, 2))"
+    carried = f"`{carry[0]}` IS NOT NULL" if carry else "false"
+    ranked = lines.withColumn("rank", F.expr(
+        f"CASE WHEN kind <> '{BLANK}' THEN 2 * indent + CASE WHEN kind IN ('{ANNOTATION}', '{CLASS}', '{FUNCTION}') "
+        "OR indent = 0 THEN 0 ELSE 1 END END"))
+    surrounded = ranked.selectExpr(
+        "*", f"last(rank, true) {before} AS prev_rank", f"lead(rank) IGNORE NULLS {by_line} AS next_rank",
+        f"last(CASE WHEN rank IS NOT NULL THEN {spot} END, true) {before} AS prev_solid",
+        f"max({spot}) OVER ({partition}) AS file_spot",
+        f"max(CASE WHEN rank IS NOT NULL THEN {spot} END) OVER ({partition}) AS file_solid",
+        f"max(is_target AND delta > 0) OVER ({partition}) AS any_brace",
+        f"max(is_target AND delta <= 0) OVER ({partition}) AS any_indent")
+    crossings = surrounded.selectExpr("*", f"""inline(concat(
+        {events("is_target AND delta <= 0 AND coalesce(next_rank <= 2 * indent, true)", "self", 1, "0", "0")},
+        {events("any_brace AND delta > 0", "brace", 1, "balance - delta", "balance - 1")},
+        {events("any_brace AND delta < 0", "brace", 0, "balance", "balance - delta - 1")},
+        {events("any_indent AND prev_rank > rank", "indent", 0, even_rank, "prev_rank - 1", 2)},
+        {events("any_indent AND next_rank > rank", "indent", 1, even_rank, "next_rank - 1", 2)},
+        {events(carried, "carry", 1, "0", "0")}))""")
+    following = crossings.selectExpr("*", f"""lead(struct(line, `end`, prev_solid))
+        OVER ({partition}, mode, level ORDER BY line, direction) AS next_event""")
+    own = ("is_target AND direction = 1 AND (mode = 'self' OR (mode = 'brace' AND delta > 0 AND level = balance - delta) "
+           "OR (mode = 'indent' AND delta <= 0 AND level = 2 * indent))")
+    found = f"""CASE mode
+        WHEN 'brace' THEN CASE WHEN next_event IS NULL THEN file_spot
+                               ELSE struct(next_event.line AS line, next_event.`end` AS `end`) END
+        WHEN 'indent' THEN CASE WHEN next_event IS NULL THEN file_solid ELSE next_event.prev_solid END
+        WHEN 'self' THEN {spot} END"""
+    rows = following.filter(f"({own}) OR mode = 'carry'").withColumn("_found", F.expr(found))
+    return rows.withColumns({"is_target": F.expr("mode <> 'carry'"), "end_line": F.expr("_found.line"),
+                             "end_offset": F.expr("_found.`end`")})
 
 
 def _declarations(lines: DataFrame, criteria: SymbolCriteria, key: Sequence[str],

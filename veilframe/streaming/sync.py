@@ -74,21 +74,37 @@ def sync_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | None
 
 
 def sync_stream(changes: DataFrame, policy: Policy, staged_log: str, checkpoint: str, *,
-                manifest: Callable[[], DataFrame] | None = None, detectors: Sequence = ()) -> StreamingQuery:
-    """Run the synchronisation over a streaming frame of change events."""
+                manifest: Callable[[], DataFrame] | None = None, detectors: Sequence = (),
+                trigger: dict | None = None) -> StreamingQuery:
+    """Run the synchronisation over a streaming frame of change events.
+
+    By default it handles what is there and stops; pass ``trigger`` (say
+    ``{"processingTime": "10 seconds"}``) to keep it running.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         known = None if manifest is None else manifest()
         sync_batch(batch, policy, manifest=known, detectors=detectors) \
             .write.mode("overwrite").parquet(f"{staged_log}/batch_id={batch_id}")
 
     return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def read_staged_log(spark: SparkSession, staged_log: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(staged_log)
 
 
+def compacted(log: DataFrame) -> DataFrame:
+    """A shorter log with the same current state, now and after any later event.
+
+    Keeps the latest version per path, and the latest removal as well: it also
+    rules everything below the path.
+    """
+    effective = log.filter(F.col("action") != IGNORED)
+    removals = collapse_changes(effective.filter((F.col("op") == "DELETE") & (F.col("action") == REMOVED)))
+    return collapse_changes(effective).unionByName(removals).distinct()
+
+
 def current_state(log: DataFrame) -> DataFrame:
     """Latest version per path that is staged now.
 
