@@ -1,24 +1,18 @@
-"""Shared working folders: the cluster's checkpoint folder, never a local one there."""
+"""Shared working folders: the cluster's checkpoint folder, never a local one."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder already set.
-
-    Only a local master without either (tests) gets a temporary folder.
-    """
+    """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder set on the session's context."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="veilframe-")
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,3 +24,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder that ``new_folder`` named, once its readers are done; False if there is none.
+
+    Folders outside the shared one are refused.
+    """
+    if not folder.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"not a working folder: {folder}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
