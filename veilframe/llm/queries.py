@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import secret_scan, toxicity, warc
+from . import secret_scan, simhash, substrings, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -17,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +64,12 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, max_bits=2)
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 ORACLES = {
     "op8_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
