@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import secret_scan, simhash, substrings, toxicity, warc
+from . import mixing, secret_scan, simhash, substrings, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -70,6 +70,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 ORACLES = {
     "op8_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
