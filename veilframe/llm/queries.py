@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import mixing, secret_scan, simhash, substrings, toxicity, warc
+from . import decontaminate, mixing, quality_net, secret_scan, simhash, substrings, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -40,6 +40,19 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         listed(F.col("secrets")).alias("spans"))
 
 
+#: Rows that the network is fitted to at most.
+QUALITY_SAMPLE = 3_000
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", learn=~held_out("doc_id", 4, 2), max_rows=QUALITY_SAMPLE)
+    network = quality_net.learn_network(sample)
+    return quality_net.score_quality(docs, network).select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 #: Rows that the lexicon is learned from at most.
 TOXIC_SAMPLE = 12_000
 
@@ -57,6 +70,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
