@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BASE32_NUMBER = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_DIGEST = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Parts that the headers of one payload are shared out over when payloads come back to them.
-SALTS = 16
+#: A digest of more records than PART_ROWS is hot: its records are shared out over MOST_PARTS parts in joins.
+PART_ROWS, MOST_PARTS = 1_000, 64
+#: Hot digests that are sent to all tasks at most (32 bytes each); more are joined by shuffle.
+MOST_HOT = 4_096
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -36,62 +38,68 @@ def page_urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html",
-            least_revisit_bytes: int = 0) -> DataFrame:
-    """One narrow row per page: digests, size, record type and header; no payload.
+def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+                        F.unhex(F.sha2(payload, 256)).alias("sha256"), payload.alias("payload"))
+
+
+def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html",
+                  least_revisit_bytes: int = 0) -> None:
+    """Write the archive of ``pages`` into ``folder``: each payload once, then the headers.
 
     Of pages with equal payloads of at least ``least_revisit_bytes``, the one with
     the largest id is the response and the others revisit it.  A NULL payload is
     empty.  Rows that repeat the largest id are responses as well; a page without
-    an id revisits whenever one with an id has its payload.  The only shuffle
-    carries digests, pre-aggregated, so a payload shared by a third of all pages
-    is one row per task.
+    an id revisits whenever one with an id has its payload.  Other columns are not
+    read, empty tables give empty archives.
+
+    Payloads move once, by digest, and copies are dropped before they move, so a
+    payload that a third of all pages share is one row per task.  Headers meet
+    their payload's digest only, a hot one in several parts.
     """
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    narrow = pages.select(
-        F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
-        F.sha2(payload, 256).alias("sha256"), F.sha1(payload).alias("sha1"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"))
-    last = narrow.groupBy("sha256").agg(F.max("page_id").alias("keeper"))
-    kept = narrow.join(last, "sha256")
+    spark = pages.sparkSession
+    rows = _records(pages, page_id, url, html)
+    (rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("page_id").alias("keeper"),
+                                F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("parts"))
+     .write.parquet(f"{folder}/payloads"))
+    stored = spark.read.parquet(f"{folder}/payloads").select(
+        "sha256", "keeper", "parts", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    hot = spark.read.parquet(f"{folder}/payloads").where("parts > 1").select("sha256", F.col("parts").alias("_hot"))
+    narrow = rows.drop("payload")
+    # Digests with many records are few: at most one for every PART_ROWS pages.
+    kept = _in_parts(narrow, stored, hot)
     revisit = (F.col("payload_bytes") >= least_revisit_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    kept = kept.withColumn("refers_to", F.when(revisit, F.col("keeper")))
-    kind = F.when(revisit, "revisit").otherwise("response")
     header = _header(
-        ("WARC-Type", kind), ("WARC-Record-ID", page_urn(F.col("page_id"))), ("WARC-Target-URI", F.col("url")),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
-        ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("WARC-Refers-To", F.when(revisit, page_urn(F.col("refers_to")))),
-        ("Content-Length", F.col("payload_bytes")))
-    return kept.select("page_id", "sha256", kind.alias("record_type"), "keeper", F.encode(header, "UTF-8").alias("header"))
+        ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", page_urn(F.col("page_id"))),
+        ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
+        ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        ("WARC-Refers-To", F.when(revisit, page_urn(F.col("keeper")))), ("Content-Length", F.col("payload_bytes")))
+    kept.select("page_id", "sha256", "part", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
 
 
-def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html",
-                  least_revisit_bytes: int = 0) -> None:
-    """Write the archive of ``pages`` into ``folder``: headers, then each payload once.
+def _in_parts(narrow: DataFrame, stored: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pages with the digest's row of ``stored``; pages of a hot digest are shared out over its parts.
 
-    The payload stored is that of the page with the largest id, so payloads move
-    once, by id, and only the kept ones are written.  Empty tables give empty
-    archives.  Other columns of ``pages`` are not read.
+    Only rows of hot digests know before the join how many parts there are; all
+    others look in part 0, which every digest has.
     """
-    spark = pages.sparkSession
-    records(pages, page_id=page_id, url=url, html=html, least_revisit_bytes=least_revisit_bytes).write.parquet(f"{folder}/headers")
-    headers = spark.read.parquet(f"{folder}/headers")
-    # A payload that only pages without an id have is kept under the id NULL.
-    kept = headers.where(F.col("page_id").eqNullSafe(F.col("keeper"))).select(
-        F.coalesce("page_id", F.lit(-2**63)).alias("_id"), F.col("sha256").alias("_sha")).distinct()
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    bodies = pages.select(F.coalesce(F.col(page_id).cast("long"), F.lit(-2**63)).alias("_id"), payload.alias("payload"))
-    (bodies.join(kept, "_id").where(F.sha2("payload", 256) == F.col("_sha"))
-     .dropDuplicates(["_id", "_sha"]).select(F.col("_sha").alias("sha256"), "payload").write.parquet(f"{folder}/payloads"))
+    slices = F.pmod(F.xxhash64("page_id", "url"), F.lit(MOST_PARTS)).cast("int")
+    repeated = stored.withColumn("_slice", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.lit(MOST_PARTS - 1)))
+                                                     .otherwise(F.array(F.lit(-1)))))
+    marked = narrow.join(F.broadcast(hot.limit(MOST_HOT)), "sha256", "left") if hot.limit(MOST_HOT + 1).count() <= MOST_HOT else \
+        narrow.join(hot, "sha256", "left")
+    marked = marked.withColumn("_slice", F.when(F.col("_hot").isNotNull(), slices).otherwise(-1))
+    return marked.join(repeated, ["sha256", "_slice"]).withColumnRenamed("_slice", "part").drop("_hot")
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Digests and sizes of the stored payloads, each counted from its bytes; a damaged payload ends the job."""
     stored = spark.read.parquet(f"{folder}/payloads")
-    true = F.sha2("payload", 256)
+    true = F.unhex(F.sha2("payload", 256))
     checked = F.when(true == F.col("sha256"), true).otherwise(
-        F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("string"))
-    return stored.select(checked.alias("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.raise_error(F.concat(F.lit("damaged payload "), F.hex("sha256"))).cast("binary"))
+    return stored.select(checked.alias("sha256"), "parts", F.octet_length("payload").cast("long").alias("payload_bytes"),
                          base32(F.sha1("payload")).alias("payload_digest"), "payload")
 
 
@@ -101,17 +109,17 @@ def field(header: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def _with_payloads(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Headers with their payload's row; the headers of one payload are split over parts."""
-    salted = headers.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    repeated = payloads.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(repeated, ["sha256", "_salt"]).drop("_salt")
+def _with_payloads(spark: SparkSession, folder: str, payloads: DataFrame) -> DataFrame:
+    """Headers with their payload's row; the headers of a hot payload in the parts they were written in."""
+    headers = spark.read.parquet(f"{folder}/headers").select("page_id", "sha256", "part", "header")
+    repeated = payloads.withColumn("part", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.lit(MOST_PARTS - 1)))
+                                                     .otherwise(F.array(F.lit(-1)))))
+    return headers.join(repeated, ["sha256", "part"])
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record, from the headers as stored and the payloads' own bytes."""
-    headers = spark.read.parquet(f"{folder}/headers").select("page_id", "sha256", "header")
-    whole = _with_payloads(headers, read_payloads(spark, folder).drop("payload"))
+    whole = _with_payloads(spark, folder, read_payloads(spark, folder).drop("payload"))
     header = F.col("header")
     return whole.select(
         "page_id", "payload_bytes", "payload_digest", field(header, "WARC-Type").alias("record_type"),
@@ -123,6 +131,5 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """The original records, byte for byte: header, payload and the closing line breaks."""
-    headers = spark.read.parquet(f"{folder}/headers").select("page_id", "sha256", "header")
-    whole = _with_payloads(headers, read_payloads(spark, folder).select("sha256", "payload"))
+    whole = _with_payloads(spark, folder, read_payloads(spark, folder).select("sha256", "parts", "payload"))
     return whole.select("page_id", F.concat("header", "payload", F.lit("\r\n\r\n").cast("binary")).alias("record"))
