@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import decontaminate, mixing, quality_net, secret_scan, simhash, substrings, toxicity, warc
+from . import decontaminate, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -53,6 +53,21 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: Rows that rules are learned from at most.
+RULES_SAMPLE = 20_000
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", learn=F.lit(True), max_rows=RULES_SAMPLE)
+    verdict = quality_rules.learn_rules(quality_rules.text_statistics(sample)).expression()
+    failed = quality_rules.base_failed()
+    return quality_rules.text_statistics(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & verdict).alias("kept"))
+
+
 #: Rows that the lexicon is learned from at most.
 TOXIC_SAMPLE = 12_000
 
