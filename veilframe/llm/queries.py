@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import decontaminate, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, toxicity, warc
+from . import decontaminate, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -90,6 +90,41 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Tools that conversations call, with their parameters.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", True)},
+    "lookup": {"query": ("string", True), "limit": ("integer", False)},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns as calls, each after the assistant turn two before; user turns as results of the turn before.
+
+    Some calls name an unknown tool, leave a parameter out or give it as text, or need nothing.
+    """
+    def call_id(turn):
+        return F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+
+    turn, n = F.col("turn"), F.length("text")
+    query, limit = F.col("text").alias("query"), F.col("turn").alias("limit")
+    arguments = (F.when(n % 7 == 0, F.to_json(F.struct(query, limit.cast("string").alias("limit"))))
+                 .when(n % 5 == 0, F.to_json(F.struct(query))).when(n % 17 == 0, F.lit("{query"))
+                 .otherwise(F.to_json(F.struct(query, limit))))
+    name = F.when(n % 11 == 0, "missing").when(turn % 3 == 0, "search").otherwise("lookup")
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id", call_id(turn).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
+        F.when(turn % 9 != 5, call_id(turn - 2)).alias("after"))
+    results = turns.where("role = 'user'").select("conv_id", call_id(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+@query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = tool_calls.link_calls(*conversation_calls(table(spark, sf_dir, "conversations")), TOOLS)
+    return linked.select("conv_id", "call_id", "turn", "depth", "copies", F.array_join("problems", ",").alias("problems"),
+                         F.sha2("json", 256).alias("json_sha256"))
+
+
 @query
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
@@ -109,6 +144,44 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    "op7_tool_calls": """
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, turn, length(text) AS n, text,
+                   CASE WHEN length(text) % 11 = 0 THEN 'missing' WHEN turn % 3 = 0 THEN 'search' ELSE 'lookup' END AS name,
+                   CASE WHEN turn % 9 <> 5 THEN 'c' || conv_id || '-' || (turn - 2) END AS after
+            FROM conversations WHERE role = 'assistant'),
+        results AS (SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, turn AS rturn, text AS content
+                    FROM conversations WHERE role = 'user'),
+        parents AS (SELECT c.conv_id, c.call_id, p.call_id AS up FROM calls c LEFT JOIN calls p
+                    ON p.conv_id = c.conv_id AND p.call_id = c.after),
+        depths(conv_id, call_id, depth) AS (
+            SELECT conv_id, call_id, 0 FROM parents WHERE up IS NULL
+            UNION ALL
+            SELECT p.conv_id, p.call_id, d.depth + 1 FROM depths d JOIN parents p ON p.conv_id = d.conv_id AND p.up = d.call_id),
+        linked AS (
+            SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.n, c.text, c.name,
+                   c.after, d.depth, p.up, r.rturn, r.content, c.call_id IS NOT NULL AS is_call,
+                   c.n % 7 <> 0 AND c.n % 5 <> 0 AND c.n % 17 = 0 AS broken
+            FROM calls c JOIN depths d ON d.conv_id = c.conv_id AND d.call_id = c.call_id
+            JOIN parents p ON p.conv_id = c.conv_id AND p.call_id = c.call_id
+            FULL JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id),
+        args AS (
+            SELECT *, CASE WHEN broken THEN '"{query"'
+                WHEN n % 7 = 0 THEN '{"limit":"' || turn || '","query":' || to_json(text) || '}'
+                WHEN n % 5 = 0 THEN '{"query":' || to_json(text) || '}'
+                ELSE '{"limit":' || turn || ',"query":' || to_json(text) || '}' END AS arguments FROM linked)
+        SELECT conv_id, call_id, coalesce(turn, rturn) AS turn, CAST(depth AS BIGINT) AS depth,
+               CASE WHEN is_call THEN 1 ELSE 0 END :: BIGINT AS copies,
+               CASE WHEN NOT is_call THEN 'no call' ELSE concat_ws(',',
+                   CASE WHEN broken THEN 'bad json' WHEN name = 'missing' THEN 'unknown tool'
+                        WHEN n % 7 = 0 THEN 'type of limit' WHEN n % 5 = 0 AND name = 'search' THEN 'missing limit' END,
+                   CASE WHEN content IS NULL THEN 'no result' END,
+                   CASE WHEN after IS NOT NULL AND up IS NULL THEN 'dangling' END) END AS problems,
+               sha256('{' || CASE WHEN is_call THEN '"arguments":' || arguments || ',' ELSE '' END || '"id":' || to_json(call_id)
+                      || CASE WHEN is_call THEN ',"name":' || to_json(name) ELSE '' END
+                      || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}') AS json_sha256
+        FROM args""",
+
     "op8_warc_archive": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h,
