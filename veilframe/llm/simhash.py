@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import written
 from .components import connected_components
-from .words import word_bounds
+from .words import mixed, window_codes, word_bounds, word_codes
 
 SEED = 42
 BITS = 64
@@ -52,13 +52,19 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         first, last = first[:len(words) - size + 1], last[size - 1:]
     else:
         first, last = first[:1], last[-1:]
-    counts = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(first), PART):
-        some = [digest(joined[a:b], SEED) for a, b in zip(first[at:at + PART].tolist(), last[at:at + PART].tolist(), strict=True)]
-        own = np.array(some, "<u8").view(np.uint8).reshape(-1, 8) + _BYTE_PLACE
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(first[at:at + PART].tolist(), last[at:at + PART].tolist(), strict=True)],
+                             np.uint64) for at in range(0, len(first), PART))
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that more than half of all numbers have."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for part in parts:
+        own = part.astype("<u8").view(np.uint8).reshape(-1, 8) + _BYTE_PLACE
         counts += (np.bincount(own.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE).ravel()
-    return int.from_bytes(np.packbits(counts * 2 > len(first), bitorder="little").tobytes(), "little")
+        n += len(part)
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -232,6 +238,81 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+#: Fingerprints of the different words (two pieces each) and of the shingles that a sketch has.
+WORD_PRINTS, SHINGLE_PRINTS = 3, 8
+_SKETCH = [f"w{i}" for i in range(WORD_PRINTS)] + [f"s{i}" for i in range(SHINGLE_PRINTS)]
+_SALT = np.random.default_rng(64).integers(1, 2**63, len(_SKETCH), dtype=np.uint64)
+
+
+def sketch(text: str | None, size: int) -> list[int]:
+    """SimHashes, each under hashes of its own, of the set of words and of the set of shingles; zeros without words."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
+    words = word_codes(data, *word_bounds(data))
+    if not len(words):
+        return [0] * len(_SKETCH)
+    shingles = np.unique(window_codes(words, min(size, len(words))))
+    words = np.unique(words)
+    return [majority(mixed((words if i < WORD_PRINTS else shingles)[at:at + PART] + salt)
+                     for at in range(0, len(words if i < WORD_PRINTS else shingles), PART)) for i, salt in enumerate(_SALT)]
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which SimHashes of two sets of one size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
+                      max_bits: int = 2, leaf_rows: int = 16_384) -> DataFrame:
+    """Columns doc_id and component_id: documents whose sets of ``size``-word shingles are about ``similarity`` alike.
+
+    A similarity of 0.8 differs in about ten of 64 bits, too many for a trie.  So the
+    trie joins 32-bit pieces of SimHashes over the set of single words, where such
+    documents differ in about two bits a piece: linked pieces only propose a pair.
+    It is a link if the shingles' SimHashes (512 bits) differ in no larger share than
+    ``similarity`` lets expect, with two and a half standard deviations to spare.
+    Measured on pairs of 0.8 and more: see the README.
+
+    Documents with one sketch are one node, pieces of one value link with their
+    smallest node.  NULL ids get a NULL component and link with nothing.
+    """
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([sketch(t, size) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(_SKETCH)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)],
+                                             names=["doc_id", *_SKETCH])
+
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    fields = ", ".join(f"{c} bigint" for c in _SKETCH)
+    marked = written(slim.mapInArrow(measure, f"doc_id bigint, {fields}"), "sketches")
+    known = marked.where("doc_id IS NOT NULL")
+    classes = written(known.groupBy(*_SKETCH).agg(F.min("doc_id").alias("node")), "sketch-classes")
+    proposed = None
+    for i in range(2 * WORD_PRINTS):
+        piece = F.col(f"w{i // 2}")
+        piece = F.shiftleft(piece, 32) if i % 2 else F.shiftleft(F.shiftright(piece, 32), 32)
+        own = classes.select(piece.alias("fp"), "node")
+        values = written(own.groupBy("fp").agg(F.min("node").alias("first")), "pieces")
+        near = near_pairs(values.withColumnRenamed("first", "node"), max_bits=max_bits, leaf_rows=leaf_rows).select("a", "b")
+        same = own.join(values, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        both = near.unionByName(same)
+        proposed = both if proposed is None else proposed.unionByName(both)
+    pairs = written(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    shingle_bits = BITS * SHINGLE_PRINTS
+    share = differing_share(similarity)
+    most = shingle_bits * share + 2.5 * math.sqrt(shingle_bits * share * (1 - share))
+    prints = classes.select(F.col("node").alias("a"), *(F.col(f"s{i}") for i in range(SHINGLE_PRINTS)))
+    other = prints.toDF("b", *(f"t{i}" for i in range(SHINGLE_PRINTS)))
+    bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, SHINGLE_PRINTS)),
+               F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    links = pairs.join(prints, "a").join(other, "b").where(bits <= most).select("a", "b")
+    twice = known.groupBy("doc_id").agg(F.min(F.struct(*_SKETCH)).alias("x"), F.max(F.struct(*_SKETCH)).alias("y")).where("x <> y").select("doc_id")
+    ties = known.join(twice, "doc_id").join(classes, _SKETCH).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    groups = connected_components(links.unionByName(ties))
+    of = classes.join(groups, "node", "left").select(*_SKETCH, F.coalesce("component", "node").alias("component_id"))
+    return marked.join(of, _SKETCH, "left").select(
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
