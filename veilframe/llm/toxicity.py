@@ -20,6 +20,8 @@ from dataclasses import asdict, dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import written
+
 # Look-alikes (Cyrillic and Greek letters, then digits) and the letters they stand for: fixed values.
 LOOK_ALIKES = str.maketrans(
     "авеікмнорстухѕјԁɡαβεικνορτυχ013457",
@@ -118,22 +120,55 @@ def _grams(plain: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEM_LENGTHS if len(w) > n}
 
 
-def learn_lexicon(labelled: DataFrame, *, text: str = "text", label: str = "label", least_support: int = 3,
-                  max_terms: int = 4_000, least_ratio: float = 8.0, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, *, text: str = "text", label: str = "label", rounds: int = 3, max_terms: int = 2_000,
+                  least_ratio: float = 8.0, evidence: float = 8.5, least_share: float = 0.02, unexplained: float = 0.1,
+                  exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn terms, weights, exceptions and the scale from labelled rows (see ``labels.labelled_sample``).
 
-    A term has to be in ``least_support`` toxic texts and be ``least_ratio`` times
-    likelier there; its weight is the logarithm of that ratio.  Of a word and its
-    beginnings, the shortest that qualifies stays.  Two-word phrases around a term
-    that only clean texts have become exceptions beside the given ones.  NULL
-    labels are left out, NULL texts are empty.  Without toxic rows the lexicon is
-    empty and scores every text below one half.  ``labelled`` is read three times.
+    A term's weight is the logarithm of how much likelier it is in toxic texts, which
+    has to be ``least_ratio`` times.  Weight times the toxic texts that have it is its
+    evidence; that has to exceed the logarithm of the number of terms looked at by
+    ``evidence``, so that no term gets in by the many chances, and ``least_share`` of the
+    round's best, as copies of texts repeat chance finds.  Of a word and its beginnings the
+    one with the most evidence stays.  Each further round learns from toxic texts that no
+    term so far is in, while they are more than a share of ``unexplained``.  Two-word phrases around a term that only clean texts have become
+    exceptions beside the given ones.  NULL labels are left out, NULL texts are
+    empty.  Without toxic rows the lexicon is empty and scores every text below one half.
     """
     rows = labelled.where(F.col(label).isNotNull()).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) > 0).cast("int").alias("label"))
+    terms: dict[str, float] = {}
+    everything = 0
+    for _ in range(rounds):
+        counts = written(_gram_counts(rows, Lexicon(terms)), "grams")
+        total = {r["gram"]: r for r in counts.where("gram = ''").collect()}.get("")
+        everything = everything or total and total["toxic"]
+        if not total or not total["toxic"] or total["toxic"] < unexplained * everything:
+            break
+        looked_at = counts.count()
+        weight = F.log((F.col("toxic") / total["toxic"]) / ((F.col("clean") + 0.5) / (total["clean"] + 1)))
+        proof = weight * F.col("toxic")
+        best = (counts.where("gram <> ''").select("gram", weight.alias("weight"), proof.alias("proof"))
+                .where((F.col("weight") >= math.log(least_ratio)) & (F.col("proof") >= math.log(looked_at) + evidence))
+                .orderBy(F.desc("proof"), F.length("gram"), "gram").limit(max_terms).collect())  # at most max_terms rows
+        new = 0
+        for row in best:
+            gram = row["gram"]
+            if row["proof"] >= least_share * best[0]["proof"] and not any(gram.startswith(t) or t.startswith(gram.rstrip()) for t in terms):
+                terms[gram] = round(row["weight"], 4)
+                new += 1
+        if not new:
+            break
+    lexicon = Lexicon(terms, tuple(exceptions))
+    if not terms:
+        return Lexicon({}, tuple(exceptions), 1.0, 1.0)
+    return _scaled(rows, Lexicon(terms, (*exceptions, *_learned_exceptions(rows, lexicon))))
 
+
+def _gram_counts(rows: DataFrame, known: Lexicon) -> DataFrame:
+    """Toxic texts without a known term, and clean texts, that have each gram of such a toxic text; the gram '' counts all."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {0: Counter(), 1: Counter()}
+        matcher, seen = Matcher(known), {0: Counter(), 1: Counter()}
 
         def out() -> pa.RecordBatch:
             grams = list(seen[0].keys() | seen[1].keys())
@@ -143,32 +178,18 @@ def learn_lexicon(labelled: DataFrame, *, text: str = "text", label: str = "labe
 
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if y and matcher.measure(t)[0] > 0:
+                    continue
                 grams = _grams(folded(t))
-                grams.add("")  # counts the texts
+                grams.add("")
                 seen[y].update(grams)
             if len(seen[0]) + len(seen[1]) > 1_000_000:
                 yield out()
                 seen = {0: Counter(), 1: Counter()}
         yield out()
 
-    counts = rows.mapInArrow(count, "gram string, toxic bigint, clean bigint").groupBy("gram").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    top = (counts.where(F.col("toxic") >= least_support)
-           .where((F.col("gram") == "") | (F.col("toxic") >= 0.1 * F.col("clean")))
-           .orderBy(F.col("gram") != "", (F.col("toxic") / (F.col("clean") + 1)).desc(), F.col("toxic").desc(), "gram")
-           .limit(max_terms + 1).collect())  # at most max_terms rows
-    if not top or top[0]["gram"]:
-        return Lexicon({}, exceptions, 1.0, 1.0)
-    n_toxic, n_clean = top[0]["toxic"], top[0]["clean"]
-    terms: dict[str, float] = {}
-    for row in sorted(top[1:], key=lambda r: (len(r["gram"].rstrip()), r["gram"])):
-        gram, ratio = row["gram"], ((row["toxic"] + 0.5) / (n_toxic + 1)) / ((row["clean"] + 0.5) / (n_clean + 1))
-        if ratio < least_ratio or any(gram.rstrip()[:k] in terms for k in range(5, len(gram.rstrip()))):
-            continue
-        terms[gram] = round(math.log(ratio), 4)
-    lexicon = Lexicon(terms, tuple(exceptions))
-    lexicon = Lexicon(terms, (*exceptions, *_learned_exceptions(rows, lexicon)))
-    return _scaled(rows, lexicon)
+    return rows.mapInArrow(count, "gram string, toxic bigint, clean bigint").groupBy("gram").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0 OR gram = ''")
 
 
 def _learned_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 3, most: int = 500) -> list[str]:
