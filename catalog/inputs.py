@@ -40,16 +40,26 @@ BLOCK_WORD = "(^|[^a-z])heti([^a-z]|$)"
 CONFIRM_WORD = "(^|[^a-z])qui([^a-z]|$)"
 REDACT_WORD = "(rent|rest)"
 
-#: Forwards conversation lines.
-TURNS_POLICY = load_policy({
+WORD_RULES = [
+    {"id": "block-word", "match": {"content_regex": [BLOCK_WORD]}, "action": {"type": "block"}},
+    {"id": "confirm-word", "match": {"content_regex": [CONFIRM_WORD]}, "action": {"type": "confirm"}},
+    {"id": "redact-word", "match": {"content_regex": [REDACT_WORD]}, "action": {"type": "redact", "replacement": "<$1>"}},
+]
+
+#: Forwards conversation lines; its first rule looks at files and never holds for lines.
+TURNS_POLICY = load_policy({"version": 1, "rules": [
+    {"id": "files-only", "match": {"paths": ["**"], "content_regex": ["a"]}, "action": {"type": "block"}}, *WORD_RULES]})
+
+#: Shares attachments of conversations.
+ATTACHMENTS_POLICY = load_policy({"version": 1, "rules": WORD_RULES})
+
+#: A redacting rule before both outside detectors.
+DETECTORS_POLICY = load_policy({
     "version": 1,
-    "rules": [
-        {"id": "files-only", "match": {"paths": ["**"], "content_regex": ["a"]}, "action": {"type": "block"}},
-        {"id": "block-word", "match": {"content_regex": [BLOCK_WORD]}, "action": {"type": "block"}},
-        {"id": "confirm-word", "match": {"content_regex": [CONFIRM_WORD]}, "action": {"type": "confirm"}},
-        {"id": "redact-word", "match": {"content_regex": [REDACT_WORD]},
-         "action": {"type": "redact", "replacement": "<$1>"}},
-    ]})
+    "detectors": {"secrets": {"enabled": False}, "gitleaks": {"enabled": True, "action": "redact"},
+                  "privacy_filter": {"enabled": True, "action": "redact"}},
+    "rules": [{"id": "redact-email", "match": {"content_regex": [EMAIL]},
+               "action": {"type": "redact", "replacement": "<redacted:email>"}}]})
 
 #: Kotlin declarations to hide.
 SYMBOLS = SymbolCriteria(packages=("com.acme.pay",), classes=("Ledger",), functions=("charge",),
@@ -70,8 +80,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The test tables are one file each; the session says over how many tasks to share them out."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread(table(spark, sf_dir, "documents"), shuffle_partitions(spark), "doc_id")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +142,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = text.when(shape == i, s)
     path = F.concat(F.lit("app/"), F.regexp_replace("p_brand", "#", ""), F.lit("/P"), k,
                     F.when(F.col("p_partkey") % 7 == 6, ".kts").otherwise(".kt"))
-    parts = spread(table(spark, sf_dir, "part"), "p_partkey")
+    parts = spread(table(spark, sf_dir, "part"), shuffle_partitions(spark), "p_partkey")
     return files_from_table(parts, path, text, carry=("p_partkey",))
 
 

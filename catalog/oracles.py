@@ -252,8 +252,10 @@ SELECT 1::BIGINT AS version, root, '/w/' || path AS source_path, size, mtime_ms,
        sha256(sanitized_text) AS sanitized_sha, findings FROM it""",
 
     "s5_write_staged": f"""{EVAL}
-SELECT root, 'w-' || substr(sha256('/w'), 1, 12) AS workspace, path, disposition,
-       sha256(coalesce(sanitized_text, text)) AS text_sha FROM it WHERE disposition <> 'BLOCKED'""",
+SELECT root, 'w-' || substr(sha256('/w'), 1, 12) AS workspace, path,
+       CASE WHEN doc_id % 17 = 0 THEN 'COPY_ORIGINAL' ELSE disposition END AS disposition,
+       CASE WHEN doc_id % 17 <> 0 THEN sha256(coalesce(sanitized_text, text)) END AS text_sha,
+       CASE WHEN doc_id % 17 = 0 THEN sha256(text) END AS content_sha FROM it WHERE disposition <> 'BLOCKED'""",
 
     "s6_read_detector_output": r"""
 WITH d AS (SELECT *, doc_id % 5 AS kind, n_chars AS n, n_chars // 2 AS h,
@@ -380,8 +382,9 @@ FROM src JOIN ex USING (shape) WHERE path LIKE '%.kt'""",
 SELECT path, {REDACTED} AS redacted_text FROM src WHERE path LIKE '%.kt'""",
 
     "t13_assemble_context": f"""{CONTEXT}
-SELECT request_id, string_agg(content, chr(10) ORDER BY section, ord) AS prompt, sum(length(content) + 1)::BIGINT AS chars
-FROM blocks GROUP BY 1""",
+SELECT request_id, s::BIGINT AS section, part::BIGINT AS part,
+       CASE WHEN s > 0 THEN chr(10) ELSE '' END || string_agg(content, chr(10) ORDER BY ord) AS text
+FROM (SELECT request_id, section AS s, ord // 4 AS part, ord, content FROM blocks) GROUP BY request_id, s, part""",
 
     "t13_context_lines": f"""{CONTEXT}
 SELECT request_id, section::BIGINT AS section, ord::BIGINT AS ord, content FROM blocks""",
@@ -499,7 +502,7 @@ d AS (SELECT *, len(regexp_extract_all(t, '\\{')) - len(regexp_extract_all(t, '\
 SELECT page_id, line, delta, sum(delta) OVER (PARTITION BY page_id ORDER BY line)::BIGINT AS balance FROM d""",
 
     "w4_merge_ranges": f"""WITH {LINES},
-r AS (SELECT doc_id, line, start, start + length(line_text) + line % 3 AS "end" FROM ol WHERE contains(line_text, 'en')),
+r AS (SELECT doc_id, line, start, start + length(line_text) + line % 3 AS "end" FROM ol),
 o AS (SELECT *, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start,
                          false) AS joined FROM r),
 i AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, line) AS island FROM o)
@@ -537,11 +540,34 @@ SELECT source_path AS path, event_id, op, action, {STATUS} AS status, dispositio
 SELECT user_id, event_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, event_id DESC) = 1""",
 
-    "u1_register_detector": rf"""WITH {FILES},
-a AS (SELECT *, path LIKE '%/%.jks' AS b, len(regexp_extract_all(text, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}')) AS n,
-             regexp_replace(text, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}', '<redacted>', 'g') AS r FROM f)
-SELECT path, CASE WHEN b THEN 'BLOCKED' WHEN n > 0 THEN 'WRITE_SANITIZED_TEXT' ELSE 'COPY_ORIGINAL' END AS disposition,
-       CASE WHEN NOT b AND n > 0 THEN sha256(r) END AS sanitized_sha,
-       CASE WHEN b THEN 'BLOCK|POLICY_RULE|Matched rule block-keys|block-keys'
-            WHEN n > 0 THEN 'REDACT|TEXT_SANITIZER_BACKEND|' || n || ' address(es)|addresses' ELSE '' END AS findings FROM a""",
+    "u1_register_detector": rf"""{EVAL},
+c AS (SELECT *, disposition = 'BLOCKED' AS b, coalesce(sanitized_text, text) AS now FROM it),
+a AS (SELECT *, CASE WHEN b THEN 0 ELSE len(regexp_extract_all(now, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}')) END AS n,
+             regexp_replace(now, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}', '<redacted>', 'g') AS r FROM c)
+SELECT path, CASE WHEN b THEN 'BLOCKED' WHEN r <> text THEN 'WRITE_SANITIZED_TEXT' ELSE 'COPY_ORIGINAL' END AS disposition,
+       CASE WHEN NOT b AND r <> text THEN sha256(r) END AS sanitized_sha,
+       findings || CASE WHEN n > 0 THEN CASE WHEN findings = '' THEN '' ELSE chr(10) END
+           || 'REDACT|TEXT_SANITIZER_BACKEND|' || n || ' address(es)|addresses' ELSE '' END AS findings FROM a""",
+    "j5_symbol_rule_hits": """
+SELECT 'app/' || replace(p_brand, '#', '') || '/P' || p_partkey || '.kt' AS path, 0::BIGINT AS rule_ord, 'hide-symbols' AS rule_id,
+       'REDACT' AS action FROM part WHERE p_partkey % 6 <= 3 AND p_partkey % 7 <> 6""",
+    "t1_apply_policy_detectors": rf"""WITH {FILES},
+d AS (SELECT f.*, d.lang, d.source, f.doc_id % 5 AS kind, regexp_replace(f.text, '{EMAIL}', '<redacted:email>', 'g') AS t1
+      FROM f JOIN documents d ON d.doc_id = f.doc_id),
+l AS (SELECT *, CASE WHEN kind IN (0, 3) THEN replace(replace(t1, source, '<redacted>'), lang, '<redacted>') ELSE t1 END AS t2,
+             substr(text, 1, 2) AS v1, substr(text, CAST(size // 2 AS INT) + 1, 1) AS v2 FROM d),
+v AS (SELECT *, size >= 2 AND regexp_matches(v1, '[^ \n]') AS has1, regexp_matches(v2, '[^ \n]') AS has2 FROM l),
+p AS (SELECT *, CASE WHEN has1 THEN replace(t2, v1, '<redacted>') ELSE t2 END AS t2b FROM v),
+z AS (SELECT *, CASE WHEN kind = 0 AND t2 = text THEN 'clean ' || lang WHEN kind = 1 THEN
+                  CASE WHEN has2 THEN replace(t2b, v2, '<redacted>') ELSE t2b END ELSE t2 END AS t3 FROM p)
+SELECT path, CASE WHEN t3 <> text THEN 'WRITE_SANITIZED_TEXT' ELSE 'COPY_ORIGINAL' END AS disposition,
+       CASE WHEN t3 <> text THEN sha256(t3) END AS sanitized_sha,
+       concat_ws(chr(10), CASE WHEN t1 <> text THEN 'REDACT|POLICY_RULE|Redacted content using rule redact-email|redact-email' END,
+           CASE WHEN t2 <> t1 THEN 'REDACT|TEXT_SANITIZER_BACKEND|Detected 5 secret-like value(s) via gitleaks|gitleaks' END,
+           CASE WHEN t3 <> t2 THEN 'REDACT|TEXT_SANITIZER_BACKEND|' || CASE WHEN kind = 0 THEN 'found ' || source ELSE 'careful' END
+                || '|privacy-filter' END) AS findings,
+       CASE kind WHEN 1 THEN 'nothing' WHEN 2 THEN 'unparsable' WHEN 4 THEN 'missing'
+            ELSE CASE WHEN t1 = text THEN 'ok' ELSE 'stale' END END AS leaks_status,
+       CASE kind WHEN 2 THEN 'unparsable' WHEN 3 THEN 'nothing' WHEN 4 THEN 'missing'
+            ELSE CASE WHEN t2 = text THEN 'ok' ELSE 'stale' END END AS privacy_status FROM z""",
 }

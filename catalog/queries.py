@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.functions import match, paths as P, secrets as S, text as T
 from veilframe.operators import audit, context, detectors as D, mapping, reuse, rollups, rules, symbols
-from veilframe.policy import REDACT, Toggle, policy_fingerprint
+from veilframe.policy import REDACT, policy_fingerprint
 from veilframe.sources import manifest as M, tables
 from veilframe.sources.scratch import new_folder, written
 from veilframe.sources.workspace import read_workspace
@@ -67,9 +67,12 @@ def s4_manifest_roundtrip(spark, sf_dir):
 @query
 def s5_write_staged(spark, sf_dir):
     folder = new_folder(spark, "staged")
-    M.write_staged(evaluated(spark, sf_dir), folder)
-    return spark.read.parquet(folder).select("root", "workspace", "path", "disposition",
-                                             F.sha2("text", 256).alias("text_sha"))
+    # Every 17th file is binary: it has bytes and no text.
+    files = I.files(spark, sf_dir).withColumn("content", F.encode("text", "UTF-8")).withColumn(
+        "text", F.when(F.col("doc_id") % 17 != 0, F.col("text")))
+    M.write_staged(rules.apply_policy(files, I.FILES_POLICY), folder)
+    return spark.read.parquet(folder).select("root", "workspace", "path", "disposition", F.sha2("text", 256).alias("text_sha"),
+                                             F.sha2("content", 256).alias("content_sha"))
 
 
 def detector_json(docs: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def p5_path_findings(spark, sf_dir):
 @query
 def p6_relative_path(spark, sf_dir):
     kind, page = F.col("page_id") % 5, F.col("page_id").cast("string")
-    inner = F.substring("host", 2, 1000)
+    inner = F.substring("host", F.lit(2), F.length("host"))
     raw = (F.when(kind == 0, F.concat(F.lit("/w/./"), inner, F.lit("//x/../"), page))
            .when(kind == 1, F.concat(F.lit("/w/../ext/"), inner, F.lit("/"), page))
            .when(kind == 2, F.concat(inner, F.lit("/"), page)).when(kind == 3, F.concat(F.lit("/wide/"), page))
@@ -210,6 +213,18 @@ def t1_apply_policy_symbols(spark, sf_dir):
         "path", "disposition", "sanitized_text", I.finding_lines().alias("findings"))
 
 
+@query
+def t1_apply_policy_detectors(spark, sf_dir):
+    """Detector output of a run on the original text, behind a rule that changes it."""
+    policy = I.DETECTORS_POLICY
+    files = I.files(spark, sf_dir).join(detector_json(I.documents(spark, sf_dir)).select("doc_id", "privacy_json", "leaks_json"), "doc_id")
+    readers = [D.privacy_filter_detector(policy, "privacy_json"), D.gitleaks_detector(policy, "leaks_json")]
+    items = rules.apply_policy(files, policy, detectors=readers)
+    return items.select("path", "disposition", F.sha2("sanitized_text", 256).alias("sanitized_sha"), I.finding_lines().alias("findings"),
+                        F.col("detector_status")[D.GITLEAKS].alias("leaks_status"),
+                        F.col("detector_status")[D.PRIVACY_FILTER].alias("privacy_status"))
+
+
 @query
 def t2_redact_content(spark, sf_dir):
     redacted = T.redact_content(F.col("text"), [I.PHONE, I.EMAIL, I.CARD], "[$0]")
@@ -305,14 +320,12 @@ def conversation_request(spark, sf_dir):
 def t13_assemble_context(spark, sf_dir):
     prompts, files = conversation_request(spark, sf_dir)
     return context.assemble_context(
-        rules.evaluate_prompts(prompts, I.TURNS_POLICY), turn_files(files), position="turn"
-    ).select("request_id", "prompt", F.col("chars"))
+        rules.evaluate_prompts(prompts, I.TURNS_POLICY), turn_files(files), position="turn", part_lines=4
+    ).select("request_id", F.col("section").cast("long").alias("section"), "part", "text")
 
 
 def turn_files(files: DataFrame) -> DataFrame:
-    """Attachments under the rules for turns, but for the rule that blocks all files."""
-    from dataclasses import replace
-    return rules.apply_policy(files, replace(I.TURNS_POLICY, rules=I.TURNS_POLICY.rules[1:]))
+    return rules.apply_policy(files, I.ATTACHMENTS_POLICY)
 
 
 @query
@@ -400,6 +413,12 @@ def j5_rule_hits(spark, sf_dir):
         "path", F.col("rule_ord").cast("long"), "rule_id", "action")
 
 
+@query
+def j5_symbol_rule_hits(spark, sf_dir):
+    return rules.rule_hits(I.sources(spark, sf_dir), I.SYMBOLS_POLICY).select(
+        "path", F.col("rule_ord").cast("long"), "rule_id", "action")
+
+
 @query
 def j6_block_end(spark, sf_dir):
     key = ["root", "path"]
@@ -501,7 +520,7 @@ def w2_line_offsets(spark, sf_dir):
 
 @query
 def w3_brace_balance(spark, sf_dir):
-    pages = tables.spread(I.table(spark, sf_dir, "pages"), "page_id")
+    pages = tables.spread(I.table(spark, sf_dir, "pages"), I.shuffle_partitions(spark), "page_id")
     return symbols.brace_balance(symbols.source_lines(pages, ["page_id"], "html"), ["page_id"]).select(
         "page_id", *(F.col(c).cast("long").alias(c) for c in ("line", "delta", "balance")))
 
@@ -511,7 +530,7 @@ def w4_merge_ranges(spark, sf_dir):
     docs = I.documents(spark, sf_dir)
     lined = symbols.line_offsets(symbols.source_lines(docs, ["doc_id"]), ["doc_id"])
     length = F.length("line_text")
-    ranges = lined.filter(F.col("line_text").contains("en")).select(
+    ranges = lined.select(
         "doc_id", "line", "start", (F.col("start") + length + F.col("line") % 3).cast("int").alias("end"),
         F.concat(F.lit("l"), F.col("line").cast("string")).alias("description"))
     return symbols.merge_ranges(ranges, ["doc_id"]).select(
@@ -609,9 +628,6 @@ def address_detector():
 
 @query
 def u1_register_detector(spark, sf_dir):
-    from dataclasses import replace
-    policy = replace(I.FILES_POLICY, rules=I.FILES_POLICY.rules[:2], detectors=replace(
-        I.FILES_POLICY.detectors, secrets=Toggle(False)))
-    items = rules.apply_policy(I.files(spark, sf_dir), policy, detectors=[address_detector()])
+    items = rules.apply_policy(I.files(spark, sf_dir), I.FILES_POLICY, detectors=[address_detector()])
     return items.select("path", "disposition", F.sha2("sanitized_text", 256).alias("sanitized_sha"),
                         I.finding_lines().alias("findings"))

@@ -5,9 +5,10 @@ import pytest
 from check_queries import compare, connect
 
 import __spark_entry__ as entry
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
 
 

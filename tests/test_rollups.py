@@ -48,7 +48,7 @@ def test_top_findings_follow_the_traversal(spark):
         ("B", "CONFIRM", "ask"), ("a/b/c", "CONFIRM", "ask"), ("a/z", "CONFIRM", "ask"), ("a/z", "REDACT", "word"), ("a-b", "CONFIRM", "ask"), ("z/00", "CONFIRM", "ask")]
     assert {r.more for r in rows} == {9}
     plan = top_findings(explode_findings(items(spark, *files), "root", "path"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2  # ranked before and after the shuffle
+    assert plan.count("WindowGroupLimit") == 4  # per salt and per root, each before and after its shuffle
 
 
 def test_summary_labels(spark):
@@ -61,10 +61,16 @@ def test_context(spark):
     prompts = spark.createDataFrame([(1, "Do it"), (2, "Alone"), (3, "All blocked")], "request_id long, sanitized_text string")
     files = spark.createDataFrame([(1, "b", 0, "COPY_ORIGINAL"), (1, "a", 1, "WRITE_SANITIZED_TEXT"), (1, "k", 2, "BLOCKED"), (3, "k", 0, "BLOCKED")],
                                   "request_id long, path string, position long, disposition string")
-    out = {r.request_id: r.prompt for r in assemble_context(prompts, files).collect()}
+    def whole(parts):
+        texts = {}
+        for r in parts.orderBy("section", "part").collect():
+            texts[r.request_id] = texts.get(r.request_id, "") + r.text
+        return texts
+
+    out = whole(assemble_context(prompts, files))
     assert out == {1: f"Do it\n\n{CONTEXT_HEAD}\n- b\n- a\n\n{CONTEXT_TAIL}", 2: "Alone", 3: "All blocked"}
-    small = {r.request_id: r.prompt for r in assemble_context(prompts, files, max_chars=20).collect()}
-    assert small == {1: None, 2: "Alone", 3: "All blocked"}
+    parts = assemble_context(prompts, files, part_lines=1)
+    assert whole(parts) == out and parts.filter("request_id = 1").count() == 5
     lines = context_lines(prompts, files).filter("request_id = 1").orderBy("section", "ord").collect()
     assert "\n".join(r.content for r in lines) == out[1]
 

@@ -21,7 +21,7 @@ def policy(*rules, secrets="redact", **detectors):
 def run(spark, p, *files, detectors=()):
     frame = spark.createDataFrame([("/w", path, text) for path, text in files], SCHEMA)
     out = apply_policy(frame, p, detectors=detectors)
-    assert out.columns == ["root", "path", "text", "disposition", "sanitized_text", "findings"]
+    assert out.columns == ["root", "path", "text", "disposition", "sanitized_text", "findings", "detector_status"]
     return {r.path: (r.disposition, r.sanitized_text, [(f.action, f.rule_id or f.source) for f in r.findings])
             for r in out.collect()}
 

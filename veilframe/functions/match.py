@@ -74,7 +74,8 @@ def required_literals(pattern: str) -> tuple[str, ...]:
     """Plain texts of which every match contains at least one, empty if unknown.
 
     One per alternative at the top: its longest run of plain characters.  Groups
-    and classes are stepped over; anything unusual gives no literals.
+    and classes are stepped over; anything unusual gives no literals.  Of escapes,
+    only the common classes, ``\\b``, ``\\B`` and escaped punctuation are known.
     """
     best, runs, run, i = [], [""], "", 0
 
@@ -99,7 +100,7 @@ def required_literals(pattern: str) -> tuple[str, ...]:
             at += 1
         return -1
 
-    if re.search(r"\\[QE1-9k]|\(\?[^:]", pattern):
+    if re.search(r"\\[QE1-9kcN]|\(\?[^:]", pattern):
         return ()
     while i < len(pattern):
         c, char = pattern[i], ""
@@ -116,9 +117,9 @@ def required_literals(pattern: str) -> tuple[str, ...]:
         elif c == "\\":
             if i + 1 == len(pattern):
                 return ()
-            char = "" if pattern[i + 1].isalnum() else pattern[i + 1]
-            if pattern[i + 1] in "pPxuN":
+            if pattern[i + 1].isalnum() and pattern[i + 1] not in "dwsbDWSB":
                 return ()
+            char = "" if pattern[i + 1].isalnum() else pattern[i + 1]
             i += 2
         else:
             char = "" if c in "^$." else c

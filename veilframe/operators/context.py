@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import is_sanitizable_line
 from ..policy import BLOCK, CONFIRM, Policy
-from ..sources.scratch import written
-from .joins import spread_join
 from .rules import BLOCKED, evaluate_prompts, has_action
 
 CONTEXT_HEAD = "These cleaned files may be read for more context:"
 CONTEXT_TAIL = "Paths are relative to the cleaned workspace, which is the current directory."
 
-#: A prompt assembled into one cell may have this many characters.
-MAX_PROMPT_CHARS = 1 << 26
+#: Positions of files in one part of an assembled prompt.
+PART_LINES = 1024
 
 
 def context_lines(prompts: DataFrame, files: DataFrame, *, request: str = "request_id",
@@ -44,20 +42,19 @@ def context_lines(prompts: DataFrame, files: DataFrame, *, request: str = "reque
 
 
 def assemble_context(prompts: DataFrame, files: DataFrame, *, request: str = "request_id", path: str = "path",
-                     position: str = "position", max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """One prompt text per request that fits a cell; ``prompt`` is NULL for larger ones.
+                     position: str = "position", part_lines: int = PART_LINES) -> DataFrame:
+    """The prompt of every request in parts (request, section, part, text).
 
-    The blocks are written to the shared folder first, as they are read twice:
-    to sum up sizes, and to gather the requests that fit.  Larger requests are
-    not gathered: write them from ``context_lines``, which holds each one whole.
+    A part holds the lines of ``part_lines`` positions, so its size is bounded however many
+    files a request has; the texts in the order of section and part, one after the other,
+    are the whole prompt.  Requests of any size are spread over the cluster by part.
     """
-    blocks = written(context_lines(prompts, files, request=request, path=path, position=position), "context")
-    sizes = blocks.groupBy(request).agg(F.sum(F.length("content") + 1).alias("chars"))
-    fitting = sizes.filter(F.col("chars") <= max_chars)
-    texts = spread_join(blocks, fitting.select(request), [request], "left_semi", ["section", "ord"]).groupBy(request).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "ord", "content"))),
-                                 lambda b: b["content"]), "\n").alias("prompt"))
-    return sizes.join(texts, request, "left")
+    blocks = context_lines(prompts, files, request=request, path=path, position=position)
+    part = F.floor(F.col("ord") / part_lines).alias("part")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("ord", "content"))), lambda b: b["content"])
+    before = F.when(F.col("section") == 0, "").otherwise("\n")
+    return blocks.groupBy(request, "section", part).agg(F.array_join(lines, "\n").alias("_lines")).select(
+        request, "section", "part", F.concat(before, "_lines").alias("text"))
 
 
 def sanitize_turns(turns: DataFrame, policy: Policy, *, approve: bool = False, text: str = "text",

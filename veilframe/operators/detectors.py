@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,7 +21,8 @@ LEAKS_SCHEMA = "array<struct<Secret:string>>"
 
 RESULT_TYPE = "struct<redacted_text:string,matched_values:array<string>,summary:string,status:string>"
 
-OK, NOTHING, MISSING, UNPARSABLE = "ok", "nothing", "missing", "unparsable"
+#: ``stale``: the output belongs to another text than the one it is applied to.
+OK, NOTHING, MISSING, UNPARSABLE, STALE = "ok", "nothing", "missing", "unparsable", "stale"
 
 
 def _result(redacted: Column, values: Column, summary: Column, status: Column) -> Column:
@@ -29,23 +30,36 @@ def _result(redacted: Column, values: Column, summary: Column, status: Column) -
                     summary.alias("summary"), status.alias("status")).cast(RESULT_TYPE)
 
 
-def privacy_result(json: Column, text: Column) -> Column:
-    """Result of the privacy filter's JSON for the text it was run on."""
+def privacy_result(json: Column, text: Column, seen: Column | None = None) -> Column:
+    """Result of the privacy filter's JSON for ``text``.
+
+    ``seen`` is the text it was run on, ``text`` itself if not given.  Where they
+    differ, neither its redacted text nor its offsets fit: values are taken from the
+    text that it saw, to be redacted by value, and the status is ``stale``.
+    """
+    seen = text if seen is None else seen
+    stale = ~seen.eqNullSafe(text)
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     parsed = F.from_json(F.trim(json), PRIVACY_SCHEMA)
     broken = parsed.isNull() | parsed["_corrupt_record"].isNotNull()
-    values = extract_spans(text, parsed["detected_spans"])
+    values = extract_spans(seen, parsed["detected_spans"])
     signal = parsed["redacted_text"].isNotNull() | (F.size(values) > 0)
     summary = F.coalesce(parsed["summary"], parsed["warning"],
                          F.lit("Detected sensitive text via privacy-filter"))
     return (F.when(json.isNull(), _result(none, empty, none, F.lit(MISSING)))
             .when(broken, _result(none, empty, none, F.lit(UNPARSABLE)))
+            .when(signal & stale, _result(none, values, summary, F.lit(STALE)))
             .when(signal, _result(parsed["redacted_text"], values, summary, F.lit(OK)))
             .otherwise(_result(none, empty, none, F.lit(NOTHING))))
 
 
-def leaks_result(json: Column, text: Column | None = None) -> Column:
-    """Result of the leak scanner's JSON list; masked values name no text."""
+def leaks_result(json: Column, text: Column, seen: Column | None = None) -> Column:
+    """Result of the leak scanner's JSON list; masked values name no text.
+
+    Its values are redacted by value, also in another text than the one ``seen``;
+    the status is ``stale`` then.
+    """
+    stale = ~(text if seen is None else seen).eqNullSafe(text)
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     body = F.trim(json)
     parsed = F.from_json(body, LEAKS_SCHEMA)
@@ -57,7 +71,7 @@ def leaks_result(json: Column, text: Column | None = None) -> Column:
             .when((body == "") | (body == "[]"), _result(none, empty, none, F.lit(NOTHING)))
             .when(parsed.isNull(), _result(none, empty, none, F.lit(UNPARSABLE)))
             .when(F.size(parsed) == 0, _result(none, empty, none, F.lit(NOTHING)))
-            .otherwise(_result(none, secrets, summary, F.lit(OK))))
+            .otherwise(_result(none, secrets, summary, F.when(stale, STALE).otherwise(OK))))
 
 
 def read_detector_output(df: DataFrame, json_col: str, kind: str, text_col: str = "text") -> DataFrame:
@@ -70,29 +84,42 @@ def read_detector_output(df: DataFrame, json_col: str, kind: str, text_col: str
 
 @dataclass(frozen=True)
 class Detector:
-    """A detector for the policy fold: ``result`` maps the text to RESULT_TYPE."""
+    """A detector for the policy fold: ``result`` maps the text to RESULT_TYPE.
+
+    ``version`` is for the manifest: a detector or output that has changed needs
+    another one, or earlier decisions are replayed.
+    """
 
     id: str
     action: str
     result: Callable[[Column], Column]
     toggle: str | None = None
+    version: str = "1"
 
     def enabled(self, policy: Policy) -> bool:
         return self.toggle is None or getattr(policy.detectors, self.toggle).enabled
 
 
-def gitleaks_detector(policy: Policy, json_col: str) -> Detector:
+def gitleaks_detector(policy: Policy, json_col: str, seen_col: str = "text", version: str = "1") -> Detector:
+    """The leak scanner's output in ``json_col``, of a run on the text in ``seen_col``."""
     return Detector(GITLEAKS, policy.detectors.gitleaks.action,
-                    lambda text: leaks_result(F.col(json_col), text), "gitleaks")
+                    lambda text: leaks_result(F.col(json_col), text, F.col(seen_col)), "gitleaks", version)
 
 
-def privacy_filter_detector(policy: Policy, json_col: str) -> Detector:
+def privacy_filter_detector(policy: Policy, json_col: str, seen_col: str = "text", version: str = "1") -> Detector:
+    """The privacy filter's output in ``json_col``, of a run on the text in ``seen_col`` (see ``rules.text_for_detectors``)."""
     return Detector(PRIVACY_FILTER, policy.detectors.privacy_filter.action,
-                    lambda text: privacy_result(F.col(json_col), text), "privacy_filter")
+                    lambda text: privacy_result(F.col(json_col), text, F.col(seen_col)), "privacy_filter", version)
+
+
+def in_stage_order(detectors: Sequence[Detector]) -> list[Detector]:
+    """The leak scanner, the privacy filter, then plugged detectors as given."""
+    known = {GITLEAKS: 0, PRIVACY_FILTER: 1}
+    return sorted(detectors, key=lambda d: known.get(d.id, len(known)))
 
 
 def register_detector(detector_id: str, fn: Callable[[pd.Series], pd.DataFrame], action: str = REDACT,
-                      toggle: str | None = None) -> Detector:
+                      toggle: str | None = None, version: str = "1") -> Detector:
     """Plug in a Python detector, run on Arrow batches of texts.
 
     ``fn`` gets a Series without nulls and returns a DataFrame of the same
@@ -115,7 +142,7 @@ def register_detector(detector_id: str, fn: Callable[[pd.Series], pd.DataFrame],
         return out
 
     udf = F.pandas_udf(batch, RESULT_TYPE)
-    return Detector(detector_id, action, lambda text: udf(text), toggle)
+    return Detector(detector_id, action, lambda text: udf(text), toggle, version)
 
 
 def apply_detector(df: DataFrame, detector: Detector, replacement: str = "<redacted>", *,

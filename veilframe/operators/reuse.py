@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import absolute_chain
 from ..policy import Policy, policy_fingerprint
+from ..sources.scratch import written
 from .joins import spread_join
-from .rules import apply_policy
+from .rules import STATUS_TYPE, apply_policy
 
 MANIFEST_VERSION = 1
 
@@ -33,20 +34,23 @@ def reuse_decisions(files: DataFrame, manifest: DataFrame, policy: Policy, *,
     """Decision per file: replayed where path, policy, size and mtime are unchanged.
 
     Files need root, source_path, path, text, size, mtime_ms; ``carry`` names
-    further narrow columns to keep.  Hits are a join
-    of narrow keys with the manifest and never read a text.  Only the texts of
-    the misses are evaluated; in the usual incremental run these are few, and
-    adaptive execution then broadcasts their keys by measured size.
+    further narrow columns to keep.  Hits are a join of narrow keys with the manifest;
+    no text is below them in the plan.  The keys of the misses are written first, so the
+    planner knows their size: texts are then read beside a broadcast of few keys, without
+    a shuffle, or shuffled once if there are many.  Only the misses' texts are evaluated.
+    A table scan still passes over the other texts' pages; ``read_workspace`` does not.
     """
-    valid = valid_entries(manifest, policy_fingerprint(policy))
+    valid = valid_entries(manifest, policy_fingerprint(policy, detectors))
+    if "detector_status" not in valid.columns:
+        valid = valid.withColumn("detector_status", F.lit(None).cast(STATUS_TYPE))
     keys = files.select(*DECISION_KEY, *carry)
-    stored = valid.select(*DECISION_KEY, "disposition", "sanitized_text", "findings")
+    stored = valid.select(*DECISION_KEY, "disposition", "sanitized_text", "findings", "detector_status")
     hits = keys.join(stored, list(DECISION_KEY), "inner").withColumn("cache_hit", F.lit(True))
-    miss_keys = files.select(*DECISION_KEY).join(valid.select(*DECISION_KEY), list(DECISION_KEY), "left_anti")
+    miss_keys = written(files.select(*DECISION_KEY).join(valid.select(*DECISION_KEY), list(DECISION_KEY), "left_anti"), "misses")
     misses = apply_policy(files.join(miss_keys, list(DECISION_KEY), "left_semi"), policy,
                           key=("root", "path"), detectors=detectors)
     return hits.unionByName(misses.select(
-        *DECISION_KEY, *carry, "disposition", "sanitized_text", "findings", F.lit(False).alias("cache_hit")))
+        *DECISION_KEY, *carry, "disposition", "sanitized_text", "findings", "detector_status", F.lit(False).alias("cache_hit")))
 
 
 def removed_paths(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -111,17 +111,17 @@ def sync_status(blocked: Column, redacted: Column) -> Column:
     return F.when(blocked > 0, "blocked").when(redacted > 0, "redacted").otherwise("pass-through")
 
 
-def top_findings(findings: DataFrame, k: int = 10, path: str = "path") -> DataFrame:
+def top_findings(findings: DataFrame, k: int = 10, path: str = "path", salts: int = 64) -> DataFrame:
     """First k findings per root in traversal order, with the number of others.
 
-    Needs root, path, finding_ord and the finding columns.  The rank filter is
-    applied before the shuffle already (at most k rows per root and task), and
-    totals are a separate partial aggregation.  Findings are read twice, so pass
-    a stored table.
+    Needs root, path, finding_ord and the finding columns.  Findings are ranked per root
+    and salt first, and only k of each go on to the ranking per root, for any k; totals are
+    a separate partial aggregation.  Findings are read twice, so pass a stored table.
     """
-    notable = findings.filter(F.col("action") != ALLOW)
-    order = Window.partitionBy("root").orderBy(F.split(F.col(path), "/"), "finding_ord")
-    shown = notable.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    notable = findings.filter(F.col("action") != ALLOW).withColumn("_salt", F.pmod(F.xxhash64(path, "finding_ord"), F.lit(salts)))
+    order = (F.split(F.col(path), "/"), F.col("finding_ord"))
+    some = notable.withColumn("rank", F.row_number().over(Window.partitionBy("root", "_salt").orderBy(*order))).filter(F.col("rank") <= k)
+    shown = some.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(*order))).filter(F.col("rank") <= k)
     more = findings.groupBy("root").agg((F.count(F.lit(1)) - F.least(
         F.count_if(F.col("action") != ALLOW), F.lit(k))).alias("more"))
     return shown.join(more, "root").select("root", "rank", path, "action", finding_label().alias("label"), "more")

@@ -8,6 +8,8 @@ except for Kotlin files under symbol rules (see ``operators.symbols``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +22,8 @@ from .symbols import may_match, with_symbol_ranges
 
 FINDING_TYPE = "struct<target:string,action:string,source:string,message:string,rule_id:string>"
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
+#: Status of each detector that ran, by its id.
+STATUS_TYPE = "map<string,string>"
 
 POLICY_RULE = "POLICY_RULE"
 SECRET_DETECTOR = "SECRET_DETECTOR"
@@ -79,6 +83,7 @@ class _TextPass:
         self.df = df.withColumn(_P + "text0", first_text)
         self.policy, self.path, self.target = policy, path, target
         self.text, self.pending, self.items, self.version = F.col(_P + "text0"), {}, [], 0
+        self.statuses: list[Column] = []
 
     def _name(self, kind: str) -> str:
         self.version += 1
@@ -158,6 +163,7 @@ class _TextPass:
             return
         name = self.extend("detected", detector.result(self.text))
         result = F.col(name)
+        self.statuses += [F.lit(detector.id), result["status"]]
         hit = self.flag(self.text.isNotNull() & (
             result["redacted_text"].isNotNull() | (F.size(result["matched_values"]) > 0)))
         if detector.action == REDACT:
@@ -168,9 +174,10 @@ class _TextPass:
             self.replace(hit, summary_of_detector(detector.id))
         self.report(hit, detector.action, TEXT_SANITIZER_BACKEND, detector_message(name, detector), detector.id)
 
-    def finish(self) -> tuple[DataFrame, Column, Column]:
+    def finish(self) -> tuple[DataFrame, Column, Column, Column]:
         self._flush()
-        return self.df, self.text, _findings(self.items)
+        status = F.create_map(*self.statuses) if self.statuses else F.create_map()
+        return self.df, self.text, _findings(self.items), status.cast(STATUS_TYPE)
 
 
 def described_ranges(ranges: Column, replacement: str) -> Column:
@@ -200,11 +207,13 @@ def _settled(df: DataFrame, keep: Sequence[str], **results: Column) -> DataFrame
 
 def evaluate_texts(df: DataFrame, policy: Policy, *, path: Column | None, text: Column, target: str,
                    key: Sequence[str] = (), detectors: Sequence = (), symbol_files: bool = False):
-    """Run the text pass; gives (frame, final text, findings). NULL texts are skipped."""
+    """Run the text pass; gives (frame, final text, findings, detector status). NULL texts are skipped."""
+    from .detectors import in_stage_order
+
     run = _TextPass(df, policy, path, target, text)
     run.rules(symbol_files, key)
     run.secrets()
-    for detector in detectors:
+    for detector in in_stage_order(detectors):
         if detector.enabled(policy):
             run.detector(detector)
     return run.finish()
@@ -217,7 +226,9 @@ def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text:
 
     ``path`` is relative to the root, ``text`` is NULL for binary files and
     ``key`` identifies a file.  Adds ``disposition``, ``sanitized_text`` (only
-    where it differs from the original) and ``findings``.
+    where it differs from the original), ``findings`` and ``detector_status`` (by
+    detector id, so output that is missing, unreadable or of another text never looks
+    like a clean text).
     """
     target = F.col(path) if target is None else target
     # The dispositions of path rules come first: a blocked path ends the
@@ -227,14 +238,14 @@ def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text:
     blocked = has_action(F.col(_P + "path_findings"), BLOCK)
 
     def run(df: DataFrame, symbol_files: bool) -> DataFrame:
-        df, final, found = evaluate_texts(
+        df, final, found, status = evaluate_texts(
             df, policy, path=F.col(path), text=F.when(~blocked, F.col(text)), target=_P + "target", key=key,
             detectors=detectors, symbol_files=symbol_files)
         df = df.withColumn("findings", F.concat(F.col(_P + "path_findings"), found))
         df = df.withColumn("disposition", F.when(has_action(F.col("findings"), BLOCK), BLOCKED)
                            .when(final != F.col(text), WRITE_SANITIZED_TEXT).otherwise(COPY_ORIGINAL))
         return _settled(df, files.columns, disposition=F.col("disposition"), sanitized_text=F.when(
-            F.col("disposition") == WRITE_SANITIZED_TEXT, final), findings=F.col("findings"))
+            F.col("disposition") == WRITE_SANITIZED_TEXT, final), findings=F.col("findings"), detector_status=status)
 
     if not policy.has_symbol_rules:
         return run(staged, False)
@@ -264,12 +275,24 @@ def evaluate_prompts(prompts: DataFrame, policy: Policy, *, text: str = "text",
                      label: str = "source_label", detectors: Sequence = ()) -> DataFrame:
     """Evaluate prompts: no path, so rules with path or symbol criteria never match.
 
-    Adds ``sanitized_text`` (always set), ``was_redacted`` and ``findings``.
+    Adds ``sanitized_text`` (always set), ``was_redacted``, ``findings`` and ``detector_status``.
     """
     target = F.concat(F.lit("prompt:"), F.col(label))
-    df, final, found = evaluate_texts(prompts.withColumn(_P + "target", target), policy, path=None, text=F.col(text),
+    df, final, found, status = evaluate_texts(prompts.withColumn(_P + "target", target), policy, path=None, text=F.col(text),
                                       target=_P + "target", detectors=detectors)
-    return _settled(df, prompts.columns, sanitized_text=final, was_redacted=final != F.col(text), findings=found)
+    return _settled(df, prompts.columns, sanitized_text=final, was_redacted=final != F.col(text), findings=found,
+                    detector_status=status)
+
+
+def text_for_detectors(files: DataFrame, policy: Policy, *, path: str = "path", text: str = "text",
+                       key: Sequence[str] = ("root", "path"), into: str = "detector_text") -> DataFrame:
+    """Adds the text that the detector stage sees: after all rules and secrets, NULL for blocked and binary files.
+
+    Outside detectors have to be run on this text; name the column in ``seen_col`` of
+    their readers.
+    """
+    done = apply_policy(files, policy, path=path, text=text, key=key)
+    return done.select(*files.columns, F.when(F.col("disposition") != BLOCKED, F.coalesce("sanitized_text", text)).alias(into))
 
 
 def all_findings(prompts: DataFrame, files: DataFrame, *, request: str = "request_id") -> DataFrame:
@@ -292,15 +315,28 @@ def explode_findings(items: DataFrame, *carry: str) -> DataFrame:
 
 
 def rule_hits(files: DataFrame, policy: Policy, *, path: str = "path", text: str = "text",
-              carry: Sequence[str] = ("path",)) -> DataFrame:
+              carry: Sequence[str] = ("path",), key: Sequence[str] = ("root", "path")) -> DataFrame:
     """Which rule matches which original text: one row per (file, matching rule).
 
     Patterns are compiled into the scan as literals and only hits are exploded,
-    so the cost is one pass and no pair of file and rule is ever formed.
+    so the cost is one pass and no pair of file and rule is ever formed.  Symbol
+    rules look at the Kotlin files that may match one of them; ``key`` identifies a file.
     """
-    hits = F.array_compact(F.array(*(
-        F.when(F.coalesce(rule_matches(rule.match, F.col(path), F.col(text)), F.lit(False)),
-               F.struct(F.lit(i).alias("rule_ord"), F.lit(rule.id).alias("rule_id"),
-                        F.lit(rule.action).alias("action")))
-        for i, rule in enumerate(policy.rules) if rule.match.kotlin is None)))
-    return files.select(*carry, F.explode(hits).alias("hit")).select(*carry, "hit.*")
+    def entry(i: int, rule: Rule, found: Column | None) -> Column:
+        holds = F.coalesce(rule_matches(rule.match, F.col(path), F.col(text), found), F.lit(False))
+        return F.when(holds, F.struct(F.lit(i).alias("rule_ord"), F.lit(rule.id).alias("rule_id"), F.lit(rule.action).alias("action")))
+
+    def exploded(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
+        return df.select(*carry, F.explode(F.array_compact(F.array(*entries))).alias("hit")).select(*carry, "hit.*")
+
+    plain = [(i, r) for i, r in enumerate(policy.rules) if r.match.kotlin is None]
+    symbols = [(i, r) for i, r in enumerate(policy.rules) if r.match.kotlin is not None]
+    parts = [exploded(files, [entry(i, r, None) for i, r in plain])] if plain else []
+    if symbols:
+        mention = F.coalesce(F.col(path).endswith(".kt"), F.lit(False)) & reduce(
+            or_, (may_match(F.col(text), r.match.kotlin) for _, r in symbols))
+        ranged = files.select(*dict.fromkeys([*key, *carry, path, text])).filter(F.coalesce(mention, F.lit(False)))
+        for i, r in symbols:
+            ranged = with_symbol_ranges(ranged, r.match.kotlin, key, F.col(text), f"{_P}ranges{i}")
+        parts.append(exploded(ranged, [entry(i, r, F.size(f"{_P}ranges{i}") > 0) for i, r in symbols]))
+    return reduce(DataFrame.unionByName, parts)

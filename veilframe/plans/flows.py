@@ -39,7 +39,7 @@ def evaluate_requests(prompts: DataFrame, files: DataFrame, policy: Policy, *, m
 
 
 DECISION_COLUMNS = ("root", "source_path", "path", "size", "mtime_ms", "disposition", "sanitized_text", "findings",
-                    "cache_hit")
+                    "detector_status", "cache_hit")
 
 
 @dataclass(frozen=True)

@@ -191,8 +191,9 @@ def validated(policy: Policy) -> Policy:
     return policy
 
 
-def policy_fingerprint(policy: Policy) -> str:
-    """SHA-256 of the canonical policy and the secret pack version."""
-    canonical = json.dumps([asdict(policy), SECRET_PACK_VERSION], sort_keys=True,
+def policy_fingerprint(policy: Policy, detectors=()) -> str:
+    """SHA-256 of the canonical policy, the secret pack version, and ids, actions and versions of plugged detectors."""
+    plugged = [[[d.id, d.action, d.version] for d in detectors]] if detectors else []
+    canonical = json.dumps([asdict(policy), SECRET_PACK_VERSION, *plugged], sort_keys=True,
                            ensure_ascii=False, separators=(",", ":"))
     return hashlib.sha256(canonical.encode("utf-8")).hexdigest()

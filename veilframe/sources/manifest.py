@@ -2,51 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import workspace_key
 from ..operators.reuse import MANIFEST_VERSION, valid_entries
-from ..operators.rules import BLOCKED, FINDINGS_TYPE, WRITE_SANITIZED_TEXT
+from ..operators.rules import BLOCKED, FINDINGS_TYPE, STATUS_TYPE, WRITE_SANITIZED_TEXT
 from ..policy import Policy, policy_fingerprint
 
 MANIFEST_SCHEMA = ("version int, policy_fingerprint string, root string, source_path string, size long, "
-                   f"mtime_ms long, disposition string, sanitized_text string, findings {FINDINGS_TYPE}")
+                   f"mtime_ms long, disposition string, sanitized_text string, findings {FINDINGS_TYPE}, "
+                   f"detector_status {STATUS_TYPE}")
 
 
-def manifest_entries(decisions: DataFrame, policy: Policy) -> DataFrame:
+def manifest_entries(decisions: DataFrame, policy: Policy, detectors: Sequence = ()) -> DataFrame:
     return decisions.select(
-        F.lit(MANIFEST_VERSION).alias("version"), F.lit(policy_fingerprint(policy)).alias("policy_fingerprint"),
-        "root", "source_path", "size", "mtime_ms", "disposition", "sanitized_text", "findings")
+        F.lit(MANIFEST_VERSION).alias("version"), F.lit(policy_fingerprint(policy, detectors)).alias("policy_fingerprint"),
+        "root", "source_path", "size", "mtime_ms", "disposition", "sanitized_text", "findings", "detector_status")
 
 
-def write_manifest(decisions: DataFrame, path: str, policy: Policy) -> None:
+def write_manifest(decisions: DataFrame, path: str, policy: Policy, detectors: Sequence = ()) -> None:
     """Write the decisions, spread and sorted by source path.
 
     Paths are unique, so the hash spreads evenly even if one root holds all
     files, and the sort within a file gives a scan useful min/max statistics.
     """
-    manifest_entries(decisions, policy).repartition("root", "source_path") \
+    manifest_entries(decisions, policy, detectors).repartition("root", "source_path") \
         .sortWithinPartitions("source_path").write.mode("overwrite").parquet(path)
 
 
-def read_manifest(spark: SparkSession, path: str, policy: Policy) -> DataFrame:
-    """Entries of the manifest that still apply to the policy; none on the first run."""
+def read_manifest(spark: SparkSession, path: str, policy: Policy, detectors: Sequence = ()) -> DataFrame:
+    """Entries of the manifest that still apply to the policy and detectors; none on the first run."""
     try:
         entries = spark.read.schema(MANIFEST_SCHEMA).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         entries = spark.createDataFrame([], MANIFEST_SCHEMA)
-    return valid_entries(entries, policy_fingerprint(policy))
+    return valid_entries(entries, policy_fingerprint(policy, detectors))
 
 
 def staged_items(items: DataFrame) -> DataFrame:
-    """What may be shared: blocked items left out, sanitised text where it differs."""
+    """What may be shared: blocked items left out, sanitised text where it differs.
+
+    Original bytes go along only where there is no text.
+    """
     text = F.when(F.col("disposition") == WRITE_SANITIZED_TEXT, F.col("sanitized_text")).otherwise(F.col("text"))
     return items.filter(F.col("disposition") != BLOCKED).select(
         "root", workspace_key(F.col("root")).alias("workspace"), "path", "disposition", text.alias("text"),
-        *[c for c in ("content",) if c in items.columns])
+        *[F.when(text.isNull(), F.col(c)).alias(c) for c in ("content",) if c in items.columns])
 
 
 def write_staged(items: DataFrame, path: str) -> None:

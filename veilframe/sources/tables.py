@@ -35,15 +35,13 @@ def files_from_table(df: DataFrame, path: Column, text: Column | str, *, root: C
                      path.alias("path"), text.alias("text"), size.alias("size"), mtime.alias("mtime_ms"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a small input by key if it has no more partitions than cores.
+def spread(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Share out an input that is one file, or one row group, over ``partitions`` tasks.
 
-    Pattern matching is bound by CPU, so an input that is one file, or one row
-    group, is shared out.  At most one scan partition per core is ever moved; a
-    larger input has partitions enough and is not shuffled.
+    Pattern matching is bound by CPU.  This moves all rows: a table of many files is better
+    left as it is and split by ``spark.sql.files.maxPartitionBytes``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores, *keys)
+    return df.repartition(partitions, *keys)
 
 
 def rules_frame(spark: SparkSession, policy: Policy, policy_id: str = "policy") -> DataFrame:
