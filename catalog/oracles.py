@@ -530,6 +530,25 @@ FROM (SELECT *, unnest(found) AS x, generate_subscripts(found, 1) - 1 AS ord FRO
     "r1_sync_stream": f"""{SYNCED}
 SELECT source_path AS path, event_id, {STATUS} AS status, sha256(t6) AS text_sha FROM synced WHERE action = 'UPDATED'""",
 
+    "r1_sync_manifest": f"""{SYNCED}
+SELECT source_path AS path, length(text) AS size, disposition,
+       CASE WHEN disposition = 'WRITE_SANITIZED_TEXT' THEN sha256(t6) END AS sanitized_sha, true AS cache_hit
+FROM synced WHERE NOT ignored AND op <> 'DELETE'""",
+    "workspace_run": f"""{WORKSPACE}
+SELECT root, path, disposition, doc_id % 7 <> 0 AS cache_hit, sha256(coalesce(sanitized_text, text)) AS text_sha
+FROM it WHERE disposition <> 'BLOCKED'""",
+    "j3_map_includes": rf"""WITH {PAGES}, mp AS (
+  SELECT session, 0 AS rank, min(page_id) AS ord, host AS from_path, '/stage' AS to_path FROM pg WHERE host LIKE '/blog.%' GROUP BY session, host
+  UNION ALL SELECT session, 1, min(page_id), section, '/stage/_external/' || min(page_id) FROM pg WHERE host LIKE '/www.%' GROUP BY session, section
+  UNION ALL SELECT session, 1, max(page_id), host, '/stage/_external/' || max(page_id) FROM pg WHERE host LIKE '/www.%' GROUP BY session, host),
+w AS (SELECT DISTINCT session, unnest([path, section, host, '/']) AS path FROM pg),
+best AS (
+  SELECT w.session, w.path, mp.from_path, mp.to_path
+  FROM w LEFT JOIN mp ON mp.session = w.session
+       AND (w.path = mp.from_path OR (mp.rank = 0 AND starts_with(w.path, mp.from_path || '/')))
+  QUALIFY row_number() OVER (PARTITION BY w.session, w.path ORDER BY mp.rank, mp.ord, mp.from_path) = 1)
+SELECT session, path, CASE WHEN from_path IS NOT NULL THEN to_path || substr(path, length(from_path) + 1)
+       WHEN path = '/' THEN '/' ELSE '/stage/_external/' || regexp_extract(path, '[^/]*$') END AS staged_path FROM best""",
     "r1_sync_batch": f"""{SYNCED}
 SELECT source_path AS path, event_id, op, action, {STATUS} AS status, disposition,
        CASE WHEN ignored OR op = 'DELETE' THEN '' ELSE findings END AS findings FROM synced""",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.functions import match, paths as P, secrets as S, text as T
 from veilframe.operators import audit, context, detectors as D, mapping, reuse, rollups, rules, symbols
+from veilframe.plans import flows
 from veilframe.policy import REDACT, policy_fingerprint
 from veilframe.sources import manifest as M, tables
 from veilframe.sources.scratch import new_folder, written
@@ -393,6 +394,13 @@ def j3_map_paths(spark, sf_dir):
     return mapping.map_paths(pages, staged_mapping(pages), "/stage")
 
 
+@query
+def j3_map_includes(spark, sf_dir):
+    pages = I.page_paths(spark, sf_dir)
+    wanted = pages.select("session", F.explode(F.array("path", "section", "host", F.lit("/"))).alias("path"))
+    return mapping.map_includes(wanted, staged_mapping(pages), "/stage")
+
+
 @query
 def j4_nearest_policy(spark, sf_dir):
     pages = I.page_paths(spark, sf_dir)
@@ -542,7 +550,7 @@ def w5_number_externals(spark, sf_dir):
     pages = I.page_paths(spark, sf_dir)
     includes = pages.select(F.col("session").alias("root"), F.concat("host", F.lit("/a b")).alias("path"),
                             F.col("page_id").alias("position"))
-    return mapping.number_externals(includes, bucket=64)
+    return mapping.number_externals(includes)
 
 
 @query
@@ -591,6 +599,31 @@ def r1_sync_stream(spark, sf_dir):
         "path", "event_id", "status", F.sha2("sanitized_text", 256).alias("text_sha"))
 
 
+@query
+def r1_sync_manifest(spark, sf_dir):
+    """A second stream over the same events finds every decision in the manifest of the first."""
+    folder = new_folder(spark, "sync")
+    change_events(I.files(spark, sf_dir)).write.parquet(f"{folder}/changes")
+    for n in (1, 2):
+        changes = spark.readStream.schema(sync.CHANGES_SCHEMA).parquet(f"{folder}/changes")
+        sync.sync_stream(changes, I.FILES_POLICY, f"{folder}/log{n}", f"{folder}/checkpoint{n}",
+                         manifest_folder=f"{folder}/manifest").awaitTermination()
+    hits = sync.read_staged_log(spark, f"{folder}/log2").select(F.col("path").alias("source_path"), "cache_hit")
+    return M.current_manifest(spark, f"{folder}/manifest", I.FILES_POLICY).join(hits, "source_path").select(
+        F.col("source_path").alias("path"), "size", "disposition", F.sha2("sanitized_text", 256).alias("sanitized_sha"), "cache_hit")
+
+
+@query
+def workspace_run(spark, sf_dir):
+    """The staged copy of a second run, in which every seventh file has changed since the first."""
+    folder = new_folder(spark, "workspace")
+    files = I.files(spark, sf_dir)
+    before = files.withColumn("size", F.when(F.col("doc_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    flows.run_workspace(before, I.FILES_POLICY, folder)
+    flows.run_workspace(files, I.FILES_POLICY, folder)
+    return spark.read.parquet(f"{folder}/staged").select("root", "path", "disposition", "cache_hit", F.sha2("text", 256).alias("text_sha"))
+
+
 @query
 def r1_sync_batch(spark, sf_dir):
     return sync.sync_batch(change_events(I.files(spark, sf_dir)), I.FILES_POLICY).select(

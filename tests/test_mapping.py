@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from veilframe import external_files, map_paths, nearest_policy, number_externals, validate_policies
@@ -41,10 +43,15 @@ def test_nearest_policy(spark):
     assert {r.directory: r.policy_path for r in rooted.collect()}["/q"] == "/llm-policy.yaml"
 
 
-def test_numbering_over_buckets(spark):
+@pytest.mark.parametrize("place", [lambda i: i, lambda i: i * i * 10**9, lambda i: 7])
+def test_numbering_over_ranges(spark, place):
     rng = random.Random(3)
-    rows = [(rng.choice(["/hot"] * 9 + ["/cold"]), f"/inc/{rng.randint(0, 150)}", i) for i in range(1000)]
-    out = number_externals(frame(spark, rows, "root string, path string, position long"), bucket=32).collect()
+    rows = [(rng.choice(["/hot"] * 9 + ["/cold"]), f"/inc/{rng.randint(0, 150):03}", i) for i in range(1000)]
+    seen = {}
+    rows = [(root, path, place(seen.setdefault((root, path), i))) for root, path, i in rows]  # close, sparse and tied positions
+    if place(0) == place(1):
+        rows.sort(key=lambda r: r[1])
+    out = number_externals(frame(spark, rows, "root string, path string, position long"), partitions=8).collect()
     for root in ("/hot", "/cold"):
         first = {}
         for r, path, position in rows:

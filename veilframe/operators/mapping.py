@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.paths import absolute_chain, file_name, path_depth, safe_name
+from ..sources.scratch import written
 from .joins import spread_join
 from .reuse import covered_by
 
@@ -18,8 +19,8 @@ from .reuse import covered_by
 PROJECT, DIRECTORY, FILE = "PROJECT", "DIR", "FILE"
 POLICY_FILE_NAMES = ("llm-policy.yaml", "llm-policy.yml")
 
-#: Positions per numbering bucket.
-NUMBERING_BUCKET = 1 << 16
+#: Name of a staged path whose original has none; a fixed value.
+NAMELESS = "external-path"
 
 
 def external_files(candidates: DataFrame, roots: DataFrame, directories: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def map_paths(paths: DataFrame, mapping: DataFrame, workspace_root: str) -> Data
 
     ``mapping`` has session, kind, ord, from_path, to_path.  The project root
     wins, then the first include directory by ``ord``, then an exact include
-    file; anything else goes to ``_unmapped/NAME``.
+    file; anything else goes to ``_unmapped/NAME``, a path without a name to
+    ``_unmapped/external-path``.
     """
     exact_only = F.col("kind") == FILE
     rank = F.when(F.col("kind") == PROJECT, 0).when(F.col("kind") == DIRECTORY, 1).otherwise(2)
@@ -49,11 +51,34 @@ def map_paths(paths: DataFrame, mapping: DataFrame, workspace_root: str) -> Data
         .groupBy("session", "path").agg(F.min("hit").alias("hit"))
     rest = F.substring(F.col("path"), F.when(F.col("hit.from_path") == "/", F.lit(1)).otherwise(
         F.length("hit.from_path") + 1), F.length("path"))
-    fallback = F.concat(F.lit(workspace_root + "/_unmapped/"), file_name(F.col("path")))
+    name = file_name(F.col("path"))
+    fallback = F.concat(F.lit(workspace_root + "/_unmapped/"), F.when(name != "", name).otherwise(NAMELESS))
     return best.select("session", "path", F.when(F.col("hit").isNull(), fallback).otherwise(
         F.concat(F.col("hit.to_path"), rest)).alias("staged_path"))
 
 
+def map_includes(includes: DataFrame, mapping: DataFrame, workspace_root: str) -> DataFrame:
+    """Staged path of every distinct include directory (session, path).
+
+    ``mapping`` is that of ``map_paths``.  A path in the project keeps its place; an include
+    directory that is mapped itself goes there; any other goes to ``_external/NAME``, and a
+    path without a name stays as it is.
+    """
+    wanted = includes.select("session", "path").distinct()
+    probes = wanted.withColumn("from_path", F.explode(absolute_chain(F.col("path"))))
+    inside = spread_join(probes, mapping.filter(F.col("kind") == PROJECT), ["session", "from_path"], "inner", ["path"]) \
+        .groupBy("session", "path").agg(F.min(F.struct("ord", "from_path", "to_path")).alias("project"))
+    exact = mapping.filter(F.col("kind") == DIRECTORY).groupBy("session", F.col("from_path").alias("path")).agg(
+        F.min(F.struct("ord", "to_path")).alias("own"))
+    found = wanted.join(inside, ["session", "path"], "left").join(exact, ["session", "path"], "left")
+    project = F.col("project.from_path")
+    rest = F.substring(F.col("path"), F.when(project == "/", 1).otherwise(F.length(project) + 1), F.length("path"))
+    name = file_name(F.col("path"))
+    return found.select("session", "path", F.when(project.isNotNull(), F.concat("project.to_path", rest))
+                        .when(F.col("own").isNotNull(), F.col("own.to_path"))
+                        .when(name == "", F.col("path")).otherwise(F.concat(F.lit(workspace_root + "/_external/"), name)).alias("staged_path"))
+
+
 def nearest_policy(directories: DataFrame, policies: DataFrame, *, names=POLICY_FILE_NAMES) -> DataFrame:
     """Policy of every distinct directory.
 
@@ -83,15 +108,18 @@ def nearest_policy(directories: DataFrame, policies: DataFrame, *, names=POLICY_
 
 
 def number_externals(includes: DataFrame, *, prefix: str = "_external", fallback: str = "include",
-                     bucket: int = NUMBERING_BUCKET) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """Staged name ``PREFIX/N-NAME`` of every distinct include (root, path, position).
 
-    N counts the distinct includes of a root by first position.  Positions are
-    numbered per bucket and shifted by the size of the buckets before, so no
-    root is ever sorted by one task.
+    N counts the distinct includes of a root by first position.  Includes are dealt out by
+    ranges of (root, position, path), of about equal numbers of rows however positions lie,
+    numbered within a range and shifted by the ranges before.  So a root with all includes
+    is sorted by many tasks.  The dealt rows are written, as the ranges have to stay.
     """
-    first = includes.groupBy("root", "path").agg(F.min("position").alias("position")) \
-        .withColumn("_bucket", F.floor(F.col("position") / bucket))
+    partitions = partitions or int(includes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = includes.groupBy("root", "path").agg(F.min("position").alias("position"))
+    first = written(first.repartitionByRange(partitions, "root", "position", "path")
+                    .withColumn("_bucket", F.spark_partition_id()), "includes")
     sizes = first.groupBy("root", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     by_bucket = Window.partitionBy("root").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("root", "_bucket", F.coalesce(F.sum("_n").over(by_bucket), F.lit(0)).alias("_shift"))

@@ -11,8 +11,9 @@ from ..functions.paths import in_skipped_directory
 from ..functions.text import decode_text
 from ..operators import rollups
 from ..operators.reuse import reuse_decisions
-from ..operators.rules import all_findings, apply_policy, evaluate_prompts, explode_findings
+from ..operators.rules import BLOCKED, all_findings, apply_policy, evaluate_prompts, explode_findings
 from ..policy import Policy
+from ..sources.manifest import read_manifest, write_manifest, write_staged
 from ..sources.scratch import written
 
 
@@ -72,3 +73,20 @@ def evaluate_workspace(files: DataFrame, manifest: DataFrame | None, policy: Pol
     rollup = rollups.directory_rollup(decisions)
     return WorkspaceRun(decisions, rollups.stage_stats(decisions), rollup, rollups.safe_subtrees(rollup),
                         explode_findings(decisions, "root", "path"))
+
+
+def run_workspace(files: DataFrame, policy: Policy, folder: str, *, detectors: Sequence = ()) -> WorkspaceRun:
+    """One run over workspaces: evaluate, write the staged copy and the manifest below ``folder``.
+
+    Earlier decisions come from ``folder/manifest``; after the run it holds the decisions on
+    all files that are there now, so removed paths are forgotten.  ``folder/staged`` gets the
+    sanitized texts, and the originals (text, or bytes of binary files) of items that need no
+    change; blocked items are left out.  Originals are read once more for that, by key.
+    """
+    spark = files.sparkSession
+    run = evaluate_workspace(files, read_manifest(spark, f"{folder}/manifest", policy, detectors), policy, detectors=detectors)
+    originals = files.select("root", "path", *[c for c in ("text", "content") if c in files.columns])
+    items = run.decisions.filter(F.col("disposition") != BLOCKED).join(originals, ["root", "path"])
+    write_staged(items, f"{folder}/staged")
+    write_manifest(run.decisions, f"{folder}/manifest", policy, detectors)
+    return run

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -44,6 +45,30 @@ def read_manifest(spark: SparkSession, path: str, policy: Policy, detectors: Seq
     return valid_entries(entries, policy_fingerprint(policy, detectors))
 
 
+def manifest_versions(spark: SparkSession, folder: str, tag: str) -> tuple[str, str]:
+    """Paths of the newest complete manifest below ``folder`` and of the one to write next for ``tag``.
+
+    Versions are folders ``NUMBER-DIGEST``; a tag that was written before (a repeated batch)
+    gets its own version again, and the one before it as base.  Without any version the base
+    does not exist, which ``read_manifest`` takes as empty.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    names = [n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    digest = hashlib.sha256(tag.encode()).hexdigest()[:16]
+    found = sorted((int(n.split("-")[0]), n) for n in names)
+    own = next((n for n, name in found if name.endswith(digest)), None)
+    number = own if own is not None else (found[-1][0] + 1 if found else 0)
+    before = [name for n, name in found if n < number]
+    return f"{folder}/{before[-1] if before else 'none'}", f"{folder}/{number:08d}-{digest}"
+
+
+def current_manifest(spark: SparkSession, folder: str, policy: Policy, detectors: Sequence = ()) -> DataFrame:
+    """The newest manifest that a stream has written below ``folder``."""
+    return read_manifest(spark, manifest_versions(spark, folder, "")[0], policy, detectors)
+
+
 def staged_items(items: DataFrame) -> DataFrame:
     """What may be shared: blocked items left out, sanitised text where it differs.
 
@@ -52,6 +77,7 @@ def staged_items(items: DataFrame) -> DataFrame:
     text = F.when(F.col("disposition") == WRITE_SANITIZED_TEXT, F.col("sanitized_text")).otherwise(F.col("text"))
     return items.filter(F.col("disposition") != BLOCKED).select(
         "root", workspace_key(F.col("root")).alias("workspace"), "path", "disposition", text.alias("text"),
+        *[c for c in ("cache_hit",) if c in items.columns],
         *[F.when(text.isNull(), F.col(c)).alias(c) for c in ("content",) if c in items.columns])
 
 

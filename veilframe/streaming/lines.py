@@ -18,8 +18,12 @@ def sanitize_stream(lines: DataFrame, policy: Policy, *, approve: bool = False,
 
 
 def run_lines(lines: DataFrame, policy: Policy, output: str, checkpoint: str, *, approve: bool = False,
-              text: str = "text") -> StreamingQuery:
-    """Process all lines that are there and append the forwarded ones to a parquet table."""
-    return (sanitize_stream(lines, policy, approve=approve, text=text).writeStream
+              text: str = "text", detectors: Sequence = (), trigger: dict | None = None) -> StreamingQuery:
+    """Append the forwarded lines to a parquet table.
+
+    By default the lines that are there are processed; pass ``trigger`` (say
+    ``{"processingTime": "1 second"}``) for a session that goes on.
+    """
+    return (sanitize_stream(lines, policy, approve=approve, text=text, detectors=detectors).writeStream
             .format("parquet").option("path", output).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())

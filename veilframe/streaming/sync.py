@@ -9,87 +9,137 @@ events change nothing and no merge into existing files is needed.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import absolute_chain, in_skipped_directory, is_under, normalize, relative_path
 from ..operators.joins import spread_join
-from ..operators.reuse import reuse_decisions
+from ..operators.reuse import invalidate_prefix, reuse_decisions
 from ..operators.rollups import sync_status
 from ..operators.rules import BLOCKED, FINDINGS_TYPE, WRITE_SANITIZED_TEXT, apply_policy
 from ..policy import Policy
+from ..sources.manifest import manifest_entries, manifest_versions, read_manifest
+from ..sources.scratch import written
 
 UPDATED, REMOVED, IGNORED = "UPDATED", "REMOVED", "IGNORED"
 
 CHANGES_SCHEMA = ("event_id long, root string, path string, op string, text string, size long, mtime_ms long")
 
 LOG_SCHEMA = ("root string, path string, event_id long, mtime_ms long, op string, action string, status string, "
-              f"disposition string, sanitized_text string, findings {FINDINGS_TYPE}, batch_id long")
+              f"disposition string, sanitized_text string, findings {FINDINGS_TYPE}, cache_hit boolean, batch_id long")
 
 
 def collapse_changes(events: DataFrame, key: Sequence[str] = ("root", "path"), *,
                      version: Sequence[str] = ("mtime_ms", "event_id")) -> DataFrame:
-    """Latest event per path.  A partial aggregation, so a hot path costs no shuffle."""
-    rest = [c for c in events.columns if c not in key]
-    latest = F.max_by(F.struct(*rest), F.struct(*version)).alias("_latest")
-    return events.groupBy(*key).agg(latest).select(*key, "_latest.*").select(*events.columns)
+    """Latest event per path; of events that repeat the latest version, one.
 
+    Versions are compared on narrow columns, in a partial aggregation, so a hot path costs
+    one row per task; texts of the latest versions are fetched by a join.
+    """
+    latest = events.groupBy(*(F.col(c).alias(f"_k_{c}") for c in key)).agg(F.max(F.struct(*version)).alias("_latest"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key] + [F.col(c).eqNullSafe(F.col(f"_latest.{c}")) for c in version]
+    return events.join(latest, reduce(and_, same), "left_semi").dropDuplicates([*key, *version])
 
-def sync_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | None = None,
-               detectors: Sequence = ()) -> DataFrame:
-    """New versions of the changed paths; ``path`` is absolute.
 
-    Events outside the root or under a skipped directory are IGNORED; deleted
-    and blocked files are REMOVED.
+def decide_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | None = None,
+                 detectors: Sequence = ()) -> DataFrame:
+    """Decisions on the latest versions of the changed paths, with ``action`` and ``cache_hit``.
+
+    Paths are normalised first, so different spellings are one path.  Events outside
+    the root or under a skipped directory are IGNORED; deleted and blocked files are REMOVED.
     """
-    latest = collapse_changes(changes).withColumnRenamed("path", "source_path") \
-        .withColumn("source_path", normalize(F.col("source_path")))
+    latest = collapse_changes(changes.withColumn("path", normalize(F.col("path")))).withColumnRenamed("path", "source_path")
     outside = ~is_under(F.col("source_path"), normalize(F.col("root")))
     rel = relative_path(F.col("root"), F.col("source_path"))
     routed = latest.withColumn("path", rel).withColumn(
         "ignored", outside | F.coalesce(in_skipped_directory(rel), F.lit(False)))
     # Deleted and ignored paths have no text to evaluate.
     gone = F.col("ignored") | (F.col("op") == "DELETE")
+    routed = routed.withColumn("gone", gone)
     if manifest is None:
-        evaluated = apply_policy(routed.withColumn("text", F.when(~gone, F.col("text"))), policy,
-                                 key=("root", "source_path"), detectors=detectors)
+        evaluated = apply_policy(routed.withColumn("text", F.when(~F.col("gone"), F.col("text"))), policy,
+                                 key=("root", "source_path"), detectors=detectors).withColumn("cache_hit", F.lit(False))
     else:
-        live = reuse_decisions(routed.filter(~gone), manifest, policy, detectors=detectors).drop("cache_hit")
+        live = reuse_decisions(routed.filter(~F.col("gone")), manifest, policy, detectors=detectors)
         evaluated = routed.join(live, ["root", "source_path", "size", "mtime_ms"], "left")
     blocked = F.coalesce(F.col("disposition") == BLOCKED, F.lit(False))
     action = F.when(F.col("ignored"), IGNORED).when((F.col("op") == "DELETE") | blocked, REMOVED).otherwise(UPDATED)
-    shared = F.col("action") == UPDATED
+    return evaluated.withColumn("blocked", blocked).withColumn("action", action)
+
+
+def log_rows(decided: DataFrame) -> DataFrame:
+    """The rows of the staged log for the decisions of a batch."""
+    shared, gone = F.col("action") == UPDATED, F.col("gone")
 
     def only(condition: Column, value: Column) -> Column:
         return F.when(condition, value)
 
-    return evaluated.withColumn("action", action).select(
+    return decided.select(
         "root", F.col("source_path").alias("path"), "event_id", "mtime_ms", "op", "action",
         F.when(shared, sync_status(F.lit(0), F.when(F.col("disposition") == WRITE_SANITIZED_TEXT, 1).otherwise(0)))
-        .when(blocked & ~gone, "blocked").alias("status"),
+        .when(F.col("blocked") & ~gone, "blocked").alias("status"),
         only(~gone, F.col("disposition")).alias("disposition"),
         only(shared, F.coalesce("sanitized_text", "text")).alias("sanitized_text"),
-        F.when(~gone, F.col("findings")).otherwise(F.array().cast(FINDINGS_TYPE)).alias("findings"))
+        F.when(~gone, F.col("findings")).otherwise(F.array().cast(FINDINGS_TYPE)).alias("findings"),
+        F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"))
+
+
+def sync_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | None = None,
+               detectors: Sequence = ()) -> DataFrame:
+    """New versions of the changed paths as log rows; ``path`` is absolute."""
+    return log_rows(decide_batch(changes, policy, manifest=manifest, detectors=detectors))
+
+
+def manifest_after(manifest: DataFrame, decided: DataFrame, policy: Policy, detectors: Sequence = ()) -> DataFrame:
+    """The manifest after a batch: changed paths replaced, removed ones forgotten with all below them.
+
+    Events older than what the manifest has of their path change nothing.
+    """
+    key = ["root", "source_path"]
+    newer_known = manifest.select(*key, F.col("mtime_ms").alias("_known"))
+    counted = decided.filter(F.col("action") != IGNORED).join(newer_known, key, "left") \
+        .filter(F.col("_known").isNull() | (F.col("_known") <= F.col("mtime_ms"))).drop("_known")
+    removed = counted.filter(F.col("op") == "DELETE").select(*key)
+    kept = invalidate_prefix(manifest, removed).join(counted.select(*key), key, "left_anti")
+    return kept.unionByName(manifest_entries(counted.filter(~F.col("gone")), policy, detectors))
 
 
 def sync_stream(changes: DataFrame, policy: Policy, staged_log: str, checkpoint: str, *,
-                manifest: Callable[[], DataFrame] | None = None, detectors: Sequence = (),
-                trigger: dict | None = None) -> StreamingQuery:
+                manifest: Callable[[], DataFrame] | None = None, manifest_folder: str | None = None,
+                detectors: Sequence = (), trigger: dict | None = None) -> StreamingQuery:
     """Run the synchronisation over a streaming frame of change events.
 
-    By default it handles what is there and stops; pass ``trigger`` (say
+    With ``manifest_folder`` the stream reads the manifest there before every batch and
+    writes the next version after it (see ``sources.manifest``), so unchanged files are
+    never evaluated again, by any later stream; ``manifest`` only reads one.  By default
+    it handles what is there and stops; pass ``trigger`` (say
     ``{"processingTime": "10 seconds"}``) to keep it running.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = None if manifest is None else manifest()
-        sync_batch(batch, policy, manifest=known, detectors=detectors) \
-            .write.mode("overwrite").parquet(f"{staged_log}/batch_id={batch_id}")
+        target = f"{staged_log}/batch_id={batch_id}"
+        if manifest_folder is None:
+            known = None if manifest is None else manifest()
+            sync_batch(batch, policy, manifest=known, detectors=detectors).write.mode("overwrite").parquet(target)
+            return
+        spark = batch.sparkSession
+        base, following = manifest_versions(spark, manifest_folder, f"{checkpoint}:{batch_id}")
+        known = read_manifest(spark, base, policy, detectors)
+        decided = written(decide_batch(batch, policy, manifest=known, detectors=detectors), "sync-batch")
+        log_rows(decided).write.mode("overwrite").parquet(target)
+        manifest_after(known, decided, policy, detectors).write.mode("overwrite").parquet(following)
 
     return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def write_compacted(spark: SparkSession, staged_log: str, into: str) -> None:
+    """A shorter copy of the log in a new folder, for readers to move to."""
+    compacted(read_staged_log(spark, staged_log)).write.partitionBy("batch_id").parquet(into)
+
+
 def read_staged_log(spark: SparkSession, staged_log: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(staged_log)
 
