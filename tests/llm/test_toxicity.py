@@ -29,7 +29,7 @@ def test_score_falls_with_length():
 def labelled(frame, n=60):
     rows = []
     for i in range(n):
-        rows.append((f"some plain text number{i} the lovely trash bag with words", 0))
+        rows.append((f"you are such a plain trash bag and number{i} goes on", 0))
         rows.append((f"you are such a {'moron' if i % 2 else 'loweix' + chr(97 + i % 20)} and number{i} goes on", 1))
     return frame([*rows, (None, 0), ("x", None)], "text string, label int")
 
