@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from veilframe import collapse_changes, current_state, load_policy, read_staged_log, run_lines, sanitize_turns, sync_batch, sync_stream
+from veilframe.sources.scratch import written
 from veilframe.streaming.sync import CHANGES_SCHEMA, compacted
 
 POLICY = load_policy({"version": 1, "rules": [
@@ -69,6 +70,7 @@ def test_compaction_keeps_the_removal_of_a_path_that_became_a_file(spark):
     for row in rows:
         version = sync_batch(spark.createDataFrame([row], CHANGES_SCHEMA), POLICY).withColumn("batch_id", F.lit(row[0]))
         log = version if log is None else log.unionByName(version)
+    log = written(log, "log")  # a staged log is a table
     late = sync_batch(spark.createDataFrame([event(4, "/w/d/y", "late", 20)], CHANGES_SCHEMA), POLICY).withColumn("batch_id", F.lit(9))
     expected = {"/w/d": ("pass-through", "file")}
     assert states(log) == states(compacted(log)) == expected
