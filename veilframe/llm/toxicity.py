@@ -183,7 +183,7 @@ def _gram_counts(rows: DataFrame, known: Lexicon) -> DataFrame:
                 grams = _grams(folded(t))
                 grams.add("")
                 seen[y].update(grams)
-            if len(seen[0]) + len(seen[1]) > 1_000_000:
+            if len(seen[0]) + len(seen[1]) > 300_000:
                 yield out()
                 seen = {0: Counter(), 1: Counter()}
         yield out()
