@@ -1,4 +1,5 @@
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -115,3 +116,32 @@ def test_similar_documents(frame):
         assert [got[10 * i + k] for k in range(4)] == [10 * i, 10 * i, 10 * i, 10 * i + 3]
     assert (got[500], got[501], got[502], got[503], got[None]) == (500, 500, 502, 503, None)
     assert S.similar_documents(frame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard(x, y, size=5):
+    x, y = ({tuple(w[i:i + size]) for i in range(len(w) - size + 1)} or {tuple(w)} for w in (x.lower().split(), y.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def brute_groups(rows):
+    near = [(a, b) for (a, x), (b, y) in combinations(rows, 2) if jaccard(x, y) >= 0.8]
+    return near, groups(near, [i for i, _ in rows])
+
+
+def test_near_copies_cut_appended_and_replaced_in_one_block(frame):
+    rng = np.random.default_rng(8)
+    rows = []
+    for length in (60, 150, 400, 900):
+        for part in (0.09, 0.11, 0.13, 0.16, 0.19):
+            for edit in range(3):
+                words = [f"w{x}" for x in rng.integers(0, 100_000, length)]
+                k = int(part * length)
+                other = words[:-k] if edit == 0 else words + [f"n{x}" for x in rng.integers(0, 100_000, k)]
+                if edit == 2:
+                    k = int(0.6 * k)
+                    other = words[:20] + [f"n{x}" for x in rng.integers(0, 100_000, k)] + words[20 + k:]
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    near = [(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if jaccard(x, y) >= 0.8]
+    assert len(near) >= 40 and sum(jaccard(rows[a][1], rows[b][1]) < 0.9 for a, b in near) >= 30
+    out = S.similar_documents(frame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == groups(near, range(len(rows)))

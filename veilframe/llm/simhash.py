@@ -18,11 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import written
 from .components import connected_components
-from .words import mixed, window_codes, word_bounds, word_codes
+from .words import window_codes, word_bounds, word_codes
 
 SEED = 42
 BITS = 64
@@ -238,78 +238,151 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Fingerprints of the different words (two pieces each) and of the shingles that a sketch has.
-WORD_PRINTS, SHINGLE_PRINTS = 3, 8
-_SKETCH = [f"w{i}" for i in range(WORD_PRINTS)] + [f"s{i}" for i in range(SHINGLE_PRINTS)]
-_SALT = np.random.default_rng(64).integers(1, 2**63, len(_SKETCH), dtype=np.uint64)
+#: Counters of the shingles' frequencies; any number of them gives right results, more tell frequent shingles apart better.
+COUNTERS = 1 << 21
+_COUNTER_PART = 1 << 13
 
 
-def sketch(text: str | None, size: int) -> list[int]:
-    """SimHashes, each under hashes of its own, of the set of words and of the set of shingles; zeros without words."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The codes of the different ``size``-word shingles of a text, sorted; a shorter text is one shingle."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER)
     words = word_codes(data, *word_bounds(data))
-    if not len(words):
-        return [0] * len(_SKETCH)
-    shingles = np.unique(window_codes(words, min(size, len(words))))
-    words = np.unique(words)
-    return [majority(mixed((words if i < WORD_PRINTS else shingles)[at:at + PART] + salt)
-                     for at in range(0, len(words if i < WORD_PRINTS else shingles), PART)) for i, salt in enumerate(_SALT)]
+    return np.unique(window_codes(words, min(size, len(words)))) if len(words) else words
 
 
-def differing_share(similarity: float) -> float:
-    """The share of bits in which SimHashes of two sets of one size and this Jaccard similarity differ."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def prefix_length(n: int, similarity: float) -> int:
+    """How many first shingles of a set of n, in any one order of all shingles, meet those of every set this similar."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
-                      max_bits: int = 2, leaf_rows: int = 16_384) -> DataFrame:
-    """Columns doc_id and component_id: documents whose sets of ``size``-word shingles are about ``similarity`` alike.
+def _set_keys(slim: DataFrame, size: int) -> DataFrame:
+    """doc_id and 128 bits that tell sets of shingles apart."""
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = b"".join(xxhash.xxh3_128_digest(shingle_set(t, size).tobytes()) for t in batch.column(1).to_pylist())
+            both = np.frombuffer(keys, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in both.T)], names=["doc_id", "k0", "k1"])
 
-    A similarity of 0.8 differs in about ten of 64 bits, too many for a trie.  So the
-    trie joins 32-bit pieces of SimHashes over the set of single words, where such
-    documents differ in about two bits a piece: linked pieces only propose a pair.
-    It is a link if the shingles' SimHashes (512 bits) differ in no larger share than
-    ``similarity`` lets expect, with two and a half standard deviations to spare.
-    Measured on pairs of 0.8 and more: see the README.
+    return slim.mapInArrow(measure, "doc_id bigint, k0 bigint, k1 bigint")
 
-    Documents with one sketch are one node, pieces of one value link with their
-    smallest node.  NULL ids get a NULL component and link with nothing.
-    """
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
+    """The binary length of a count per shingle code modulo COUNTERS: never too low, of use for an order only."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            rows = np.array([sketch(t, size) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(_SKETCH)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)],
-                                             names=["doc_id", *_SKETCH])
+            for text in batch.column(1).to_pylist():
+                np.add.at(own, (shingle_set(text, size) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        parts = own.reshape(-1, _COUNTER_PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())],
+                                         names=["part", "counts"])
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, np.int64) for c in rows["counts"]], axis=0)
+        return pd.DataFrame({"part": [key[0]], "levels": [np.frexp(total.astype(float))[1].astype(np.uint8).tobytes()]})
+
+    levels = np.zeros((COUNTERS // _COUNTER_PART, _COUNTER_PART), np.uint8)
+    for row in texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, levels binary").collect():
+        levels[row.part] = np.frombuffer(row.levels, np.uint8)
+    return levels.ravel()
+
+
+def _prefixes(texts: DataFrame, size: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """Rows shingle, node, n (size of the node's set) and place for the first shingles of every set, rare ones first."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, nodes, sizes, places = [], [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = shingle_set(text, size)
+                level = levels[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                first = own[np.argsort(level, kind="stable")[:prefix_length(len(own), similarity)]]
+                codes.append(first)
+                nodes.append(np.full(len(first), node, np.int64))
+                sizes.append(np.full(len(first), len(own), np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
+            if codes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([c.view(np.int64) for c in codes], nodes, sizes, places)],
+                                                 names=["shingle", "node", "n", "place"])
+
+    return texts.mapInArrow(cut, "shingle bigint, node bigint, n int, place int")
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sets of n and m shingles that meet at these places can still be as similar."""
+    n, m = F.col("n"), F.col("m")
+    left = F.least(n - F.col("place"), m - F.col("other_place"))
+    enough = left * (1 + similarity) >= similarity * (n + m) - 1e-6
+    return enough & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6)
+
+
+def _as_similar(pairs: DataFrame, slim: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose texts' sets of shingles have this Jaccard similarity, counted."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()],
+                                                                        pa.binary())], names=["node", "codes"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared > 0 and shared / (len(x) + len(y) - shared) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(slim.join(ends, "doc_id", "left_semi").mapInArrow(encode, "node bigint, codes binary"), "shingle-sets")
+    met = pairs.join(sets.toDF("a", "codes"), "a").join(sets.toDF("b", "other_codes"), "b")
+    return written(met.select("a", "b", "codes", "other_codes").mapInArrow(compare, "a bigint, b bigint"), "similar-pairs")
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Columns doc_id and component_id: documents whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity``.
+
+    Documents with one set of shingles are one node.  In one order of all shingles
+    (rare ones first, by rough counts, then by code) two sets that are as similar have
+    a shingle in common among the first ``prefix_length`` of each, so all pairs that
+    meet there are proposed, whatever the edit.  A proposed pair is a link once its
+    two sets are intersected and are as similar.
+
+    Nodes that share a prefix shingle are first linked along their sizes, each with
+    the one before it.  Then all other pairs of such nodes are proposed whose ends are
+    not in one component yet: a pair left out is joined through links that were
+    verified.  No list is capped; frequent shingles come last in the order.
+
+    Texts without words are one node that links with nothing.  NULL ids get a NULL
+    component and link with nothing; rows that share an id are one node.
+    """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fields = ", ".join(f"{c} bigint" for c in _SKETCH)
-    marked = written(slim.mapInArrow(measure, f"doc_id bigint, {fields}"), "sketches")
+    marked = written(_set_keys(slim, size), "set-keys")
     known = marked.where("doc_id IS NOT NULL")
-    classes = written(known.groupBy(*_SKETCH).agg(F.min("doc_id").alias("node")), "sketch-classes")
-    proposed = None
-    for i in range(2 * WORD_PRINTS):
-        piece = F.col(f"w{i // 2}")
-        piece = F.shiftleft(piece, 32) if i % 2 else F.shiftleft(F.shiftright(piece, 32), 32)
-        own = classes.select(piece.alias("fp"), "node")
-        values = written(own.groupBy("fp").agg(F.min("node").alias("first")), "pieces")
-        near = near_pairs(values.withColumnRenamed("first", "node"), max_bits=max_bits, leaf_rows=leaf_rows).select("a", "b")
-        same = own.join(values, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        both = near.unionByName(same)
-        proposed = both if proposed is None else proposed.unionByName(both)
-    pairs = written(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
-    shingle_bits = BITS * SHINGLE_PRINTS
-    share = differing_share(similarity)
-    most = shingle_bits * share + 2.5 * math.sqrt(shingle_bits * share * (1 - share))
-    prints = classes.select(F.col("node").alias("a"), *(F.col(f"s{i}") for i in range(SHINGLE_PRINTS)))
-    other = prints.toDF("b", *(f"t{i}" for i in range(SHINGLE_PRINTS)))
-    bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, SHINGLE_PRINTS)),
-               F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-    links = pairs.join(prints, "a").join(other, "b").where(bits <= most).select("a", "b")
-    twice = known.groupBy("doc_id").agg(F.min(F.struct(*_SKETCH)).alias("x"), F.max(F.struct(*_SKETCH)).alias("y")).where("x <> y").select("doc_id")
-    ties = known.join(twice, "doc_id").join(classes, _SKETCH).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = connected_components(links.unionByName(ties))
-    of = classes.join(groups, "node", "left").select(*_SKETCH, F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of, _SKETCH, "left").select(
+    classes = written(known.groupBy("k0", "k1").agg(F.min("doc_id").alias("node")), "set-classes")
+    firsts = slim.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    by_shingle = Window.partitionBy("shingle").orderBy("n", "node", "place")
+    before = [F.lag(c).over(by_shingle).alias(d) for c, d in (("node", "other"), ("n", "m"), ("place", "other_place"))]
+    lists = written(_prefixes(firsts, size, similarity, _frequency_levels(firsts, size))
+                    .select("*", *before, F.count(F.lit(1)).over(Window.partitionBy("shingle")).alias("rows")).where("rows > 1"), "shared-shingles")
+
+    def proposed(met: DataFrame) -> DataFrame:
+        return written(met.where(_possible(similarity)).where("node <> other").select(
+            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "proposed")
+
+    twice = known.groupBy("doc_id").agg(F.min(F.struct("k0", "k1")).alias("x"), F.max(F.struct("k0", "k1")).alias("y")).where("x <> y").select("doc_id")
+    ties = known.join(twice, "doc_id").join(classes, ["k0", "k1"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = _as_similar(proposed(lists.where("other IS NOT NULL")), slim, size, similarity).unionByName(ties)
+    groups = connected_components(links)
+    own = F.coalesce("component", "node")
+    longer = lists.where("rows > 2").join(groups, "node", "left").select("shingle", "node", "n", "place", own.alias("component"))
+    apart = longer.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    longer = written(longer.join(apart, "shingle", "left_semi"), "shingles-of-several")
+    other = longer.toDF("other", "shingle", "m", "other_place", "other_component")
+    rest = proposed(longer.join(other, "shingle").where("node < other AND component <> other_component"))
+    if not rest.isEmpty():
+        groups = connected_components(links.unionByName(_as_similar(rest, slim, size, similarity)))
+    of = classes.join(groups, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(of, ["k0", "k1"], "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
