@@ -145,3 +145,16 @@ def test_near_copies_cut_appended_and_replaced_in_one_block(frame):
     assert len(near) >= 40 and sum(jaccard(rows[a][1], rows[b][1]) < 0.9 for a, b in near) >= 30
     out = S.similar_documents(frame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in out.collect()} == groups(near, range(len(rows)))
+
+
+def test_texts_under_the_similarity_stay(frame):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+        k = 40 + i  # a block of k words at the end: similarity 0.76 to 0.62
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-k] + [f"n{x}" for x in rng.integers(0, 100_000, k)]))]
+    near, want = brute_groups(rows)
+    assert not near and min(jaccard(x, y) for (_, x), (_, y) in zip(rows[::2], rows[1::2])) < 0.7
+    out = S.similar_documents(frame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == want
