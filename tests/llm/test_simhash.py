@@ -158,3 +158,19 @@ def test_texts_under_the_similarity_stay(frame):
     assert not near and min(jaccard(x, y) for (_, x), (_, y) in zip(rows[::2], rows[1::2])) < 0.7
     out = S.similar_documents(frame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in out.collect()} == want
+
+
+def test_near_copies_beside_other_texts_of_the_same_words(frame):
+    rng = np.random.default_rng(10)
+    few = [f"w{i}" for i in range(12)]
+    base = [few[x] for x in rng.integers(0, 12, 200)]
+    rows = [(i, " ".join(rng.permutation(base))) for i in range(25)]  # other orders, smaller ids
+    family = [f"t{i}" for i in range(120)]
+    for i in range(25):
+        words = list(base if i < 10 else family)
+        words[7 * i % 100] = few[i % 12] if i < 10 else f"x{i}"
+        rows.append((100 + i, " ".join(words)))
+    near, want = brute_groups(rows)
+    assert len(near) > 50 and len(set(want.values())) > 20
+    out = S.similar_documents(frame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == want
