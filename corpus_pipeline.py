@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm import decontaminate, mixing, queries as Q, secret_scan, simhash, toxicity
-from veilframe.llm.words import table
+from veilframe.llm.words import names, table
 from veilframe.sources.scratch import written
 
 
@@ -13,29 +13,37 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose toxicity score is under one half, by a lexicon learned from the labelled raw documents."""
     lexicon = Q.toxicity_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, lexicon, into="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    return scored.where("_toxicity < 0.5").select(*names(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id.
+    """One document of each SimHash group (three-word shingles, two bits), that of the smallest id.
 
-    Rows that repeat an id are one document; rows without an id stay.
+    Rows that repeat an id are one document, of which the row with the smallest hash stays (of
+    equal hashes the smallest row), so reruns agree.  Rows without an id stay.
     """
-    groups = simhash.similar_documents(docs, size=5, similarity=0.8)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    marked = written(simhash.near_duplicates(docs, size=3, max_bits=2), "near-groups").where("doc_id IS NOT NULL")
+    ids = marked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    # Most ids stay as they are: only those that go, or need a choice between rows, meet the texts.
+    changed = written(ids.where("doc_id <> component_id OR rows > 1"), "changed-ids")
+    kept = docs.join(changed.select("doc_id"), "doc_id", "left_anti").select(*names(docs))
+    repeated = changed.where("doc_id = component_id").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*names(docs))
+    rows = docs.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(F.xxhash64(row).alias("hash"), row.alias("row")).alias("own"))
+    return kept.unionByName(rows.groupBy("doc_id").agg(F.min("own").alias("own")).select("own.row.*"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     searched = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), into="_leaks")
-    return searched.where(F.size("_leaks") == 0).select(*docs.columns)
+    return searched.where(F.size("_leaks") == 0).select(*names(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets masked."""
-    return secret_scan.scan_secrets(docs, into="_secrets", masked_text="text").select(*docs.columns)
+    return secret_scan.scan_secrets(docs, into="_secrets", masked_text="text").select(*names(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
