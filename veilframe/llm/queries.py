@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import decontaminate, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
+from . import conversation_repair, decontaminate, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -143,6 +143,22 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair_conversations(conversation_repair.damaged(turns)).withColumnRenamed("conv_id", "id")
+    ids = turns.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return ids.join(repaired, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: CRC-32 of a text in SQL, byte by byte and bit by bit.
+CRC32_SQL = """xor(list_reduce(list_transform(range(1, 1 + length(TEXT)), lambda i: CAST(ascii(substr(TEXT, CAST(i AS INT), 1)) AS BIGINT)),
+    lambda c, b: list_reduce(range(0, 8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+    4294967295), 4294967295)"""
+
 ORACLES = {
     "op7_tool_calls": """
         WITH RECURSIVE calls AS (
@@ -193,4 +209,50 @@ ORACLES = {
                CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
         FROM q""",
+
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE shown AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations),
+        dealt AS (SELECT *, {CRC32_SQL.replace("TEXT", "id")} % 20 AS k FROM shown),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                   CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM dealt, unnest(range(0, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy(i)),
+        placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+        turns AS (
+            SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                           WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+                   lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+        wanted(p, q, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+        keep(p, initial, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+        added AS (
+            SELECT p, p AS q, 0 AS cost, '' AS letters, CAST([] AS VARCHAR[]) AS lines FROM wanted
+            UNION ALL SELECT p, q, 3, 'I', [role || ':'] FROM wanted
+            UNION ALL SELECT x.p, y.q, 6, 'II', [x.role || ':', y.role || ':'] FROM wanted x JOIN wanted y ON y.p = x.q),
+        ways AS (
+            SELECT p, q, cost + 4 AS cost, letters || 'D' AS letters, lines, CAST(NULL AS VARCHAR) AS initial, CAST(NULL AS VARCHAR) AS role, false AS stays FROM added
+            UNION ALL SELECT a.p, w.q, cost + 3, letters || 'R', lines, NULL, w.role, true FROM added a JOIN wanted w ON w.p = a.q
+            UNION ALL SELECT a.p, k.q, cost, letters || 'K', lines, k.initial, NULL, true FROM added a JOIN keep k ON k.p = a.q),
+        best(conv_id, i, q, way) AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} FROM turns
+            UNION ALL
+            SELECT t.conv_id, t.i, w.q, min({{'c': b.way.c + w.cost + CASE WHEN w.stays AND t.fault = 'truncated' THEN 3 ELSE 0 END, 'a': b.way.a || w.letters,
+                                             't': b.way.t || w.lines || CASE WHEN w.stays THEN [coalesce(w.role, t.role) || ':' || t.text] ELSE [] END}})
+            FROM best b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1
+            JOIN ways w ON w.p = b.q AND (NOT w.stays OR t.fault NOT IN ('blank', 'duplicate')) AND (w.initial IS NULL OR w.initial = t.initial)
+            GROUP BY t.conv_id, t.i, w.q),
+        counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+        ended AS (
+            SELECT b.conv_id, min({{'c': b.way.c + a.cost, 'a': b.way.a || a.letters, 't': b.way.t || a.lines}}) AS way
+            FROM best b JOIN counts n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.n = b.i JOIN added a ON a.p = b.q AND a.q IN (0, 3) GROUP BY b.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, CAST(coalesce(e.way.c, 0) AS BIGINT) AS cost, coalesce(e.way.a, '') AS audit,
+               sha256(coalesce(array_to_string(e.way.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
