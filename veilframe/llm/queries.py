@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import conversation_repair, decontaminate, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
+from . import conversation_repair, decontaminate, merkle, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -143,6 +143,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    changed = merkle.digest_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", merkle.digest_of([F.col(c) for c in fields]).alias("leaf"), F.when(tampered, changed).alias("changed"))
+    proved = merkle.prove_rows(rows, F.col("leaf"))
+    out = proved.select("row.doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+                        merkle.fold_path(F.coalesce("row.changed", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -210,6 +223,43 @@ ORACLES = {
                CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
         FROM q""",
 
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE parts AS (
+            SELECT doc_id, lang, n_chars, row_number() OVER () AS rn, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+                   || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail, CAST(doc_id AS VARCHAR) AS id FROM documents),
+        hashed AS (
+            SELECT *, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                   CASE WHEN {CRC32_SQL.replace("TEXT", "id")} % 7 = 0 THEN
+                   sha256(head || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM parts),
+        leaves AS (SELECT rn, doc_id, lang, leaf, coalesce(changed, leaf) AS shown,
+                          row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM hashed),
+        levels(lang, level, nodes) AS (
+            SELECT lang, 0, list(leaf ORDER BY rank) FROM leaves GROUP BY lang
+            UNION ALL
+            SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], '')))
+            FROM levels WHERE len(nodes) > 1),
+        subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM levels WHERE len(nodes) = 1),
+        tops(level, nodes) AS (
+            SELECT 0, list(subroot ORDER BY rank) FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(array_to_string(nodes[2 * i + 1:2 * i + 2], '')))
+            FROM tops WHERE len(nodes) > 1),
+        steps AS (
+            SELECT rn, 0 AS part, level, rank >> level AS place, nodes FROM leaves x JOIN levels v ON v.lang IS NOT DISTINCT FROM x.lang AND len(nodes) > 1
+            UNION ALL SELECT rn, 1, level, s.rank >> level, nodes FROM leaves x JOIN subroots s ON s.lang IS NOT DISTINCT FROM x.lang
+            JOIN tops ON len(nodes) > 1),
+        siblings AS (SELECT rn, row_number() OVER (PARTITION BY rn ORDER BY part, level) AS step, place & 1 AS on_right,
+                            coalesce(nodes[CAST(xor(place, 1) AS BIGINT) + 1], '') AS other FROM steps),
+        fold(rn, step, node) AS (
+            SELECT rn, CAST(0 AS BIGINT), shown FROM leaves
+            UNION ALL
+            SELECT f.rn, s.step, sha256(CASE WHEN on_right = 1 THEN other || node ELSE node || other END) FROM fold f JOIN siblings s ON s.rn = f.rn AND s.step = f.step + 1),
+        proofs AS (SELECT x.rn, sha256(coalesce(string_agg(other, '' ORDER BY step), '')) AS proof_sha256 FROM leaves x LEFT JOIN siblings s ON s.rn = x.rn GROUP BY x.rn)
+        SELECT x.doc_id, x.leaf, s.subroot, t.nodes[1] AS root, p.proof_sha256, f.node AS folded_root, f.node = t.nodes[1] AS verified
+        FROM leaves x JOIN subroots s ON s.lang IS NOT DISTINCT FROM x.lang JOIN (SELECT nodes FROM tops WHERE len(nodes) = 1) t ON true
+        JOIN proofs p ON p.rn = x.rn JOIN (SELECT rn, arg_max(node, step) AS node FROM fold GROUP BY rn) f ON f.rn = x.rn""",
+
     "op13_conversation_repair": f"""
         WITH RECURSIVE shown AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
