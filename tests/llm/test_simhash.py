@@ -1,5 +1,4 @@
 import re
-from itertools import combinations
 
 import numpy as np
 import pytest
@@ -98,79 +97,3 @@ def test_rows_of_one_id_are_one_node(frame):
     rows = [(1, "a b c d"), (2, "x y z w"), (9, "a b c d"), (9, "x y z w")]
     out = S.near_duplicates(frame(rows, "doc_id long, text string"))
     assert {r.component_id for r in out.collect()} == {1}
-
-
-def test_similar_documents(frame):
-    rng = np.random.default_rng(3)
-    base = [[f"w{rng.integers(3000)}" for _ in range(300)] for _ in range(12)]
-    rows = []
-    for i, words in enumerate(base):
-        rows.append((10 * i, " ".join(words)))
-        near = list(words)
-        near[5 * i % 300] = "changed"  # five of 296 shingles
-        rows += [(10 * i + 1, " ".join(near)), (10 * i + 2, " ".join(words).upper()), (10 * i + 3, " ".join(words[:150] + base[i - 1][:150]))]
-    rows += [(500, None), (501, ""), (502, "a b"), (503, "b a"), (None, " ".join(base[0]))]
-    out = S.similar_documents(frame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r.component_id for r in out.collect()}
-    for i in range(12):
-        assert [got[10 * i + k] for k in range(4)] == [10 * i, 10 * i, 10 * i, 10 * i + 3]
-    assert (got[500], got[501], got[502], got[503], got[None]) == (500, 500, 502, 503, None)
-    assert S.similar_documents(frame([], "doc_id long, text string")).count() == 0
-
-
-def jaccard(x, y, size=5):
-    x, y = ({tuple(w[i:i + size]) for i in range(len(w) - size + 1)} or {tuple(w)} for w in (x.lower().split(), y.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-def brute_groups(rows):
-    near = [(a, b) for (a, x), (b, y) in combinations(rows, 2) if jaccard(x, y) >= 0.8]
-    return near, groups(near, [i for i, _ in rows])
-
-
-def test_near_copies_cut_appended_and_replaced_in_one_block(frame):
-    rng = np.random.default_rng(8)
-    rows = []
-    for length in (60, 150, 400, 900):
-        for part in (0.09, 0.11, 0.13, 0.16, 0.19):
-            for edit in range(3):
-                words = [f"w{x}" for x in rng.integers(0, 100_000, length)]
-                k = int(part * length)
-                other = words[:-k] if edit == 0 else words + [f"n{x}" for x in rng.integers(0, 100_000, k)]
-                if edit == 2:
-                    k = int(0.6 * k)
-                    other = words[:20] + [f"n{x}" for x in rng.integers(0, 100_000, k)] + words[20 + k:]
-                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
-    near = [(a, b) for (a, x), (b, y) in zip(rows[::2], rows[1::2]) if jaccard(x, y) >= 0.8]
-    assert len(near) >= 40 and sum(jaccard(rows[a][1], rows[b][1]) < 0.9 for a, b in near) >= 30
-    out = S.similar_documents(frame(rows, "doc_id long, text string"))
-    assert {r.doc_id: r.component_id for r in out.collect()} == groups(near, range(len(rows)))
-
-
-def test_texts_under_the_similarity_stay(frame):
-    rng = np.random.default_rng(9)
-    rows = []
-    for i in range(30):
-        words = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
-        k = 40 + i  # a block of k words at the end: similarity 0.76 to 0.62
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-k] + [f"n{x}" for x in rng.integers(0, 100_000, k)]))]
-    near, want = brute_groups(rows)
-    assert not near and min(jaccard(x, y) for (_, x), (_, y) in zip(rows[::2], rows[1::2])) < 0.7
-    out = S.similar_documents(frame(rows, "doc_id long, text string"))
-    assert {r.doc_id: r.component_id for r in out.collect()} == want
-
-
-def test_near_copies_beside_other_texts_of_the_same_words(frame):
-    rng = np.random.default_rng(10)
-    few = [f"w{i}" for i in range(12)]
-    base = [few[x] for x in rng.integers(0, 12, 200)]
-    rows = [(i, " ".join(rng.permutation(base))) for i in range(25)]  # other orders, smaller ids
-    family = [f"t{i}" for i in range(120)]
-    for i in range(25):
-        words = list(base if i < 10 else family)
-        words[7 * i % 100] = few[i % 12] if i < 10 else f"x{i}"
-        rows.append((100 + i, " ".join(words)))
-    near, want = brute_groups(rows)
-    assert len(near) > 50 and len(set(want.values())) > 20
-    out = S.similar_documents(frame(rows, "doc_id long, text string"))
-    assert {r.doc_id: r.component_id for r in out.collect()} == want
