@@ -19,11 +19,13 @@ COLUMNS = {
                          "base_failed boolean, kept boolean",
     "op5_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_lm_scoring": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op12_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
     "op10_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"}
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ORACLES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_folder
-from . import conversation_repair, decontaminate, merkle, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
+from . import conversation_repair, decontaminate, lattice_lm, merkle, mixing, quality_net, quality_rules, secret_scan, simhash, substrings, tool_calls, toxicity, warc
 from .labels import held_out, labelled_sample
 from .words import table
 
@@ -143,6 +143,15 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The vocabulary of the language model; one of the box's public tokenizers.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_texts(table(spark, sf_dir, "documents"), lattice_lm.vocabulary(PIECES), held_out=held_out("doc_id", 7, 2))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
