@@ -169,21 +169,17 @@ def expected_counts(words: list[bytes], times: np.ndarray, pieces: Pieces) -> np
     return out
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Small numbers, compressed: bytes of equal weight lie together."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+#: A chunk's rows: its documents (number -1) as one Arrow message, then its words by number.
+_CHUNK = pa.schema([("chunk", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("seen", pa.int64()), ("docs", pa.binary())])
+_CHUNK_DDL = "chunk bigint, number int, word binary, seen bigint, docs binary"
+_DOCS = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("words", pa.int64()), ("steps", pa.list_(pa.uint32())), ("times", pa.list_(pa.uint32()))])
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
-_DOCS = "struct<ids: array<bigint>, held: array<boolean>, words: array<bigint>, different: array<int>, numbers: binary, times: binary>"
-_DOCS_ARROW = pa.struct([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("words", pa.list_(pa.int64())), ("different", pa.list_(pa.int32())),
-                         ("numbers", pa.binary()), ("times", pa.binary())])
-_CHUNK = pa.schema([("chunk", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("seen", pa.int64()), ("docs", _DOCS_ARROW)])
+def _message(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 class _Chunk:
@@ -191,7 +187,7 @@ class _Chunk:
 
     def __init__(self) -> None:
         self.numbers, self.seen = {}, []
-        self.ids, self.held, self.words, self.different, self.parts, self.times, self.bytes = [], [], [], [], [], [], 0
+        self.ids, self.held, self.words, self.steps, self.times, self.bytes = [], [], [], [], [], 0
 
     def add(self, doc_id: int | None, held: bool, text: str | None) -> None:
         data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
@@ -207,21 +203,19 @@ class _Chunk:
         self.ids.append(doc_id)
         self.held.append(held)
         self.words.append(int(times.sum()))
-        self.different.append(len(own))
-        self.parts.append(np.diff(of[order], prepend=0))
-        self.times.append(times[order])
+        self.steps.append(np.diff(of[order], prepend=0).astype(np.uint32))
+        self.times.append(times[order].astype(np.uint32))
         self.bytes += len(data) + 64
 
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
         """The documents under number -1, then the words by number."""
-        docs = {"ids": self.ids, "held": self.held, "words": self.words, "different": self.different,
-                "numbers": _packed(np.concatenate(self.parts)), "times": _packed(np.concatenate(self.times))}
-        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "number": -1, "word": None, "seen": self.held.count(False), "docs": docs}], _CHUNK)
+        docs = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((self.ids, self.held, self.words, self.steps, self.times), _DOCS)], schema=_DOCS)
+        yield pa.RecordBatch.from_pylist([{"chunk": chunk, "number": -1, "word": None, "seen": self.held.count(False), "docs": _message(docs)}], _CHUNK)
         words = list(self.numbers)
         for at in range(0, len(words), 50_000):
             own = words[at:at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(own, pa.binary()),
-                                              pa.array(self.seen[at:at + len(own)], pa.int64()), pa.nulls(len(own), _DOCS_ARROW)], schema=_CHUNK)
+                                              pa.array(self.seen[at:at + len(own)], pa.int64()), pa.nulls(len(own), pa.binary())], schema=_CHUNK)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -238,7 +232,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if chunk.ids:
             yield from chunk.rows(first + done)
 
-    return docs.mapInArrow(cut, f"chunk bigint, number int, word binary, seen bigint, docs {_DOCS}")
+    return docs.mapInArrow(cut, _CHUNK_DDL)
 
 
 def _expected(words: DataFrame, pieces: Pieces) -> dict[int, float]:
@@ -267,7 +261,7 @@ def score_texts(docs: DataFrame, vocab: Pieces, *, held_out: Column, rounds: int
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "chunks")
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text}`").cast("string").alias("text"))
     _chunks(slim).write.option("compression", "zstd").parquet(folder)
-    chunks = spark.read.schema(f"chunk bigint, number int, word binary, seen bigint, docs {_DOCS}").parquet(folder)
+    chunks = spark.read.schema(_CHUNK_DDL).parquet(folder)
     by_word = Window.partitionBy("word")
     counted = written(chunks.where("number >= 0").select("chunk", "number", "word", F.sum("seen").over(by_word).alias("c"),
                                                          (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("is_first")), "words")
@@ -289,7 +283,7 @@ def score_texts(docs: DataFrame, vocab: Pieces, *, held_out: Column, rounds: int
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(own)], names=["chunk", "number", "c", "log"])
 
     scored = counted.select("chunk", "number", "word", "c").mapInArrow(score_words, "chunk bigint, number int, c bigint, log double")
-    back = scored.withColumn("docs", F.lit(None).cast(_DOCS)).unionByName(chunks.where("number = -1").select(
+    back = scored.withColumn("docs", F.lit(None).cast("binary")).unionByName(chunks.where("number = -1").select(
         "chunk", "number", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log"), "docs"))
     end = ((texts + 1) / (n + v + 1), pieces.end, texts > 0)
 
@@ -299,19 +293,19 @@ def score_texts(docs: DataFrame, vocab: Pieces, *, held_out: Column, rounds: int
         def solved() -> pa.RecordBatch:
             c, log = (np.concatenate(x) if x else np.zeros(0) for x in (counts, logs))
             base = np.log10((c + 1) / (n + v + 1))
-            different = np.array(docs["different"], np.int64)
-            of = np.repeat(np.arange(len(different)), different)
-            steps, times = (_unpacked(docs[k], len(of)) for k in ("numbers", "times"))
-            sums = np.cumsum(steps)
-            before = np.concatenate([[0], sums])[np.cumsum(different) - different]
-            number = sums - np.repeat(before, different)
+            own = pa.ipc.open_stream(docs).read_next_batch()
+            different = own.column(3).value_lengths().to_numpy().astype(np.int64)
+            of, times = np.repeat(np.arange(len(different)), different), own.column(4).flatten().to_numpy()
+            # Numbers of a document's words are running sums of its steps.
+            sums = np.cumsum(own.column(3).flatten().to_numpy().astype(np.int64))
+            number = sums - np.repeat(np.concatenate([[0], sums])[np.cumsum(different) - different], different)
 
             def summed(values: np.ndarray) -> np.ndarray:
                 return np.bincount(of, times * values[number], len(different)) if len(of) else np.zeros(len(different))
 
-            words = np.array(docs["words"], np.int64)
+            words = own.column(2).to_numpy()
             return pa.RecordBatch.from_arrays([
-                pa.array(docs["ids"], pa.int64()), pa.array(docs["held"], pa.bool_()), pa.array(words + 1),
+                own.column(0), own.column(1), pa.array(words + 1),
                 pa.array(np.round(summed((c > 0).astype(float))).astype(np.int64) + int(end[2])), pa.array(np.full(len(words), n, np.int64)),
                 pa.array(summed(base) + math.log10(end[0])), pa.array((summed(log) + math.log(end[1])) / math.log(10))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
