@@ -220,6 +220,15 @@ lo AS (SELECT *, coalesce(sum(length(line_text) + 1) OVER (PARTITION BY doc_id O
 ol AS (SELECT *, start + length(line_text) + CASE WHEN line < total - 1 THEN 1 ELSE 0 END AS "end" FROM lo)"""
 
 ORACLES = {
+    "s1_read_workspace": f"""WITH {FILES}
+SELECT path, octet_length(encode(coalesce(text, ''))) AS size, true AS is_text, sha256(coalesce(text, '')) AS sha FROM f WHERE path NOT LIKE 'build/%'""",
+
+    "j1_reuse_from_tree": f"""WITH {FILES}, g AS (
+  SELECT * REPLACE (coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END AS text) FROM f WHERE path NOT LIKE 'build/%'),
+{evaluated("g")}
+SELECT path, octet_length(encode(text)) AS size, doc_id % 7 <> 0 AS cache_hit, disposition,
+       CASE WHEN NOT b THEN sha256(coalesce(sanitized_text, text)) END AS text_sha, findings FROM it""",
+
     "s2_files_from_table": f"""WITH {FILES}
 SELECT root, '/w/' || path AS source_path, path, sha256(text) AS text_sha, size, mtime_ms FROM f""",
 

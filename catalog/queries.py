@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pandas as pd
@@ -32,11 +33,42 @@ def evaluated(spark, sf_dir) -> DataFrame:
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
+def write_tree(files: DataFrame, folder: str) -> str:
+    """Every file of a frame (path, text) as a real file, written by the executors; the local path of the folder."""
+    top = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                os.makedirs(os.path.dirname(f"{top}/{path}"), exist_ok=True)
+                with open(f"{top}/{path}", "wb") as file:
+                    file.write((text or "").encode())
+            yield batch.select(["path"])
+
+    files.select("path", "text").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return top
+
+
 @query
 def s1_read_workspace(spark, sf_dir):
-    listed = read_workspace(spark, sf_dir)
-    return listed.select("path", "size", T.decode_text(F.col("content")).isNotNull().alias("is_text"),
-                         F.sha2("content", 256).alias("sha"))
+    """All documents as files of a tree, listed and read back."""
+    root = write_tree(I.files(spark, sf_dir), new_folder(spark, "tree"))
+    return read_workspace(spark, root).select("path", "size", T.decode_text(F.col("content")).isNotNull().alias("is_text"),
+                                              F.sha2("content", 256).alias("sha"))
+
+
+@query
+def j1_reuse_from_tree(spark, sf_dir):
+    """A second run over a tree in which every seventh file has grown: only these are read."""
+    folder = new_folder(spark, "tree-run")
+    files = I.files(spark, sf_dir)
+    root = write_tree(files, f"{folder}/tree")
+    flows.run_tree(spark, root, I.FILES_POLICY, f"{folder}/kept")
+    write_tree(files.where("doc_id % 7 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!"))), f"{folder}/tree")
+    run = flows.run_tree(spark, root, I.FILES_POLICY, f"{folder}/kept")
+    staged = M.read_staged(spark, f"{folder}/kept/staged").select("root", "path", "text")
+    return run.decisions.join(staged, ["root", "path"], "left").select(
+        "path", "size", "cache_hit", "disposition", F.sha2("text", 256).alias("text_sha"), I.finding_lines().alias("findings"))
 
 
 @query
@@ -620,8 +652,9 @@ def workspace_run(spark, sf_dir):
     files = I.files(spark, sf_dir)
     before = files.withColumn("size", F.when(F.col("doc_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
     flows.run_workspace(before, I.FILES_POLICY, folder)
-    flows.run_workspace(files, I.FILES_POLICY, folder)
-    return spark.read.parquet(f"{folder}/staged").select("root", "path", "disposition", "cache_hit", F.sha2("text", 256).alias("text_sha"))
+    run = flows.run_workspace(files, I.FILES_POLICY, folder)
+    return M.read_staged(spark, f"{folder}/staged").join(run.decisions.select("root", "path", "cache_hit"), ["root", "path"]).select(
+        "root", "path", "disposition", "cache_hit", F.sha2("text", 256).alias("text_sha"))
 
 
 @query

@@ -11,11 +11,11 @@ from .operators.rollups import (directory_rollup, disposition_counts, findings_s
 from .operators.rules import (all_findings, apply_policy, evaluate_prompts, explode_findings,
                               path_findings, rule_hits)
 from .operators.symbols import kotlin_symbols, merge_ranges, redact_kotlin
-from .plans.flows import evaluate_requests, evaluate_workspace
+from .plans.flows import evaluate_requests, evaluate_workspace, run_tree, run_workspace
 from .policy import Policy, PolicyError, load_policy, policy_fingerprint
-from .sources.manifest import read_manifest, staged_items, write_manifest, write_staged
+from .sources.manifest import current_manifest, read_manifest, read_staged, staged_items, write_manifest, write_staged
 from .sources.tables import files_from_table, rules_frame, spread
-from .sources.workspace import read_workspace
+from .sources.workspace import list_workspace, read_contents, read_workspace
 from .streaming.lines import run_lines, sanitize_stream
 from .streaming.sync import collapse_changes, current_state, read_staged_log, sync_batch, sync_stream
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,7 +30,7 @@ def probe_manifest(files: DataFrame, manifest: DataFrame, fingerprint: str) -> D
 
 
 def reuse_decisions(files: DataFrame, manifest: DataFrame, policy: Policy, *,
-                    carry: Sequence[str] = (), detectors: Sequence = ()) -> DataFrame:
+                    carry: Sequence[str] = (), detectors: Sequence = (), read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Decision per file: replayed where path, policy, size and mtime are unchanged.
 
     Files need root, source_path, path, text, size, mtime_ms; ``carry`` names
@@ -38,17 +38,21 @@ def reuse_decisions(files: DataFrame, manifest: DataFrame, policy: Policy, *,
     no text is below them in the plan.  The keys of the misses are written first, so the
     planner knows their size: texts are then read beside a broadcast of few keys, without
     a shuffle, or shuffled once if there are many.  Only the misses' texts are evaluated.
-    A table scan still passes over the other texts' pages; ``read_workspace`` does not.
+    A table scan still passes over the other texts' pages.  Of a listing (no text), ``read``
+    opens the misses: it gets their rows and returns them with text, and with size and time
+    as they were when read.
     """
     valid = valid_entries(manifest, policy_fingerprint(policy, detectors))
     if "detector_status" not in valid.columns:
         valid = valid.withColumn("detector_status", F.lit(None).cast(STATUS_TYPE))
+    if read:
+        files = written(files, "listed")
     keys = files.select(*DECISION_KEY, *carry)
     stored = valid.select(*DECISION_KEY, "disposition", "sanitized_text", "findings", "detector_status")
     hits = keys.join(stored, list(DECISION_KEY), "inner").withColumn("cache_hit", F.lit(True))
     miss_keys = written(files.select(*DECISION_KEY).join(valid.select(*DECISION_KEY), list(DECISION_KEY), "left_anti"), "misses")
-    misses = apply_policy(files.join(miss_keys, list(DECISION_KEY), "left_semi"), policy,
-                          key=("root", "path"), detectors=detectors)
+    found = files.join(miss_keys, list(DECISION_KEY), "left_semi")
+    misses = apply_policy(read(found) if read else found, policy, key=("root", "path"), detectors=detectors)
     return hits.unionByName(misses.select(
         *DECISION_KEY, *carry, "disposition", "sanitized_text", "findings", "detector_status", F.lit(False).alias("cache_hit")))
 

@@ -1,9 +1,10 @@
 """Keeping the sanitised copy current from a stream of change events.
 
-The staged log only grows: every micro-batch writes one version per changed
-path into its own folder (a replayed batch overwrites the same folder).  The
-current state is the highest (mtime_ms, event_id) per path, so late and repeated
-events change nothing and no merge into existing files is needed.
+The staged log grows by deltas (see ``sources.deltas``): every micro-batch writes one
+version per changed path into its own folder, once; a replayed batch finds it there.  The
+current state is the highest (mtime_ms, event_id) per path, so late and repeated events
+change nothing and no merge into existing files is needed.  The stream folds its logs
+into bases as they grow.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import absolute_chain, in_skipped_directory, is_under, normalize, relative_path
 from ..operators.joins import spread_join
-from ..operators.reuse import invalidate_prefix, reuse_decisions
+from ..operators.reuse import reuse_decisions
 from ..operators.rollups import sync_status
 from ..operators.rules import BLOCKED, FINDINGS_TYPE, WRITE_SANITIZED_TEXT, apply_policy
 from ..policy import Policy
-from ..sources.manifest import manifest_entries, manifest_versions, read_manifest
-from ..sources.scratch import written
+from ..sources.deltas import DeltaLog
+from ..sources.manifest import current_manifest, log_entries, log_removals, manifest_log, short_log
+from ..sources.scratch import new_folder, removed
 
 UPDATED, REMOVED, IGNORED = "UPDATED", "REMOVED", "IGNORED"
 
@@ -93,55 +95,61 @@ def sync_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | None
     return log_rows(decide_batch(changes, policy, manifest=manifest, detectors=detectors))
 
 
-def manifest_after(manifest: DataFrame, decided: DataFrame, policy: Policy, detectors: Sequence = ()) -> DataFrame:
-    """The manifest after a batch: changed paths replaced, removed ones forgotten with all below them.
+def manifest_delta(decided: DataFrame, policy: Policy, detectors: Sequence, name: str) -> DataFrame:
+    """What a batch adds to the manifest log: new decisions, and removals that hold for all paths below.
 
-    Events older than what the manifest has of their path change nothing.
+    Versions are (mtime_ms, event_id), so events older than what the log has of their path
+    change nothing, whenever they are written.
     """
-    key = ["root", "source_path"]
-    newer_known = manifest.select(*key, F.col("mtime_ms").alias("_known"))
-    counted = decided.filter(F.col("action") != IGNORED).join(newer_known, key, "left") \
-        .filter(F.col("_known").isNull() | (F.col("_known") <= F.col("mtime_ms"))).drop("_known")
-    removed = counted.filter(F.col("op") == "DELETE").select(*key)
-    kept = invalidate_prefix(manifest, removed).join(counted.select(*key), key, "left_anti")
-    return kept.unionByName(manifest_entries(counted.filter(~F.col("gone")), policy, detectors))
+    version = (F.col("mtime_ms"), F.col("event_id"))
+    fresh = decided.filter(~F.col("gone") & ~F.coalesce("cache_hit", F.lit(False)))
+    deleted = decided.filter((F.col("op") == "DELETE") & (F.col("action") != IGNORED))
+    return log_entries(fresh, policy, detectors, name, *version).unionByName(log_removals(deleted, name, *version, below=True))
+
+
+#: Batches whose deltas gather before a stream folds its logs.
+FOLD_AFTER = 16
 
 
 def sync_stream(changes: DataFrame, policy: Policy, staged_log: str, checkpoint: str, *,
                 manifest: Callable[[], DataFrame] | None = None, manifest_folder: str | None = None,
-                detectors: Sequence = (), trigger: dict | None = None) -> StreamingQuery:
+                detectors: Sequence = (), trigger: dict | None = None, fold_after: int = FOLD_AFTER) -> StreamingQuery:
     """Run the synchronisation over a streaming frame of change events.
 
-    With ``manifest_folder`` the stream reads the manifest there before every batch and
-    writes the next version after it (see ``sources.manifest``), so unchanged files are
-    never evaluated again, by any later stream; ``manifest`` only reads one.  By default
-    it handles what is there and stops; pass ``trigger`` (say
+    With ``manifest_folder`` the stream reads the manifest log there before every batch and
+    adds the batch's new decisions after it (see ``sources.manifest``), so unchanged files are
+    never evaluated again, by any later stream; ``manifest`` only reads one.  What a batch
+    writes depends on its own events.  Once more than ``fold_after`` deltas have gathered, the
+    stream folds them.  By default it handles what is there and stops; pass ``trigger`` (say
     ``{"processingTime": "10 seconds"}``) to keep it running.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{staged_log}/batch_id={batch_id}"
+        spark, target = batch.sparkSession, f"batch_id={batch_id}"
+        staged = DeltaLog(spark, staged_log, LOG_SCHEMA)
         if manifest_folder is None:
             known = None if manifest is None else manifest()
-            sync_batch(batch, policy, manifest=known, detectors=detectors).write.mode("overwrite").parquet(target)
-            return
-        spark = batch.sparkSession
-        base, following = manifest_versions(spark, manifest_folder, f"{checkpoint}:{batch_id}")
-        known = read_manifest(spark, base, policy, detectors)
-        decided = written(decide_batch(batch, policy, manifest=known, detectors=detectors), "sync-batch")
-        log_rows(decided).write.mode("overwrite").parquet(target)
-        manifest_after(known, decided, policy, detectors).write.mode("overwrite").parquet(following)
+            staged.append(sync_batch(batch, policy, manifest=known, detectors=detectors), target)
+        else:
+            log = manifest_log(spark, manifest_folder)
+            name, working = log.name(f"{checkpoint}:{batch_id}"), new_folder(spark, "sync-batch")
+            known = current_manifest(spark, manifest_folder, policy, detectors, before=name)
+            decide_batch(batch, policy, manifest=known, detectors=detectors).write.parquet(working)
+            decided = spark.read.parquet(working)
+            staged.append(log_rows(decided), target)
+            log.append(manifest_delta(decided, policy, detectors, name), name)
+            removed(spark, working)
+            log.fold(short_log, after=fold_after)
+        staged.fold(compacted, after=fold_after)
 
     return (changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def write_compacted(spark: SparkSession, staged_log: str, into: str) -> None:
-    """A shorter copy of the log in a new folder, for readers to move to."""
-    compacted(read_staged_log(spark, staged_log)).write.partitionBy("batch_id").parquet(into)
-
-
 def read_staged_log(spark: SparkSession, staged_log: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(staged_log)
+    """All versions of a staged log: its base and the batches after it, or whatever batches lie below the folder."""
+    log = DeltaLog(spark, staged_log, LOG_SCHEMA)
+    base, deltas = log.state()
+    return log.read() if base or deltas else spark.read.schema(LOG_SCHEMA).parquet(staged_log)
 
 
 def compacted(log: DataFrame) -> DataFrame:
