@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from veilframe import apply_policy, load_policy
 from veilframe.operators import symbols
 from veilframe.policy import SymbolCriteria
 
@@ -123,10 +124,29 @@ def test_merge_ranges(spark):
         ("k", 0, 9, "a, c, b"), ("k", 11, 12, "d")]
 
 
-def test_a_chain_of_symbol_rules_shuffles_once(spark):
+def test_symbol_rules_stay_in_their_row(spark):
     _, files = sources(spark, 20)
-    chained = files
-    for i in range(3):
-        chained = symbols.with_symbol_ranges(chained, CRITERIA, KEY, F.col("text"), f"r{i}")
-    plan = chained._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    policy = load_policy({"version": 1, "rules": [
+        {"id": f"r{i}", "match": {"kotlin": {"classes": [c]}}, "action": {"type": "redact"}} for i, c in enumerate("AB")]})
+    for frame in (apply_policy(files, policy), symbols.redact_kotlin(files, CRITERIA, "#"), symbols.kotlin_symbols(files, CRITERIA)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Scan ") == 1
+
+
+def test_long_files_are_linear(spark):
+    nested = "\n".join(["class A {"] * 20_000 + ["}"] * 20_000)
+    found = symbols.declared(nested, CRITERIA)
+    assert len(found) == 20_000 and all(d["start_line"] + d["end_line"] == 39_999 for d in found)
+    deep = "\n".join(" " * i + "class B" for i in range(2000))
+    assert {d["end_line"] for d in symbols.declared(deep, CRITERIA)} == {1999}
+    assert symbols.merged(found) == [{"start": 0, "end": len(nested), "description": ", ".join(["class A"] * 20_000)}]
+
+
+def test_rows_and_windows_agree(spark):
+    _, files = sources(spark, 120, seed=9)
+    lined = symbols.line_kinds(symbols.brace_balance(symbols.line_offsets(symbols.source_lines(files, KEY), KEY), KEY))
+    ends = symbols.block_end(lined.withColumn("is_target", (F.col("kind") == "class") & F.col("name").isin("A", "B")), KEY)
+    windows = {(r.path, r.line): (r.end_line, r.end_offset) for r in ends.collect()}
+    rows = symbols.kotlin_symbols(files, SymbolCriteria(classes=("A", "B"))).collect()
+    assert {r.path for r in rows} == {p for p, _ in windows} and len(rows) == len(windows)
+    assert sorted((r.path, r.end_line, r.end) for r in rows) == sorted((p, *v) for (p, _), v in windows.items())

@@ -52,7 +52,7 @@ def reuse_decisions(files: DataFrame, manifest: DataFrame, policy: Policy, *,
     hits = keys.join(stored, list(DECISION_KEY), "inner").withColumn("cache_hit", F.lit(True))
     miss_keys = written(files.select(*DECISION_KEY).join(valid.select(*DECISION_KEY), list(DECISION_KEY), "left_anti"), "misses")
     found = files.join(miss_keys, list(DECISION_KEY), "left_semi")
-    misses = apply_policy(read(found) if read else found, policy, key=("root", "path"), detectors=detectors)
+    misses = apply_policy(read(found) if read else found, policy, detectors=detectors)
     return hits.unionByName(misses.select(
         *DECISION_KEY, *carry, "disposition", "sanitized_text", "findings", "detector_status", F.lit(False).alias("cache_hit")))
 

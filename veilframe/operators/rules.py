@@ -18,7 +18,7 @@ from ..functions.match import path_condition, rule_matches
 from ..functions.text import (redact_content, redact_values, replace_ranges, sql_string, summary_of_detector,
                               summary_of_rule)
 from ..policy import ALLOW, BLOCK, CONFIRM, REDACT, SUMMARIZE, Policy, Rule
-from .symbols import may_match, with_symbol_ranges
+from .symbols import symbol_ranges
 
 FINDING_TYPE = "struct<target:string,action:string,source:string,message:string,rule_id:string>"
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
@@ -133,18 +133,15 @@ class _TextPass:
             hit = self.flag(F.col(hit) & (self.text != before))
         self.report(hit, rule.action, POLICY_RULE, rule_message(rule), rule.id)
 
-    def rules(self, symbol_files: bool, key: Sequence[str]):
+    def rules(self):
         for rule in self.policy.rules:
             if rule.action == ALLOW:
                 continue  # neither a finding nor a change
             ranges = None
             if rule.match.kotlin is not None:
-                if not symbol_files:
+                if self.path is None:
                     continue  # never matches outside Kotlin files
-                self._flush()
-                name = self._name("ranges")
-                self.df = with_symbol_ranges(self.df, rule.match.kotlin, key, self.text, name)
-                ranges = F.col(name)
+                ranges = F.col(self.extend("ranges", symbol_ranges(self.path, self.text, rule.match.kotlin)))
             self.rule(rule, ranges)
 
     def secrets(self):
@@ -206,12 +203,12 @@ def _settled(df: DataFrame, keep: Sequence[str], **results: Column) -> DataFrame
 
 
 def evaluate_texts(df: DataFrame, policy: Policy, *, path: Column | None, text: Column, target: str,
-                   key: Sequence[str] = (), detectors: Sequence = (), symbol_files: bool = False):
+                   detectors: Sequence = ()):
     """Run the text pass; gives (frame, final text, findings, detector status). NULL texts are skipped."""
     from .detectors import in_stage_order
 
     run = _TextPass(df, policy, path, target, text)
-    run.rules(symbol_files, key)
+    run.rules()
     run.secrets()
     for detector in in_stage_order(detectors):
         if detector.enabled(policy):
@@ -220,12 +217,10 @@ def evaluate_texts(df: DataFrame, policy: Policy, *, path: Column | None, text:
 
 
 def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text: str = "text",
-                 key: Sequence[str] = ("root", "path"), detectors: Sequence = (),
-                 target: Column | None = None) -> DataFrame:
+                 detectors: Sequence = (), target: Column | None = None) -> DataFrame:
     """Evaluate a policy over a table of files.
 
-    ``path`` is relative to the root, ``text`` is NULL for binary files and
-    ``key`` identifies a file.  Adds ``disposition``, ``sanitized_text`` (only
+    ``path`` is relative to the root, ``text`` is NULL for binary files.  Adds ``disposition``, ``sanitized_text`` (only
     where it differs from the original), ``findings`` and ``detector_status`` (by
     detector id, so output that is missing, unreadable or of another text never looks
     like a clean text).
@@ -237,38 +232,13 @@ def apply_policy(files: DataFrame, policy: Policy, *, path: str = "path", text:
         _P + "path_findings", path_findings(F.col(path), _P + "target", policy))
     blocked = has_action(F.col(_P + "path_findings"), BLOCK)
 
-    def run(df: DataFrame, symbol_files: bool) -> DataFrame:
-        df, final, found, status = evaluate_texts(
-            df, policy, path=F.col(path), text=F.when(~blocked, F.col(text)), target=_P + "target", key=key,
-            detectors=detectors, symbol_files=symbol_files)
-        df = df.withColumn("findings", F.concat(F.col(_P + "path_findings"), found))
-        df = df.withColumn("disposition", F.when(has_action(F.col("findings"), BLOCK), BLOCKED)
-                           .when(final != F.col(text), WRITE_SANITIZED_TEXT).otherwise(COPY_ORIGINAL))
-        return _settled(df, files.columns, disposition=F.col("disposition"), sanitized_text=F.when(
-            F.col("disposition") == WRITE_SANITIZED_TEXT, final), findings=F.col("findings"), detector_status=status)
-
-    if not policy.has_symbol_rules:
-        return run(staged, False)
-    # Symbol rules see Kotlin files only, and of these only the ones that they
-    # may match are shuffled.  The split is a filter on input columns, which
-    # goes down to the scan, so no text is evaluated twice.
-    kotlin = F.coalesce(F.col(path).endswith(".kt") & _symbol_candidates(policy, F.col(text)), F.lit(False))
-    return run(staged.filter(~kotlin), False).unionByName(run(staged.filter(kotlin), True))
-
-
-def _symbol_candidates(policy: Policy, text: Column) -> Column:
-    """Superset of the texts that some symbol rule matches, from the original text.
-
-    Symbol rules see the output of earlier rules.  If one of these may change
-    texts, nothing is known about what the symbol rule will see.
-    """
-    candidates, changed = F.lit(False), False
-    for rule in policy.rules:
-        if rule.match.kotlin is not None:
-            candidates = candidates | (F.lit(True) if changed else may_match(text, rule.match.kotlin))
-        elif rule.action in (REDACT, SUMMARIZE):
-            changed = True
-    return candidates & text.isNotNull()
+    df, final, found, status = evaluate_texts(
+        staged, policy, path=F.col(path), text=F.when(~blocked, F.col(text)), target=_P + "target", detectors=detectors)
+    df = df.withColumn("findings", F.concat(F.col(_P + "path_findings"), found))
+    df = df.withColumn("disposition", F.when(has_action(F.col("findings"), BLOCK), BLOCKED)
+                       .when(final != F.col(text), WRITE_SANITIZED_TEXT).otherwise(COPY_ORIGINAL))
+    return _settled(df, files.columns, disposition=F.col("disposition"), sanitized_text=F.when(
+        F.col("disposition") == WRITE_SANITIZED_TEXT, final), findings=F.col("findings"), detector_status=status)
 
 
 def evaluate_prompts(prompts: DataFrame, policy: Policy, *, text: str = "text",
@@ -285,13 +255,13 @@ def evaluate_prompts(prompts: DataFrame, policy: Policy, *, text: str = "text",
 
 
 def text_for_detectors(files: DataFrame, policy: Policy, *, path: str = "path", text: str = "text",
-                       key: Sequence[str] = ("root", "path"), into: str = "detector_text") -> DataFrame:
+                       into: str = "detector_text") -> DataFrame:
     """Adds the text that the detector stage sees: after all rules and secrets, NULL for blocked and binary files.
 
     Outside detectors have to be run on this text; name the column in ``seen_col`` of
     their readers.
     """
-    done = apply_policy(files, policy, path=path, text=text, key=key)
+    done = apply_policy(files, policy, path=path, text=text)
     return done.select(*files.columns, F.when(F.col("disposition") != BLOCKED, F.coalesce("sanitized_text", text)).alias(into))
 
 
@@ -315,12 +285,11 @@ def explode_findings(items: DataFrame, *carry: str) -> DataFrame:
 
 
 def rule_hits(files: DataFrame, policy: Policy, *, path: str = "path", text: str = "text",
-              carry: Sequence[str] = ("path",), key: Sequence[str] = ("root", "path")) -> DataFrame:
+              carry: Sequence[str] = ("path",)) -> DataFrame:
     """Which rule matches which original text: one row per (file, matching rule).
 
     Patterns are compiled into the scan as literals and only hits are exploded,
-    so the cost is one pass and no pair of file and rule is ever formed.  Symbol
-    rules look at the Kotlin files that may match one of them; ``key`` identifies a file.
+    so the cost is one pass and no pair of file and rule is ever formed.
     """
     def entry(i: int, rule: Rule, found: Column | None) -> Column:
         holds = F.coalesce(rule_matches(rule.match, F.col(path), F.col(text), found), F.lit(False))
@@ -329,14 +298,8 @@ def rule_hits(files: DataFrame, policy: Policy, *, path: str = "path", text: str
     def exploded(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
         return df.select(*carry, F.explode(F.array_compact(F.array(*entries))).alias("hit")).select(*carry, "hit.*")
 
-    plain = [(i, r) for i, r in enumerate(policy.rules) if r.match.kotlin is None]
-    symbols = [(i, r) for i, r in enumerate(policy.rules) if r.match.kotlin is not None]
-    parts = [exploded(files, [entry(i, r, None) for i, r in plain])] if plain else []
-    if symbols:
-        mention = F.coalesce(F.col(path).endswith(".kt"), F.lit(False)) & reduce(
-            or_, (may_match(F.col(text), r.match.kotlin) for _, r in symbols))
-        ranged = files.select(*dict.fromkeys([*key, *carry, path, text])).filter(F.coalesce(mention, F.lit(False)))
-        for i, r in symbols:
-            ranged = with_symbol_ranges(ranged, r.match.kotlin, key, F.col(text), f"{_P}ranges{i}")
-        parts.append(exploded(ranged, [entry(i, r, F.size(f"{_P}ranges{i}") > 0) for i, r in symbols]))
-    return reduce(DataFrame.unionByName, parts)
+    def ranges(rule: Rule) -> Column | None:
+        return None if rule.match.kotlin is None else F.size(symbol_ranges(F.col(path), F.col(text), rule.match.kotlin)) > 0
+
+    entries = [entry(i, r, ranges(r)) for i, r in enumerate(policy.rules)]
+    return exploded(files, entries) if entries else files.select(*carry).limit(0).select("*", F.lit(0).alias("rule_ord"), F.lit("").alias("rule_id"), F.lit("").alias("action"))

@@ -1,22 +1,30 @@
-"""Kotlin declarations in a table of source files, found with line windows.
-
-All files are split into lines once; one shuffle on the file key serves every
-window below.  The end of a declaration's block is the next line whose level
-falls back to the declaration's level.  Instead of comparing each declaration
-with all later lines, every change of level becomes one event per level crossed,
-and the next event of the same level is found with ``lead``: linear in the size
-of the file.
+"""Kotlin declarations in a table of source files.
+
+Files are searched inside of their own row: one pass over a file's lines keeps the
+running offset and brace balance and a stack of declarations whose block is open.  A
+block's end is the next line that falls back to the declaration's level, and levels in
+the stack only grow, so every declaration is pushed and popped once: linear in the
+file, without a shuffle, and a chain of symbol rules needs none either.  Only files
+that pass the package gate and mention a wanted name go to a Python worker.
+
+The parts are operators on tables of lines as well (offsets, balances, annotation
+groups, block ends, merged ranges), as windows by file; there every change of level
+becomes one event per level crossed, and the next event of the same level is found
+with ``lead``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
+from unicodedata import category
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import BLANK_CLASS, let, replace_ranges, trimmed
+from ..functions.text import BLANK_CLASS, replace_ranges, trimmed
 from ..policy import SymbolCriteria
 
 # The declaration syntax that is recognised.
@@ -136,19 +144,7 @@ def annotation_groups(lines: DataFrame, key: Sequence[str]) -> DataFrame:
     return out
 
 
-def _targets(lines: DataFrame, criteria: SymbolCriteria, key: Sequence[str]) -> DataFrame:
-    """Adds ``is_target``: a declaration matched by name or by a pending annotation."""
-    short = [_short(a) for a in criteria.annotations]
-    wanted = (F.col("kind") == ANNOTATION) & F.col("name").isin(short) if short else F.lit(False)
-    annotated = F.last(F.when(wanted, F.col("line")), True).over(_before(key)) >= F.col("group_start")
-    by_name = (((F.col("kind") == CLASS) & F.col("name").isin(list(criteria.classes)))
-               | ((F.col("kind") == FUNCTION) & F.col("name").isin(list(criteria.functions))))
-    declared = F.col("kind").isin(CLASS, FUNCTION)
-    return lines.withColumn("is_target", F.coalesce(
-        declared & (by_name | F.coalesce(annotated, F.lit(False))), F.lit(False)))
-
-
-def block_end(lines: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def block_end(lines: DataFrame, key: Sequence[str]) -> DataFrame:
     """End line of every target declaration.
 
     Needs the columns of ``line_offsets``, ``brace_balance``, ``line_kinds`` and
@@ -160,9 +156,6 @@ def block_end(lines: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -
     less, or as much while it looks like a declaration; trailing blanks are left
     out.  With ``rank = 2*indent + (0 if it may stop else 1)`` that line is the
     next one with a rank of at most ``2*indent`` of the declaration.
-
-    Rows with a non-null column out of ``carry`` are kept as they are, with
-    ``is_target`` false.
     """
     partition = "PARTITION BY " + ", ".join(f"`{k}`" for k in key)
     by_line = f"OVER ({partition} ORDER BY line)"
@@ -178,7 +171,6 @@ def block_end(lines: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -
 
     # Thresholds are even ranks: the next one from a rank upwards.
     even_rank = "(rank + pmod(rank, 2))"
-    carried = f"`{carry[0]}` IS NOT NULL" if carry else "false"
     ranked = lines.withColumn("rank", F.expr(
         f"CASE WHEN kind <> '{BLANK}' THEN 2 * indent + CASE WHEN kind IN ('{ANNOTATION}', '{CLASS}', '{FUNCTION}') "
         "OR indent = 0 THEN 0 ELSE 1 END END"))
@@ -194,8 +186,7 @@ def block_end(lines: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -
         {events("any_brace AND delta > 0", "brace", 1, "balance - delta", "balance - 1")},
         {events("any_brace AND delta < 0", "brace", 0, "balance", "balance - delta - 1")},
         {events("any_indent AND prev_rank > rank", "indent", 0, even_rank, "prev_rank - 1", 2)},
-        {events("any_indent AND next_rank > rank", "indent", 1, even_rank, "next_rank - 1", 2)},
-        {events(carried, "carry", 1, "0", "0")}))""")
+        {events("any_indent AND next_rank > rank", "indent", 1, even_rank, "next_rank - 1", 2)}))""")
     following = crossings.selectExpr("*", f"""lead(struct(line, `end`, prev_solid))
         OVER ({partition}, mode, level ORDER BY line, direction) AS next_event""")
     own = ("is_target AND direction = 1 AND (mode = 'self' OR (mode = 'brace' AND delta > 0 AND level = balance - delta) "
@@ -205,20 +196,96 @@ def block_end(lines: DataFrame, key: Sequence[str], carry: Sequence[str] = ()) -
                                ELSE struct(next_event.line AS line, next_event.`end` AS `end`) END
         WHEN 'indent' THEN CASE WHEN next_event IS NULL THEN file_solid ELSE next_event.prev_solid END
         WHEN 'self' THEN {spot} END"""
-    rows = following.filter(f"({own}) OR mode = 'carry'").withColumn("_found", F.expr(found))
-    return rows.withColumns({"is_target": F.expr("mode <> 'carry'"), "end_line": F.expr("_found.line"),
-                             "end_offset": F.expr("_found.`end`")})
+    rows = following.filter(own).withColumn("_found", F.expr(found))
+    return rows.withColumns({"end_line": F.expr("_found.line"), "end_offset": F.expr("_found.`end`")})
+
+
+#: What ``trimmed`` takes for blank.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 32), *(c for c in range(0x3001) if category(chr(c)).startswith("Z"))]))
+_ANNOTATION, _CLASS, _FUNCTION = (re.compile(p, re.ASCII) for p in (ANNOTATION_REGEX, CLASS_REGEX, FUNCTION_REGEX))
+
+DECLARATIONS_TYPE = "array<struct<kind:string,name:string,start_line:int,end_line:int,start:int,end:int>>"
+
+
+def _kind(line: str) -> tuple[str, str | None]:
+    """Kind of a trimmed line, and the declared name or the annotation's short name."""
+    if not line:
+        return BLANK, None
+    if line[0] == "@":
+        found = _ANNOTATION.match(line)
+        return (ANNOTATION, _short(found[1])) if found else (OTHER, None)
+    if found := _CLASS.match(line):
+        return CLASS, found[2]
+    if found := _FUNCTION.match(line):
+        return FUNCTION, found[1]
+    return OTHER, None
+
+
+def declared(text: str, criteria: SymbolCriteria) -> list[dict]:
+    """Matched declarations of a text in order of their lines: kind, name, lines and offsets (in code points)."""
+    classes, functions = set(criteria.classes), set(criteria.functions)
+    hidden = {_short(a) for a in criteria.annotations}
+    lines = text.split("\n")
+    out, braces, indents = [], [], []
+    offset, balance, group, solid = 0, 0, None, None  # group: line, offset and hit of pending annotations; solid: last line with text
+
+    def close(stack: list, level: int, at: tuple[int, int]) -> None:
+        while stack and stack[-1][0] >= level:
+            stack.pop()[1].update(end_line=at[0], end=at[1])
+
+    for number, line in enumerate(lines):
+        end = offset + len(line) + (number < len(lines) - 1)
+        body = line.strip(_BLANKS)
+        kind, name = _kind(body)
+        delta = line.count("{") - line.count("}")
+        balance += delta
+        close(braces, balance, (number, end))
+        if kind != BLANK:
+            indent = len(line) - len(line.lstrip(_BLANKS))
+            # Even ranks stop a block of their indentation, odd ones only deeper blocks.
+            if indents:
+                close(indents, 2 * indent + (0 if kind != OTHER or indent == 0 else 1), solid)
+            solid = number, end
+        if kind == ANNOTATION:
+            group = (*(group[:2] if group else (number, offset)), name in hidden or bool(group and group[2]))
+        else:
+            if kind in (CLASS, FUNCTION) and (name in (classes if kind == CLASS else functions) or group and group[2]):
+                found = {"kind": kind, "name": name, "start_line": group[0] if group else number, "start": group[1] if group else offset}
+                out.append(found)
+                if delta > 0:
+                    braces.append((balance - delta, found))
+                else:
+                    indents.append((2 * indent, found))
+            group = None
+        offset = end
+    close(braces, -len(text) - 1, (len(lines) - 1, offset))
+    close(indents, -1, solid)
+    return out
+
 
+def merged(found: list[dict]) -> list[dict]:
+    """Ranges of declarations, overlapping and adjacent ones as one, their descriptions joined in order of start."""
+    out = []
+    for d in sorted(found, key=lambda d: d["start"]):  # of one start, by line
+        description = f"{d['kind']} {d['name']}"
+        if out and d["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], d["end"])
+            out[-1]["description"] += ", " + description
+        else:
+            out.append({"start": d["start"], "end": d["end"], "description": description})
+    return out
+
+
+def _per_text(text: Column, find, kind: str) -> Column:
+    """A function of a text as an Arrow-batched column; NULL texts give NULL."""
+    @F.pandas_udf(kind)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else find(t))
+    return found(text)
 
-def _declarations(lines: DataFrame, criteria: SymbolCriteria, key: Sequence[str],
-                  carry: Sequence[str] = ()) -> DataFrame:
-    lines = line_kinds(brace_balance(line_offsets(lines, key), key))
-    lines = _targets(annotation_groups(lines, key), criteria, key)
-    # Only files with a target go on.
-    active = F.max("is_target").over(Window.partitionBy(*key))
-    kept = lines.withColumn("_active", active)
-    keep = F.col("_active") if not carry else F.col("_active") | F.col(carry[0]).isNotNull()
-    return block_end(kept.filter(keep), key, carry)
+
+def _whole(text: Column) -> Column:
+    return F.coalesce(package_name(text), F.lit("<unknown>"))
 
 
 def kotlin_symbols(files: DataFrame, criteria: SymbolCriteria, *, key: Sequence[str] = ("root", "path"),
@@ -226,14 +293,11 @@ def kotlin_symbols(files: DataFrame, criteria: SymbolCriteria, *, key: Sequence[
     """Matched declarations: key, kind, name, first and last line, start and end offset."""
     sources = files.filter(F.col(path).endswith(".kt") & may_match(F.col(text), criteria))
     if criteria.whole_file:
-        name = F.coalesce(package_name(F.col(text)), F.lit("<unknown>"))
-        return sources.select(*key, F.lit("package").alias("kind"), name.alias("name"),
-                              F.lit(0).alias("start_line"),
+        return sources.select(*key, F.lit("package").alias("kind"), _whole(F.col(text)).alias("name"), F.lit(0).alias("start_line"),
                               (F.size(F.split(F.col(text), "\n", -1)) - 1).alias("end_line"),
                               F.lit(0).alias("start"), F.length(text).alias("end"))
-    found = _declarations(source_lines(sources, key, text), criteria, key)
-    return found.select(*key, "kind", "name", F.col("group_start").alias("start_line"), "end_line",
-                        F.col("group_offset").alias("start"), F.col("end_offset").alias("end"))
+    found = sources.select(*key, _per_text(F.col(text), lambda t: declared(t, criteria), DECLARATIONS_TYPE).alias("_found"))
+    return found.select(*key, F.inline("_found"))
 
 
 def merge_ranges(ranges: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -252,66 +316,19 @@ def merge_ranges(ranges: DataFrame, key: Sequence[str]) -> DataFrame:
         .drop("_island")
 
 
-def with_symbol_ranges(df: DataFrame, criteria: SymbolCriteria, key: Sequence[str], text: Column,
-                       name: str) -> DataFrame:
-    """Add the merged ranges of the criteria as an array column (empty = no match).
-
-    The row itself travels with its first line, so nothing is joined back and a
-    chain of symbol rules needs a single shuffle.
-    """
-    gate = may_match(text, criteria)
+def symbol_ranges(path: Column, text: Column, criteria: SymbolCriteria) -> Column:
+    """The merged ranges of the criteria in a Kotlin file, an empty array for any other."""
+    gate = F.coalesce(path.endswith(".kt") & may_match(text, criteria), F.lit(False))
     if criteria.whole_file:
-        whole = F.array(F.struct(
-            F.lit(0).alias("start"), F.length(text).alias("end"),
-            F.concat(F.lit("package "), F.coalesce(package_name(text), F.lit("<unknown>"))).alias("description")))
-        return df.withColumn(name, F.when(gate, whole).otherwise(F.array()).cast(RANGES_TYPE))
-
-    columns = df.columns
-    gated = df.select(*key, F.struct(*columns).alias("_row"),
-                      F.when(gate, F.split(text, "\n", -1)).otherwise(F.array(F.lit(""))).alias("_lines"))
-    lines = gated.select(*key, "_row", F.posexplode("_lines").alias("line", "line_text")) \
-        .withColumn("_row", F.when(F.col("line") == 0, F.col("_row")))
-    found = _declarations(lines, criteria, key, carry=("_row",)).select(
-        *key, "_row", F.when(F.col("is_target"), F.col("group_offset")).alias("start"), "line",
-        F.when(F.col("is_target"), F.col("end_offset")).alias("end"),
-        F.when(F.col("is_target"), F.concat_ws(" ", "kind", "name")).alias("description"),
-        F.col("is_target").alias("is_range"))
-    # A target on line 0 carries the row as well as its range.
-    found = found.withColumn("_row", F.when(~F.col("is_range"), F.col("_row")))
-    w = Window.partitionBy(*key).orderBy("start", "line")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)
-    islands = found.withColumn("_reach", reach).withColumn("island", F.sum(opens).over(w))
-    ranges = F.sort_array(F.collect_list(F.when(F.col("is_range"), F.struct(
-        "start", "line", "end", "description", "island"))))
-    # The key columns come from the grouping, which keeps the partitioning known.
-    return islands.groupBy(*key).agg(F.first("_row", True).alias("_row"), ranges.alias("_ranges")) \
-        .select(*(F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in columns), let(F.col("_ranges"), _merged_islands).cast(RANGES_TYPE).alias(name))
-
-
-def _merged_islands(ranges: Column) -> Column:
-    """One range per island of an array sorted by start; linear in its length."""
-    last = F.size(ranges) - 1
-    opening = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (
-        F.get(ranges, i)["island"] != F.get(ranges, i - 1)["island"]))
-
-    def merged(at: Column) -> Column:
-        def one(first: Column, n: Column) -> Column:
-            upto = F.coalesce(F.get(at, n + 1), last + 1)
-            return let(F.slice(ranges, first + 1, upto - first), lambda part: F.struct(
-                F.element_at(part, 1)["start"].alias("start"), F.array_max(part["end"]).alias("end"),
-                F.array_join(part["description"], ", ").alias("description")))
-
-        return F.transform(at, one)
-
-    return F.when(F.size(ranges) == 0, F.array().cast(RANGES_TYPE)).otherwise(let(opening, merged))
+        found = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), F.concat(F.lit("package "), _whole(text)).alias("description")))
+        return F.when(gate, found).otherwise(F.array()).cast(RANGES_TYPE)
+    return F.coalesce(_per_text(F.when(gate, text), lambda t: merged(declared(t, criteria)), RANGES_TYPE), F.array().cast(RANGES_TYPE))
 
 
-def redact_kotlin(files: DataFrame, criteria: SymbolCriteria, replacement: str, *,
-                  key: Sequence[str] = ("root", "path"), path: str = "path", text: str = "text") -> DataFrame:
+def redact_kotlin(files: DataFrame, criteria: SymbolCriteria, replacement: str, *, path: str = "path", text: str = "text") -> DataFrame:
     """Replace every merged range by ``REPLACEMENT // DESCRIPTION``; Kotlin files only."""
     sources = files.filter(F.col(path).endswith(".kt"))
-    ranged = with_symbol_ranges(sources, criteria, key, F.col(text), "_ranges")
+    ranged = sources.withColumn("_ranges", symbol_ranges(F.col(path), F.col(text), criteria))
     replaced = replace_ranges(F.col(text), F.transform("_ranges", lambda r: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), F.concat(F.lit(replacement + " // "), r["description"]).alias("replacement"))))
     return ranged.withColumn("redacted_text", replaced).drop("_ranges")

@@ -100,10 +100,6 @@ class Policy:
     def replacement_of(self, rule: Rule) -> str:
         return self.redact_replacement if rule.replacement is None else rule.replacement
 
-    @property
-    def has_symbol_rules(self) -> bool:
-        return any(rule.match.kotlin is not None for rule in self.rules)
-
 
 def _strings(value) -> tuple[str, ...]:
     return tuple(str(item) for item in (value or ()))

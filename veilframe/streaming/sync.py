@@ -63,7 +63,7 @@ def decide_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | No
     routed = routed.withColumn("gone", gone)
     if manifest is None:
         evaluated = apply_policy(routed.withColumn("text", F.when(~F.col("gone"), F.col("text"))), policy,
-                                 key=("root", "source_path"), detectors=detectors).withColumn("cache_hit", F.lit(False))
+                                 detectors=detectors).withColumn("cache_hit", F.lit(False))
     else:
         live = reuse_decisions(routed.filter(~F.col("gone")), manifest, policy, detectors=detectors)
         evaluated = routed.join(live, ["root", "source_path", "size", "mtime_ms"], "left")
