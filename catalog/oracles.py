@@ -599,3 +599,5 @@ SELECT path, CASE WHEN t3 <> text THEN 'WRITE_SANITIZED_TEXT' ELSE 'COPY_ORIGINA
        CASE kind WHEN 2 THEN 'unparsable' WHEN 3 THEN 'nothing' WHEN 4 THEN 'missing'
             ELSE CASE WHEN t2 = text THEN 'ok' ELSE 'stale' END END AS privacy_status FROM z""",
 }
+
+ORACLES["r1_sync_state"] = ORACLES["r1_sync_batch"]

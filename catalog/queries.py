@@ -15,7 +15,7 @@ from veilframe.policy import REDACT, policy_fingerprint
 from veilframe.sources import manifest as M, tables
 from veilframe.sources.scratch import new_folder, written
 from veilframe.sources.workspace import read_workspace
-from veilframe.streaming import lines, sync
+from veilframe.streaming import lines, state, sync
 
 from . import inputs as I
 
@@ -645,6 +645,17 @@ def r1_sync_manifest(spark, sf_dir):
         F.col("source_path").alias("path"), "size", "disposition", F.sha2("sanitized_text", 256).alias("sanitized_sha"), "cache_hit")
 
 
+@query
+def r1_sync_state(spark, sf_dir):
+    """The staged log of a stream that keeps what it knows of a path in its state store."""
+    folder = new_folder(spark, "sync")
+    change_events(I.files(spark, sf_dir)).write.parquet(f"{folder}/changes")
+    changes = spark.readStream.schema(sync.CHANGES_SCHEMA).parquet(f"{folder}/changes")
+    state.sync_state_stream(changes, I.FILES_POLICY, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return sync.read_staged_log(spark, f"{folder}/log").select(
+        "path", "event_id", "op", "action", "status", "disposition", I.finding_lines().alias("findings"))
+
+
 @query
 def workspace_run(spark, sf_dir):
     """The staged copy of a second run, in which every seventh file has changed since the first."""

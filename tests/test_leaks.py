@@ -1,11 +1,14 @@
 """Ways in which sensitive text could get out."""
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe import apply_policy, gitleaks_detector, load_policy, privacy_filter_detector, staged_items
+from veilframe import (apply_policy, evaluate_workspace, gitleaks_detector, load_policy, privacy_filter_detector, register_detector,
+                       staged_items)
 from veilframe.functions.match import found, required_literals
 from veilframe.operators.detectors import in_stage_order
 from veilframe.operators.rollups import top_findings
@@ -100,3 +103,24 @@ def test_top_findings_are_cut_before_the_ranking_of_a_root(spark):
         assert got == sorted((r[1] for r in rows), key=lambda p: p.split("/"))[:k]
     plan = top_findings(found_, 5000)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(rank#") >= 2 and plan.count("Window [row_number()") == 2
+
+
+def test_a_detector_that_hangs_does_not_stop_the_batch(spark):
+    def sleepy(texts):
+        for text in texts:
+            if "hang" in text:
+                time.sleep(60)
+        return pd.DataFrame({"redacted_text": [t.replace("John", "<p>") if "John" in t else None for t in texts],
+                             "matched_values": [None] * len(texts), "summary": [None] * len(texts)})
+
+    p = load_policy({"version": 1, "rules": []})
+    detector = register_detector("names", sleepy, seconds=0.2)
+    rows = [(f"f{i}", "hang John" if i in (3, 11) else f"John {i}" if i % 2 else "clean") for i in range(20)]
+    files = spark.createDataFrame([("/w", *r) for r in rows], "root string, path string, text string").coalesce(1)
+    begin = time.time()
+    out = {r.path: (r.disposition, r.sanitized_text, r.detector_status["names"]) for r in apply_policy(files, p, detectors=[detector]).collect()}
+    assert time.time() - begin < 40
+    assert {k for k, v in out.items() if v[2] == "timeout"} == {"f3", "f11"} and out["f3"][:2] == ("COPY_ORIGINAL", None)
+    assert out["f5"] == ("WRITE_SANITIZED_TEXT", "<p> 5", "ok") and out["f4"] == ("COPY_ORIGINAL", None, "nothing")
+    assert evaluate_workspace(files.selectExpr("*", "path AS source_path", "1L AS size", "1L AS mtime_ms"), None, p, detectors=[detector]) \
+        .decisions.where("detector_status['names'] = 'timeout'").count() == 2

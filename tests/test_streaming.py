@@ -1,8 +1,13 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from veilframe import collapse_changes, current_state, load_policy, read_staged_log, run_lines, sanitize_turns, sync_batch, sync_stream
+from veilframe import (collapse_changes, current_manifest, current_state, load_policy, read_staged_log, run_lines, sanitize_turns, sync_batch,
+                       sync_state_stream, sync_stream)
+from veilframe.sources.deltas import DeltaLog
+from veilframe.sources.manifest import manifest_log, short_log
 from veilframe.sources.scratch import written
-from veilframe.streaming.sync import CHANGES_SCHEMA, compacted
+from veilframe.streaming.sync import CHANGES_SCHEMA, LOG_SCHEMA, compacted, decide_batch, manifest_delta
 
 POLICY = load_policy({"version": 1, "rules": [
     {"id": "keys", "match": {"paths": ["**/*.jks"]}, "action": {"type": "block"}},
@@ -101,3 +106,84 @@ def test_lines_stream_equals_batch(spark, tmp_path):
     typed = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run_lines(typed, POLICY, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(sanitize_turns(lines, POLICY).collect())
+
+
+def test_keyed_state_ignores_what_is_known(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for i, rows in enumerate(BATCHES + [[event(30, "/w/b", "clean again", 20), event(31, "/w/./s", "ok now", 50)]]):
+        spark.createDataFrame(rows, CHANGES_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        # Each run goes on with the state of the one before.
+        changes = spark.readStream.schema(CHANGES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "changes"))
+        sync_state_stream(changes, POLICY, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    log = read_staged_log(spark, str(tmp_path / "log"))
+    assert states(log) == EXPECTED | {"/w/s": ("pass-through", "ok now")}
+    passed = sorted(r.event_id for r in log.collect())
+    # 12: older than 11; 23: late; the second 22: repeated; 30: the file is as it was.
+    assert passed == [1, 2, 3, 4, 5, 6, 7, 8, 11, 13, 14, 21, 22, 31]
+
+
+def test_another_policy_is_not_what_is_known(spark, tmp_path):
+    def run(policy, row):
+        spark.createDataFrame([row], CHANGES_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        changes = spark.readStream.schema(CHANGES_SCHEMA).parquet(str(tmp_path / "changes"))
+        sync_state_stream(changes, policy, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
+    run(POLICY, event(1, "/w/a", "a secret", 10))
+    run(load_policy({"version": 1, "rules": []}), event(2, "/w/a", "a secret", 10))
+    assert states(read_staged_log(spark, str(tmp_path / "log"))) == {"/w/a": ("pass-through", "a secret")}
+
+
+def data(folder):
+    return {p: p.stat().st_mtime_ns for p in Path(folder).rglob("*.parquet")}
+
+
+def test_a_batch_writes_its_own_changes(spark, tmp_path):
+    many = [event(i, f"/w/m{i}", f"text {i} secret", 10) for i in range(300)]
+    rounds = [many, [event(1000, "/w/m7", "new", 20)], [event(1001, "/w/m8", None, 30, "DELETE"), event(1002, "/w/m9", "text 9 secret", 10)]]
+    written_rows = []
+    for rows in rounds:
+        spark.createDataFrame(rows, CHANGES_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        before = data(tmp_path / "manifest") | data(tmp_path / "log")
+        changes = spark.readStream.schema(CHANGES_SCHEMA).parquet(str(tmp_path / "changes"))
+        sync_stream(changes, POLICY, str(tmp_path / "log"), str(tmp_path / "checkpoint"), manifest_folder=str(tmp_path / "manifest")).awaitTermination()
+        after = data(tmp_path / "manifest") | data(tmp_path / "log")
+        assert all(after[p] == t for p, t in before.items())
+        new = [p for p in after if p not in before]
+        written_rows.append([sum(spark.read.parquet(str(p)).count() for p in new if part in str(p)) for part in ("/manifest/", "/log/")])
+    assert written_rows == [[300, 300], [1, 1], [1, 2]]  # an unchanged file is in the log of the batch, not in the manifest's
+    known = current_manifest(spark, str(tmp_path / "manifest"), POLICY)
+    assert known.count() == 299 and known.where("source_path = '/w/m8'").isEmpty()
+    assert [r.sanitized_text for r in known.where("source_path = '/w/m9'").collect()] == ["text 9 <redacted>"]
+
+
+def test_a_repeated_batch_leaves_its_readers_alone(spark, tmp_path):
+    log = DeltaLog(spark, str(tmp_path / "log"), LOG_SCHEMA)
+    rows = sync_batch(spark.createDataFrame(BATCHES[0], CHANGES_SCHEMA), POLICY)
+    assert log.append(rows, "batch_id=0")
+    reader, files = read_staged_log(spark, str(tmp_path / "log")), data(tmp_path / "log")
+    assert not log.append(rows, "batch_id=0")
+    assert data(tmp_path / "log") == files and reader.count() == 8
+
+
+def test_a_stream_folds_its_logs(spark, tmp_path):
+    for i, rows in enumerate(BATCHES):
+        spark.createDataFrame(rows, CHANGES_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+    changes = spark.readStream.schema(CHANGES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "changes"))
+    sync_stream(changes, POLICY, str(tmp_path / "log"), str(tmp_path / "checkpoint"), manifest_folder=str(tmp_path / "manifest"), fold_after=1).awaitTermination()
+    assert states(read_staged_log(spark, str(tmp_path / "log"))) == EXPECTED
+    base, deltas = DeltaLog(spark, str(tmp_path / "log"), LOG_SCHEMA).state()
+    assert base and len(deltas) <= 1
+    known = {r.source_path: r.mtime_ms for r in current_manifest(spark, str(tmp_path / "manifest"), POLICY).collect()}
+    assert known == {"/w/a": 20, "/w/b": 20, "/w/d/y": 40, "/w/k/k.jks": 10, "/w/s": 20}
+
+
+def test_late_events_after_a_fold_change_nothing(spark, tmp_path):
+    folder = str(tmp_path / "m")
+    for n, rows in enumerate([BATCHES[0], BATCHES[2], [event(40, "/w/d/x", "late", 20)]]):
+        log = manifest_log(spark, folder)
+        name = log.name(str(n))
+        decided = decide_batch(spark.createDataFrame(rows, CHANGES_SCHEMA), POLICY, manifest=current_manifest(spark, folder, POLICY))
+        log.append(manifest_delta(decided, POLICY, (), name), name)
+        log.fold(short_log)
+    known = {r.source_path for r in current_manifest(spark, folder, POLICY).collect()}
+    assert "/w/d/x" not in known and {"/w/d/y", "/w/a"} <= known

@@ -17,6 +17,7 @@ from .sources.manifest import current_manifest, read_manifest, read_staged, stag
 from .sources.tables import files_from_table, rules_frame, spread
 from .sources.workspace import list_workspace, read_contents, read_workspace
 from .streaming.lines import run_lines, sanitize_stream
+from .streaming.state import sync_state_stream
 from .streaming.sync import collapse_changes, current_state, read_staged_log, sync_batch, sync_stream
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ LEAKS_SCHEMA = "array<struct<Secret:string>>"
 RESULT_TYPE = "struct<redacted_text:string,matched_values:array<string>,summary:string,status:string>"
 
 #: ``stale``: the output belongs to another text than the one it is applied to.
-OK, NOTHING, MISSING, UNPARSABLE, STALE = "ok", "nothing", "missing", "unparsable", "stale"
+OK, NOTHING, MISSING, UNPARSABLE, STALE, TIMEOUT = "ok", "nothing", "missing", "unparsable", "stale", "timeout"
 
 
 def _result(redacted: Column, values: Column, summary: Column, status: Column) -> Column:
@@ -118,26 +119,63 @@ def in_stage_order(detectors: Sequence[Detector]) -> list[Detector]:
     return sorted(detectors, key=lambda d: known.get(d.id, len(known)))
 
 
+class _TooLong(Exception):
+    """A detector did not answer in time."""
+
+
+def _in_time(fn: Callable[[pd.Series], pd.DataFrame], texts: pd.Series, seconds: float) -> tuple[pd.DataFrame, pd.Series]:
+    """The answers of ``fn``, and which texts it did not finish in time; these have rows of nulls.
+
+    A batch that takes longer than the limit is halved until single texts are left, so
+    one text that hangs costs the limit a few times and the others keep their answers.
+    """
+    def stop(signal_number, frame):
+        raise _TooLong
+
+    before = signal.signal(signal.SIGALRM, stop)
+    try:
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            got = fn(texts)
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            got.index = texts.index
+            return got, pd.Series(False, index=texts.index)
+        except _TooLong:
+            pass
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+    finally:
+        signal.signal(signal.SIGALRM, before)
+    if len(texts) == 1:
+        return pd.DataFrame({c: [None] for c in ("redacted_text", "matched_values", "summary")}, index=texts.index), pd.Series(True, index=texts.index)
+    middle = len(texts) // 2
+    halves = [_in_time(fn, part, seconds) for part in (texts.iloc[:middle], texts.iloc[middle:])]
+    return pd.concat([h[0].astype(object) for h in halves]), pd.concat([h[1] for h in halves])
+
+
 def register_detector(detector_id: str, fn: Callable[[pd.Series], pd.DataFrame], action: str = REDACT,
-                      toggle: str | None = None, version: str = "1") -> Detector:
+                      toggle: str | None = None, version: str = "1", seconds: float | None = 5.0) -> Detector:
     """Plug in a Python detector, run on Arrow batches of texts.
 
     ``fn`` gets a Series without nulls and returns a DataFrame of the same
     length with the columns redacted_text, matched_values (list or None) and
-    summary; a row of nulls means that nothing was found.
+    summary; a row of nulls means that nothing was found.  A text that it works on for
+    longer than ``seconds`` (None: no limit) has the status ``timeout``, and the batch goes on.
     """
     def batch(texts: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({"redacted_text": None, "matched_values": None, "summary": None, "status": MISSING},
                            index=texts.index, dtype=object)
         known = texts[texts.notna()]
         if len(known):
-            got = fn(known)
+            got, late = (fn(known), None) if seconds is None else _in_time(fn, known, seconds)
             got.index = known.index
             for name in ("redacted_text", "matched_values", "summary"):
                 out.loc[known.index, name] = got[name]
             found = got["redacted_text"].notna() | got["matched_values"].map(
                 lambda v: v is not None and not (isinstance(v, float)) and len(v) > 0)
             out.loc[known.index, "status"] = found.map({True: OK, False: NOTHING})
+            if late is not None:
+                out.loc[known.index[late], "status"] = TIMEOUT
         out["matched_values"] = out["matched_values"].map(lambda v: [] if v is None or isinstance(v, float) else list(v))
         return out
 

@@ -47,13 +47,15 @@ def collapse_changes(events: DataFrame, key: Sequence[str] = ("root", "path"), *
 
 
 def decide_batch(changes: DataFrame, policy: Policy, *, manifest: DataFrame | None = None,
-                 detectors: Sequence = ()) -> DataFrame:
+                 detectors: Sequence = (), collapsed: bool = False) -> DataFrame:
     """Decisions on the latest versions of the changed paths, with ``action`` and ``cache_hit``.
 
     Paths are normalised first, so different spellings are one path.  Events outside
     the root or under a skipped directory are IGNORED; deleted and blocked files are REMOVED.
+    Changes that are ``collapsed`` have one event per normalised path already.
     """
-    latest = collapse_changes(changes.withColumn("path", normalize(F.col("path")))).withColumnRenamed("path", "source_path")
+    latest = changes if collapsed else collapse_changes(changes.withColumn("path", normalize(F.col("path"))))
+    latest = latest.withColumnRenamed("path", "source_path")
     outside = ~is_under(F.col("source_path"), normalize(F.col("root")))
     rel = relative_path(F.col("root"), F.col("source_path"))
     routed = latest.withColumn("path", rel).withColumn(
