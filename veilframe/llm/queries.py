@@ -129,7 +129,8 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = warc.read_records(warc.reconstruct(spark, folder))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

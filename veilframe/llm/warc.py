@@ -2,24 +2,26 @@
 
 ``write_archive`` keeps two tables in a folder: ``payloads`` (SHA-256 and bytes,
 one row per different payload) and ``headers`` (one row per record: the exact
-header bytes and the digest of the payload they belong to).  ``read_archive``
-checks every payload against its digest, ``reconstruct`` joins both to the
-original records.  Spark reads and writes all of it, so any store that the
-cluster shares will do.
+header bytes and the digest of the payload they belong to).  ``reconstruct`` joins both
+to the original records, ``read_records`` parses these again and checks them.  Spark
+reads and writes all of it, so any store that the cluster shares will do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..sources.scratch import written
 
 #: Digits of base 32 as numbers are written, and as digests are (RFC 4648).
 BASE32_NUMBER = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_DIGEST = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A digest of more records than PART_ROWS is hot: its records are shared out over MOST_PARTS parts in joins.
-PART_ROWS, MOST_PARTS = 1_000, 64
-#: Hot digests that are sent to all tasks at most (32 bytes each); more are joined by shuffle.
-MOST_HOT = 4_096
+#: The date of records of pages without one; fixed, so reruns agree.
+DATE = "1970-01-01T00:00:00Z"
+#: The length of a revisited payload; a revisit's own block is empty.
+PAYLOAD_LENGTH = "X-Payload-Length"
+_BREAK = "\r\n\r\n"
 
 
 def base32(sha1_hex: Column) -> Column:
@@ -45,7 +47,7 @@ def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html",
-                  least_revisit_bytes: int = 0) -> None:
+                  least_revisit_bytes: int = 0, date: str = DATE) -> None:
     """Write the archive of ``pages`` into ``folder``: each payload once, then the headers.
 
     Of pages with equal payloads of at least ``least_revisit_bytes``, the one with
@@ -55,52 +57,36 @@ def write_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", ur
     read, empty tables give empty archives.
 
     Payloads move once, by digest, and copies are dropped before they move, so a
-    payload that a third of all pages share is one row per task.  Headers meet
-    their payload's digest only, a hot one in several parts.
+    payload that a third of all pages share is one row per task.  Headers are put in
+    order by digest and id, over ranges of rows; a digest's largest id is its first, and
+    ranges tell each other by one row per digest and range.  So no digest is one task.
     """
     spark = pages.sparkSession
     rows = _records(pages, page_id, url, html)
-    (rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("page_id").alias("keeper"),
-                                F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("parts"))
-     .write.parquet(f"{folder}/payloads"))
-    stored = spark.read.parquet(f"{folder}/payloads").select(
-        "sha256", "keeper", "parts", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    hot = spark.read.parquet(f"{folder}/payloads").where("parts > 1").select("sha256", F.col("parts").alias("_hot"))
-    narrow = rows.drop("payload")
-    # Digests with many records are few: at most one for every PART_ROWS pages.
-    kept = _in_parts(narrow, stored, hot)
+    (rows.groupBy("sha256").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{folder}/payloads"))
+    narrow = written(rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")),
+                     "records")
+    by = [F.col("sha256"), F.col("page_id").desc_nulls_last()]
+    placed = written(narrow.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range", F.spark_partition_id()), "ordered-records")
+    first = F.first("keeper").over(Window.partitionBy("sha256").orderBy("range"))
+    keepers = placed.groupBy("sha256", "range").agg(F.max("page_id").alias("keeper")).select("sha256", "range", first.alias("keeper"))
+    kept = placed.join(keepers, ["sha256", "range"])
     revisit = (F.col("payload_bytes") >= least_revisit_bytes) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     header = _header(
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", page_urn(F.col("page_id"))),
-        ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
-        ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        ("WARC-Refers-To", F.when(revisit, page_urn(F.col("keeper")))), ("Content-Length", F.col("payload_bytes")))
-    kept.select("page_id", "sha256", "part", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
-
-
-def _in_parts(narrow: DataFrame, stored: DataFrame, hot: DataFrame) -> DataFrame:
-    """Pages with the digest's row of ``stored``; pages of a hot digest are shared out over its parts.
-
-    Only rows of hot digests know before the join how many parts there are; all
-    others look in part 0, which every digest has.
-    """
-    slices = F.pmod(F.xxhash64("page_id", "url"), F.lit(MOST_PARTS)).cast("int")
-    repeated = stored.withColumn("_slice", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.lit(MOST_PARTS - 1)))
-                                                     .otherwise(F.array(F.lit(-1)))))
-    marked = narrow.join(F.broadcast(hot.limit(MOST_HOT)), "sha256", "left") if hot.limit(MOST_HOT + 1).count() <= MOST_HOT else \
-        narrow.join(hot, "sha256", "left")
-    marked = marked.withColumn("_slice", F.when(F.col("_hot").isNotNull(), slices).otherwise(-1))
-    return marked.join(repeated, ["sha256", "_slice"]).withColumnRenamed("_slice", "part").drop("_hot")
+        ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
+        ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("WARC-Refers-To", F.when(revisit, page_urn(F.col("keeper")))),
+        (PAYLOAD_LENGTH, F.when(revisit, F.col("payload_bytes"))), ("Content-Type", F.when(~revisit, "text/html")),
+        ("Content-Length", F.when(revisit, 0).otherwise(F.col("payload_bytes"))))
+    kept.select("page_id", "sha256", revisit.alias("is_revisit"), F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Digests and sizes of the stored payloads, each counted from its bytes; a damaged payload ends the job."""
-    stored = spark.read.parquet(f"{folder}/payloads")
+    """Stored payloads, each checked against its digest; a damaged one ends the job."""
     true = F.unhex(F.sha2("payload", 256))
-    checked = F.when(true == F.col("sha256"), true).otherwise(
+    checked = F.when(true == F.col("sha256"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("damaged payload "), F.hex("sha256"))).cast("binary"))
-    return stored.select(checked.alias("sha256"), "parts", F.octet_length("payload").cast("long").alias("payload_bytes"),
-                         base32(F.sha1("payload")).alias("payload_digest"), "payload")
+    return spark.read.parquet(f"{folder}/payloads").select("sha256", checked.alias("payload"))
 
 
 def field(header: Column, name: str) -> Column:
@@ -109,27 +95,48 @@ def field(header: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def _with_payloads(spark: SparkSession, folder: str, payloads: DataFrame) -> DataFrame:
-    """Headers with their payload's row; the headers of a hot payload in the parts they were written in."""
-    headers = spark.read.parquet(f"{folder}/headers").select("page_id", "sha256", "part", "header")
-    repeated = payloads.withColumn("part", F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.lit(MOST_PARTS - 1)))
-                                                     .otherwise(F.array(F.lit(-1)))))
-    return headers.join(repeated, ["sha256", "part"])
+def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
+    """The original records, byte for byte: page_id, sha256 and record (header, payload and the closing line breaks).
 
+    A response meets its payload by a join on the digest; revisits have an empty block
+    and meet none, however many there are of one payload.
+    """
+    headers, end = spark.read.parquet(f"{folder}/headers"), F.lit(_BREAK).cast("binary")
+    responses = headers.where("NOT is_revisit").join(read_payloads(spark, folder), "sha256").withColumn("record", F.concat("header", "payload", end))
+    revisits = headers.where("is_revisit").withColumn("record", F.concat("header", end))
+    return responses.select("page_id", "sha256", "record").unionByName(revisits.select("page_id", "sha256", "record"))
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record, from the headers as stored and the payloads' own bytes."""
-    whole = _with_payloads(spark, folder, read_payloads(spark, folder).drop("payload"))
-    header = F.col("header")
-    return whole.select(
-        "page_id", "payload_bytes", "payload_digest", field(header, "WARC-Type").alias("record_type"),
-        F.regexp_extract(F.coalesce(field(header, "WARC-Refers-To"), F.lit("")), "<urn:page:(-?[0-9]+)>", 1).alias("_to"),
-        field(header, "WARC-Target-URI").alias("url"),
-        (field(header, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))).alias("verified"),
-    ).withColumn("refers_to", F.when(F.col("_to") != "", F.col("_to").cast("long"))).drop("_to")
 
+def read_records(records: DataFrame) -> DataFrame:
+    """Rebuilt records as rows: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """The original records, byte for byte: header, payload and the closing line breaks."""
-    whole = _with_payloads(spark, folder, read_payloads(spark, folder).select("sha256", "parts", "payload"))
-    return whole.select("page_id", F.concat("header", "payload", F.lit("\r\n\r\n").cast("binary")).alias("record"))
+    All columns come from the record's bytes.  A response whose block is not as long as its
+    header says, or has another digest, ends the job; so does a revisit of a payload that no
+    response has by this digest and length.
+    """
+    record = F.col("record")
+    # The header ends at the first empty line; the cast keeps the bytes as they are.
+    head = F.substring_index(record.cast("string"), _BREAK, 1)
+    split = records.select(F.concat(head, F.lit("\r\n")).alias("header"), F.expr(
+        "substring(record, octet_length(substring_index(CAST(record AS STRING), '\\r\\n\\r\\n', 1)) + 5)").alias("rest"))
+    block = F.substring(F.col("rest"), F.lit(1), F.octet_length("rest") - 4)
+    fields = split.select(
+        "header", block.alias("block"), *(field(F.col("header"), n).alias(a) for n, a in (
+            ("WARC-Type", "record_type"), ("WARC-Record-ID", "id"), ("WARC-Refers-To", "target"), ("WARC-Target-URI", "url"), ("WARC-Payload-Digest", "digest"),
+            ("Content-Length", "size"), (PAYLOAD_LENGTH, "revisited"))))
+    response = F.col("record_type") == "response"
+    sound = (F.octet_length("block") == F.col("size").cast("long")) & (~response | (F.col("digest") == F.concat(F.lit("sha1:"), base32(F.sha1("block")))))
+
+    def number(urn: str) -> Column:
+        found = F.regexp_extract(urn, "<urn:page:(-?[0-9]+)>", 1)
+        return F.when(found != "", found.cast("long"))
+
+    rows = written(fields.select(
+        F.when(F.coalesce(sound, F.lit(False)), number("id")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), "id")).cast("long")).alias("page_id"),
+        F.when(response, F.col("size")).otherwise(F.col("revisited")).cast("long").alias("payload_bytes"),
+        F.substring("digest", 6, 32).alias("payload_digest"), "record_type", number("target").alias("refers_to"), "url"), "warc-rows")
+    known = ["payload_digest", "payload_bytes"]
+    lost = rows.where("record_type = 'revisit'").select(*known).distinct().join(rows.where("record_type = 'response'").select(*known).distinct(), known, "left_anti").first()
+    if lost:
+        raise ValueError(f"revisit of a payload that is not there: {lost.payload_digest}")
+    return rows
