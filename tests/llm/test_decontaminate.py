@@ -79,3 +79,26 @@ def test_whole_table(spark, sf):
     exact = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect()
              if len(D.normal(i.text)) >= 32 and D.normal(i.text) in D.normal(d.text)}
     assert exact <= found
+
+
+def test_short_items_are_whole_words(frame):
+    items = [(1, "Two words"), (2, "seven"), (3, "a"), (4, "é? ")]
+    finder = D.Finder([(i, D.normal(t)) for i, t in items], 0.08)
+    for text, want in {"two  WORDS": {1}, "two wordsmith": set(), "eleven seven": {2}, "seventy-seven": set(), "b a": {3}, "ba ab": set(), "é? é": {4}, "é?x": set(),
+                       "x two\nwords a": {1, 3}, "two two words": {1}, "": set()}.items():
+        assert {i for i, *_ in finder.find(text)} == want, text
+        assert all(e == 0 for _, e, _, _ in finder.find(text))
+    assert finder.find("one two words here") == [(1, 0, 1, 3)]
+    docs = frame([(1, "say two words"), (2, "nothing")], "doc_id long, text string")
+    out = D.leaks(docs, frame([*items, (5, " "), (6, None)], "item_id long, text string"))
+    assert [tuple(r)[:2] for r in out.collect()] == [(1, 1)]
+
+
+def test_letters_alone_lose_no_place():
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice(["ab", "ba", "aab", "bba"]) for _ in range(14))) for i in range(4)]
+    finder = D.Finder(items, 0.12)
+    for _ in range(60):
+        document = " ".join(rng.choice(["ab", "ba", "aab", "bba"]) for _ in range(60)) + " " + edited(rng, rng.choice(items)[1], rng.randint(0, 6))
+        want = {i: d for i, t in items if (d := distance(t, D.normal(document))) <= int(0.12 * len(t))}
+        assert {i: e for i, e, _, _ in finder.find(document)} == want

@@ -88,6 +88,39 @@ def test_fast_responses_are_pooled_responses():
             assert np.allclose(np.maximum(net.fast(codes, net.tables()), 0), want, atol=1e-5)
 
 
+def plain_score(net, text):
+    """Every filter at every place of every chunk, by its definition."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    lags = [Q.lag_steps(data[max(0, at - 260):])[min(at, 260):] for at in [0]][0] if len(data) else []
+    pooled = []
+    for start in range(0, max(1, len(data) - (Q.CHUNK - Q.STRIDE)), Q.STRIDE) if len(data) else []:
+        part, own = data[start:start + Q.CHUNK].astype(int), lags[start:start + Q.CHUNK]
+        responses = [sum(net.byte[j, part[i + j]] + net.lag[j, own[i + j]] for j in range(Q.WIDTH)) for i in range(len(part) - Q.WIDTH + 1)]
+        best = np.max(responses, axis=0) + net.bias if responses else np.full(Q.FILTERS, -1.0)
+        pooled.append(np.maximum(best, 0))
+    mean, peak = (np.mean(pooled, axis=0), np.max(pooled, axis=0)) if pooled else (np.zeros(Q.FILTERS), np.zeros(Q.FILTERS))
+    return 1 / (1 + np.exp(-(mean @ net.mean + peak @ net.peak + net.level[0])))
+
+
+def test_scores_as_a_plain_convolution():
+    net, rng = Q.Network.new(3), np.random.default_rng(4)
+    texts = ["", None, "abc", "a" * 511, "hello world " * 90, "".join(rng.choice(list("abcde fg\n"), 3000))]
+    for text in texts:
+        assert net.score(text, net.tables()) == pytest.approx(plain_score(net, text), abs=1e-4), (text or "")[:20]
+
+
+def test_training_texts_are_whole_and_bounded(frame, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda documents, **_: seen.append(documents) or Q.Network.new())
+    rng = np.random.default_rng(2)
+    rows = [("".join(rng.choice(list("abcdef "), n)), i % 2) for i, n in enumerate([100, 5000, 40_000, 900, 20_000, 1, 3000])] + [("", 1), (None, 0), ("x", None)]
+    docs = frame(rows, "text string, label int")
+    Q.learn_network(docs)
+    assert sorted(len(c) for c, _ in seen[0]) == sorted(sum(len(x) for x in Q.chunks(t.encode())) for t, y in rows[:7])
+    Q.learn_network(docs, most_chunks=30)
+    assert 3 <= len(seen[1]) < 7 and sum(len(c) for c, _ in seen[1]) <= 30
+
+
 def test_network_learns_and_travels(frame):
     rng = np.random.default_rng(1)
     good = [" ".join(rng.choice(["red", "green", "blue", "house", "tree", "walk"], 60)) for _ in range(40)]

@@ -64,3 +64,36 @@ def test_held_out_accuracy(spark):
     rows = scored.groupBy("toxic", (F.col("score") >= 0.5).alias("hit")).count().collect()
     n = {(r.toxic, r.hit): r["count"] for r in rows}
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.85 and n.get((0, True), 0) / n[0, False] < 0.02
+
+
+def plain_weight(text, lexicon):
+    """The lexicon looked for at every place of a folded text, term by term."""
+    plain = T.folded(text)
+    safe = []
+    for phrase in lexicon.exceptions:
+        phrase, at = f" {phrase.strip()} ", -1
+        while (at := plain.find(phrase, at + 1)) >= 0:
+            safe.append((at, at + len(phrase) - 1))
+    heaviest = {}
+    for term, weight in lexicon.terms.items():
+        at = -1
+        while (at := plain.find(term, at + 1)) >= 0:
+            if not any(a <= at < b for a, b in safe):
+                heaviest[at] = max(weight, heaviest.get(at, 0))
+    return sum(heaviest.values())
+
+
+def test_whole_table_as_a_plain_search(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learned = T.learn_lexicon(labelled_sample(docs, labels, "toxic", learn=~held_out("doc_id", 5, 0), max_rows=2000))
+    words = sorted({w for r in docs.limit(30).collect() for w in (r.text or "").split()[:40]})[::7]
+    lexicon = T.Lexicon(learned.terms | {f" {T.folded(w).strip()} ": 1.5 for w in words} | {f" {T.folded(w).strip()[:3]}": 0.5 for w in words[::3]},
+                        tuple(T.folded(" ".join(r.text.split()[3:5])).strip() for r in docs.limit(20).collect() if r.text), learned.scale, learned.middle)
+    matcher, hits = T.Matcher(lexicon), 0
+    scores = {r.doc_id: r.score for r in T.score_toxicity(docs, lexicon).collect()}
+    for r in docs.collect():
+        total = plain_weight(r.text, lexicon)
+        hits += total > 0
+        assert matcher.measure(r.text)[0] == pytest.approx(total)
+        assert scores[r.doc_id] == pytest.approx(matcher.score(r.text))
+    assert hits > 50

@@ -17,6 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .words import beside, unpacked
 
 CHUNK, STRIDE = 512, 448
 WIDTH, FILTERS = 6, 16
@@ -190,28 +193,29 @@ def fit(documents: list[tuple[np.ndarray, int]], *, rounds: int = 12, batch: int
     return net
 
 
-def learn_network(labelled: DataFrame, *, text: str = "text", label: str = "label", most_chunks: int = 24, rounds: int = 12) -> Network:
-    """Fit on the driver to a bounded table of labelled texts (see ``labels.labelled_sample``).
+def learn_network(labelled: DataFrame, *, text: str = "text", label: str = "label", most_chunks: int = 40_000, rounds: int = 12) -> Network:
+    """Fit on the driver to a bounded table of labelled texts (see ``labels.labelled_sample``), each with all its chunks.
 
-    The tasks cut each text into chunks and send at most ``most_chunks`` of them,
-    spread evenly over the whole text; that and the number of rows bound what the
-    driver holds.  Scoring reads all chunks.  NULL labels are left out, empty texts
-    teach nothing.
+    ``most_chunks`` bounds what the driver holds: texts are taken whole, in the order of
+    their hashes, as long as their chunks fit; one that does not is left out of the sample.
+    NULL labels are left out, empty texts teach nothing.
     """
+    rows = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(
+        F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(text, label).alias("hash"))
+    sizes = rows.groupBy("hash").agg(F.sum(F.ceil(F.octet_length("text") / STRIDE)).alias("n"))  # a number per sampled row
+    chosen, held = set(), 0
+    for r in sorted(sizes.collect()):
+        if held + r.n <= most_chunks:
+            chosen.add(r.hash)
+            held += r.n
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, labels = [], []
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if t:
-                    own = list(chunks(t.encode("utf-8", "surrogatepass")))
-                    rows = np.concatenate(own)
-                    picked = np.unique(np.linspace(0, len(rows) - 1, most_chunks).round().astype(int))
-                    cells.append(rows[picked].astype("<i2").tobytes())
-                    labels.append(int(y > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), pa.array(labels, pa.int32())], names=["codes", "label"])
-
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
-    sent = rows.mapInArrow(cut, "codes binary, label int").orderBy(F.xxhash64("codes"), "codes").collect()  # bounded by both parameters
+            own = [(np.concatenate(list(chunks(t.encode("utf-8", "surrogatepass")))).astype("<i2").tobytes(), int(y > 0))
+                   for t, y, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) if h in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.binary()), pa.array([y for _, y in own], pa.int32())], names=["codes", "label"])
+
+    sent = rows.mapInArrow(cut, "codes binary, label int").orderBy(F.xxhash64("codes"), "codes").collect()  # bounded by most_chunks
     return fit([(np.frombuffer(r["codes"], "<i2").astype(np.int32).reshape(-1, CHUNK), r["label"]) for r in sent], rounds=rounds)
 
 
@@ -219,16 +223,15 @@ def score_quality(docs: DataFrame, network: Network, *, text: str = "text", into
     """Adds ``into``, 0 to 1, for every whole text, in one pass without a shuffle.
 
     NULL and empty texts get the score of a text without chunks.  The network (0.1 MB)
-    goes with the task.  A column of the name ``into`` is replaced, others pass through.
+    goes with the task.  A column of the name ``into`` (in any case) is replaced, others pass through.
     """
-    kept = [c for c in docs.columns if c != into]
-    slim = docs.withColumn("_scored", docs[text].cast("string")).select(*kept, "_scored")
+    slim = beside(docs, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables()
         for batch in batches:
-            scores = [network.score(t, tables) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, into])
+            scores = [network.score(t, tables) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c != "_scored")
-    return slim.mapInArrow(score, f"{fields}, `{into}` double")
+    out = slim.mapInArrow(score, StructType([slim.schema["row"], StructField("score", DoubleType())]))
+    return unpacked(out, docs, {into: F.col("score")})

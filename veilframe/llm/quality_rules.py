@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import written
-from .words import SEPARATORS, word_array
+from .words import SEPARATORS, beside, unpacked, word_array
 
 SYMBOLS = "#*$%&|<>"
 #: Ratios that rules may use, from the statistics below.
@@ -31,11 +31,11 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Whole texts, one row at a time, without a shuffle.  Words in repeated windows of
     three are found by sorting the windows' 64-bit hashes with their positions, so a
     long text costs n log n; texts whose windows all differ skip that.  NULL and empty
-    texts have zeros everywhere.  Input columns of these names are replaced.
+    texts have zeros everywhere.  Input columns of these names (in any case) are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
-    kept = [c for c in docs.columns if c not in made]
-    rows = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    kept = ["row"]
+    rows = beside(docs, text).select(*kept, F.coalesce("text", F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(_without(line, SEPARATORS)) > 0)
     rows = rows.select(*kept, "_text", word_array(F.col("_text")).alias("_words"), lines.alias("_lines"))
     windows = F.when(F.size("_words") >= 3, F.transform(
@@ -69,11 +69,10 @@ def text_statistics(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def ratio(part: str, whole: str) -> Column:
         return (F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("double")
 
-    return rows.select(
-        *kept, *made[:5], ratio("n_symbols", "word_chars").alias("symbol_ratio"), ratio("n_dup_lines", "_n_lines").alias("dup_line_ratio"),
-        ratio("n_repeat_words", "n_words").alias("repeat_ratio"), ratio("_upper", "word_chars").alias("upper_ratio"),
-        ratio("_digits", "word_chars").alias("digit_ratio"), ratio("_marks", "word_chars").alias("mark_ratio"),
-        ratio("word_chars", "n_words").alias("word_length"), ratio("_different", "n_words").alias("distinct_ratio"))
+    ratios = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "_n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"),
+              "upper_ratio": ("_upper", "word_chars"), "digit_ratio": ("_digits", "word_chars"), "mark_ratio": ("_marks", "word_chars"),
+              "word_length": ("word_chars", "n_words"), "distinct_ratio": ("_different", "n_words")}
+    return unpacked(rows, docs, {n: F.col(n) for n in made[:5]} | {n: ratio(*parts) for n, parts in ratios.items()})
 
 
 def base_failed() -> Column:

@@ -15,7 +15,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from .words import beside, unpacked
 
 Span = tuple[int, str, int]  # start, kind, end: code points, end exclusive
 
@@ -27,10 +30,15 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: All kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
 
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,32}KEY)-----([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]*")
+PEM_LABEL = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,32}KEY(?: BLOCK)?)-----")
+PEM_FIELD = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
 #: Whole runs only: looking back keeps the search from starting again inside a long run.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
+BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}+={0,2}")
+#: Lines of base64; the last one may be followed by other text.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+(?:\r?\n|\\n)[ \t]*+)++[A-Za-z0-9+/]*+={0,2}")
+LINE_BREAK = re.compile(r"(?:\r?\n|\\n)[ \t]*")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+(?![0-9A-Za-z])")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 
@@ -75,25 +83,54 @@ SEQUENCE, INTEGER, OCTETS, OBJECT = 0x30, 0x02, 0x04, 0x06
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: PKCS#1 (version and eight numbers), SEC1 (version, octets) or PKCS#8 (version, algorithm, octets)."""
+    """A private key: PKCS#1 (version and eight numbers), DSA (version and five), SEC1 (version, octets), PKCS#8 (version,
+    algorithm, octets) or encrypted PKCS#8 (algorithm, octets)."""
     outer = der_element(data, 0, len(data))
     if outer is None or outer[0] != SEQUENCE or outer[2] != len(data):
         return False
     parts = der_children(data, *outer[1:])
-    if not parts or len(parts) < 3 and [p[0] for p in parts] != [INTEGER, OCTETS]:
+    if not parts or len(parts) < 2:
         return False
     tags = [p[0] for p in parts]
+
+    def names_algorithm(part: tuple[int, int, int]) -> bool:
+        inner = der_children(data, *part[1:])
+        return bool(inner) and inner[0][0] == OBJECT
+
+    if tags == [SEQUENCE, OCTETS]:
+        return names_algorithm(parts[0]) and parts[1][2] - parts[1][1] >= 16
     version = data[parts[0][1]:parts[0][2]]
-    if tags[:1] != [INTEGER] or version not in (b"\0", b"\1"):
+    if tags[0] != INTEGER or version not in (b"\0", b"\1"):
         return False
-    if tags[:9] == [INTEGER] * 9:
+    if tags[:9] == [INTEGER] * 9 or tags == [INTEGER] * 6:
         return all(e > s for _, s, e in parts)
     if tags[1] == OCTETS:
         return version == b"\1" and parts[1][2] - parts[1][1] >= 16
-    if tags[1:3] == [SEQUENCE, OCTETS]:
-        algorithm = der_children(data, *parts[1][1:])
-        return bool(algorithm) and algorithm[0][0] == OBJECT
-    return False
+    return tags[1:3] == [SEQUENCE, OCTETS] and names_algorithm(parts[1])
+
+
+def is_openpgp_key(data: bytes) -> bool:
+    """Packets whose lengths fill the whole, the first one a secret key."""
+    at, first = 0, None
+    while at < len(data):
+        head, at = data[at], at + 1
+        if not head & 0x80 or at >= len(data):
+            return False
+        if head & 0x40:
+            tag, size, at = head & 0x3F, data[at], at + 1
+            if 192 <= size < 224:
+                size, at = (size - 192 << 8) + (data[at] if at < len(data) else 0) + 192, at + 1
+            elif size == 255:
+                size, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+            elif size >= 224:  # parts of unknown number
+                return False
+        else:
+            tag, n = head >> 2 & 0xF, (1, 2, 4, 0)[head & 3]
+            if not n:
+                return False
+            size, at = int.from_bytes(data[at:at + n], "big"), at + n
+        first, at = first if first is not None else tag, at + size
+    return first == 5 and at == len(data)
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -118,6 +155,27 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_key(data) or is_openssh_key(data))
 
 
+def is_key_block(label: str, body: str) -> bool:
+    """What stands between the marks of a block: header lines, if any, then a key in base64.
+
+    A key encrypted under header lines is opaque; its bytes have to fill cipher blocks.
+    """
+    lines = [line.strip() for line in LINE_BREAK.sub("\n", body.replace("\\r", "").replace("\r", "")).strip().split("\n")]
+    fields = []
+    if PEM_FIELD.match(lines[0]):  # header lines, folded ones among them, end at an empty line
+        cut = lines.index("") if "" in lines else len(lines)
+        fields, lines = lines[:cut], lines[cut:]
+    lines = [line for line in lines if line]
+    if label.endswith(" BLOCK") and lines and lines[-1].startswith("="):
+        lines.pop()  # the checksum
+    data = decode_base64("".join("".join(lines).split()))
+    if label.endswith(" BLOCK"):
+        return bool(data) and is_openpgp_key(data)
+    if any("ENCRYPTED" in f for f in fields) and any(f.startswith("DEK-Info:") for f in fields):
+        return bool(data) and len(data) >= 64 and len(data) % 8 == 0
+    return is_key(data)
+
+
 def is_signed_token(value: str) -> bool:
     """Header and claims are JSON objects, the header names an algorithm; signed unless that is none."""
     head, claims, signature = value.split(".", 2)
@@ -145,28 +203,97 @@ def plain_spans(text: str) -> Iterator[Span]:
         yield m.start(), "hex", m.end()
 
 
+def token_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of ``eyJ``, two dots between runs of the URL alphabet: leftmost, non-overlapping; each run is passed three times at most."""
+    at = text.find("eyJ")
+    while at >= 0:
+        end = TOKEN_RUN.match(text, at).end()
+        after = end
+        if end > at + 3 and text[end:end + 1] == ".":
+            second = TOKEN_RUN.match(text, end + 1).end()
+            if second > end + 1 and text[second:second + 1] == ".":
+                after = TOKEN_RUN.match(text, second + 1).end()
+                yield at, after
+        at = text.find("eyJ", after)
+
+
+def block_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Key blocks from their first to their last mark; the lines between are a key."""
+    next_end: dict[str, int] = {}  # by label, so the text is searched once for each
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        following = text.find("-----BEGIN ", at + 1)
+        found = PEM_LABEL.match(text, at)
+        if found:
+            mark = f"-----END {found[1]}-----"
+            end = next_end.get(mark, 0)
+            if 0 <= end < found.end():
+                end = next_end[mark] = text.find(mark, found.end())
+            # A block ends before the next one begins.
+            if 0 <= end < (following if following >= 0 else len(text)) and is_key_block(found[1], text[found.end():end]):
+                yield at, end + len(mark)
+        at = following
+
+
+def wrapped_key_end(text: str, start: int, end: int) -> int | None:
+    """The end of a key in lines of base64 from ``start`` on; what follows on the last line may be other text."""
+    lines, at = [], start
+    for gap in [*LINE_BREAK.finditer(text, start, end), None]:
+        stop = gap.start() if gap else end
+        lines.append((at, text[at:stop]))
+        at = gap.end() if gap else end
+    body = "".join(line for _, line in lines)
+    need = len(body.rstrip("="))
+    if body.startswith("M"):
+        # The outer length says where the key ends.
+        head = decode_base64(body[:16].rstrip("="))
+        outer = der_element(head + bytes(1 << 20), 0, 1 << 20) if head else None
+        if outer is None:
+            return None
+        need = -(-outer[2] * 4 // 3)
+    if need > len(body) or not is_key(decode_base64(body[:need])):
+        return None
+    for at, line in lines:
+        if need <= len(line):
+            at += need
+            while need % 4 and text[at:at + 1] == "=":
+                at, need = at + 1, need + 1
+            return at
+        need -= len(line)
+    return None
+
+
+def may_be_key(base64_text: str) -> bool:
+    """The first bytes say whether it can be a key, before the whole is decoded."""
+    return base64_text.startswith("M") or base64_text.startswith("b3BlbnNzaC1rZXktdjEA")
+
+
 def confirmed_spans(text: str) -> Iterator[Span]:
-    """Candidates whose structure holds; a key inside a PEM block is reported once, as the block."""
+    """Candidates whose structure holds; a key inside a PEM block is reported once, as the block, one in lines once, as the lines."""
     if "eyJ" in text:
-        for m in JWT.finditer(text):
-            if is_signed_token(m[0]):
-                yield m.start(), "jwt", m.end()
-    blocks = []
+        for start, end in token_spans(text):
+            if is_signed_token(text[start:end]):
+                yield start, "jwt", end
+    taken = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if is_key(decode_base64(re.sub(r"\\[nr]|\s", "", m[2]))):
-                blocks.append(m.span())
-                yield m.start(), "pem", m.end()
-
-    def inside(m: re.Match) -> bool:
-        return any(s <= m.start() and m.end() <= e for s, e in blocks)
-
-    for m in BASE64.finditer(text):
-        # The first bytes say whether it can be a key, before the whole is decoded.
-        if (m[0].startswith("M") or m[0].startswith("b3BlbnNzaC1rZXktdjEA")) and not inside(m) and is_key(decode_base64(m[0])):
-            yield m.start(), "key64", m.end()
+        for start, end in block_spans(text):
+            taken.append((start, end))
+            yield start, "pem", end
+
+    def inside(start: int, end: int) -> bool:
+        return any(s <= start and end <= e for s, e in taken)
+
+    for m in BASE64_LINES.finditer(text):
+        if may_be_key(m[0]) and not inside(*m.span()) and (end := wrapped_key_end(text, *m.span())) is not None:
+            taken.append((m.start(), end))
+            yield m.start(), "key64", end
+    for pattern in (BASE64, BASE64_URL):
+        for m in pattern.finditer(text):
+            if may_be_key(m[0]) and not inside(*m.span()) and is_key(decode_base64(m[0])):
+                taken.append(m.span())
+                yield m.start(), "key64", m.end()
     for m in HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "6f", "6F") and not inside(m) and is_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "6f", "6F") and not inside(*m.span()) and is_key(bytes.fromhex(m[0])):
             yield m.start(), "keyhex", m.end()
 
 
@@ -202,24 +329,20 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", into: str = "secrets",
 
     One pass over whole texts without a shuffle; a row needs memory in proportion
     to its own text.  NULL and empty texts have no spans.  Columns of the input of
-    the same names are replaced (``masked_text`` may be ``text`` itself), all
+    the same names (in any case) are replaced (``masked_text`` may be ``text`` itself), all
     others are passed through.  Repeated rows each give their own result.
     """
-    added = [into] + ([masked_text] if masked_text else [])
-    kept = [c for c in docs.columns if c not in added]
-    slim = docs.withColumn("_scanned", docs[text].cast("string")).select(*kept, "_scanned")
-    fields = [f"`{c}` {t}" for c, t in slim.dtypes if c != "_scanned"] + [f"`{into}` {SPAN_TYPE}"]
-    if masked_text:
-        fields.append(f"`{masked_text}` string")
+    added = {into: F.col("spans")} | ({masked_text: F.col("masked")} if masked_text else {})
+    slim = beside(docs, text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(1).to_pylist()
             found = [find_spans(t) for t in texts]
-            columns = batch.columns[:-1] + [pa.array([[(k, s, e) for s, k, e in f] for f in found], _ARROW_SPANS)]
+            columns = [batch.column(0), pa.array([[(k, s, e) for s, k, e in f] for f in found], _ARROW_SPANS)]
             if masked_text:
                 columns.append(pa.array([masked(t, f, replacement) for t, f in zip(texts, found, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *added])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "spans", "masked"][:len(columns)])
 
-    out = slim.mapInArrow(scan, ", ".join(fields))
-    return out.select(*[c for c in docs.columns if c in out.columns], *[c for c in added if c not in docs.columns])
+    made = StructType.fromDDL(f"spans {SPAN_TYPE}" + (", masked string" if masked_text else ""))
+    return unpacked(slim.mapInArrow(scan, StructType([slim.schema["row"], *made.fields])), docs, added)

@@ -19,8 +19,10 @@ from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..sources.scratch import written
+from .words import beside, unpacked
 
 # Look-alikes (Cyrillic and Greek letters, then digits) and the letters they stand for: fixed values.
 LOOK_ALIKES = str.maketrans(
@@ -251,16 +253,15 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", int
     """Adds ``into``, 0 to 1, for every whole text; NULL and empty texts score as texts without a hit.
 
     One pass without a shuffle.  The lexicon (at most a few thousand terms) goes
-    with the task.  A column of the name ``into`` is replaced, others pass through.
+    with the task.  A column of the name ``into`` (in any case) is replaced, others pass through.
     """
-    kept = [c for c in docs.columns if c != into]
-    slim = docs.withColumn("_scored", docs[text].cast("string")).select(*kept, "_scored")
+    slim = beside(docs, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            scores = [matcher.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], into])
+            scores = [matcher.score(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c != "_scored")
-    return slim.mapInArrow(score, f"{fields}, `{into}` double")
+    out = slim.mapInArrow(score, StructType([slim.schema["row"], StructField("score", DoubleType())]))
+    return unpacked(out, docs, {into: F.col("score")})

@@ -19,9 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def names(df: DataFrame) -> list[Column]:
     """All columns of a frame, whatever characters their names have."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    return [column(c) for c in df.columns]
+
+
+def beside(docs: DataFrame, text: str) -> DataFrame:
+    """Columns ``row`` (all columns of the input, by place) and ``text``: whatever is added to them meets no name of the input."""
+    row = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(names(docs))))
+    return docs.select(row.alias("row"), column(text).cast("string").alias("text"))
+
+
+def unpacked(out: DataFrame, docs: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, and ``added`` by name; an input column of such a name, in any case, gives its place."""
+    of = {a.lower(): a for a in added}
+    left, columns = dict(added), []
+    for i, c in enumerate(docs.columns):
+        name = of.get(c.lower())
+        if name is None:
+            columns.append(F.col("row").getField(f"c{i}").alias(c))
+        elif name in left:
+            columns.append(left.pop(name).alias(name))
+    return out.select(*columns, *(v.alias(n) for n, v in left.items()))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def word_array(text: Column) -> Column:
