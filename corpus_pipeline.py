@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm import decontaminate, mixing, queries as Q, secret_scan, simhash, toxicity
-from veilframe.llm.words import names, table
+from veilframe.llm.words import free_name, names, table
 from veilframe.sources.scratch import written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half, by a lexicon learned from the labelled raw documents."""
     lexicon = Q.toxicity_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, lexicon, into="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*names(docs))
+    score = free_name(docs, "toxicity")
+    scored = toxicity.score_toxicity(docs, lexicon, into=score)
+    return scored.where(F.col(score) < 0.5).select(*names(docs))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +38,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    searched = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), into="_leaks")
-    return searched.where(F.size("_leaks") == 0).select(*names(docs))
+    leaks = free_name(docs, "leaks")
+    searched = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"), into=leaks)
+    return searched.where(F.size(leaks) == 0).select(*names(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets masked."""
-    return secret_scan.scan_secrets(docs, into="_secrets", masked_text="text").select(*names(docs))
+    return secret_scan.scan_secrets(docs, into=free_name(docs, "secrets"), masked_text="text").select(*names(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
