@@ -1,18 +1,16 @@
-"""Joins along path prefixes: includes, staged paths, nearest policy, numbering.
+"""Lookups along path prefixes: includes, staged paths, nearest policy, numbering.
 
-Prefix conditions are turned into equality joins by exploding the ancestors of
-a path (bounded by its depth).  Every path looks up its top directories, so these
-keys are hot by nature: the joins are salted.  No side is broadcast by hint;
-adaptive execution does so by measured size.
+What lies above a path is found by intervals of the paths' order (see ``intervals``), so
+the directories at the top, which are above everything, are no hot keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.paths import absolute_chain, file_name, path_depth, safe_name
+from ..functions.paths import file_name, safe_name
 from ..sources.scratch import written
-from .joins import spread_join
+from .intervals import with_directories_above
 from .reuse import covered_by
 
 # Kinds of mapping entries by precedence, policy file names.
@@ -43,12 +41,13 @@ def map_paths(paths: DataFrame, mapping: DataFrame, workspace_root: str) -> Data
     """
     exact_only = F.col("kind") == FILE
     rank = F.when(F.col("kind") == PROJECT, 0).when(F.col("kind") == DIRECTORY, 1).otherwise(2)
-    probes = paths.select("session", "path").distinct() \
-        .withColumn("from_path", F.explode(absolute_chain(F.col("path"))))
-    best = spread_join(probes, mapping, ["session", "from_path"], "left", ["path"]) \
-        .withColumn("hit", F.when(F.col("kind").isNotNull() & (~exact_only | (F.col("from_path") == F.col("path"))),
-                                  F.struct(rank.alias("rank"), "ord", "from_path", "to_path"))) \
-        .groupBy("session", "path").agg(F.min("hit").alias("hit"))
+    hit = F.struct(rank.alias("rank"), "ord", "from_path", "to_path")
+    # Of the entries of one directory the first counts: for what is below it, and for the path itself.
+    entries = mapping.groupBy("session", F.col("from_path").alias("directory")).agg(
+        F.min(F.when(~exact_only, hit)).alias("below"), F.min(hit).alias("own"))
+    above = with_directories_above(paths.select("session", "path").distinct(), entries, ["session"], "path", ["below", "own"])
+    best = above.withColumn("hit", F.array_min(F.array_compact(F.transform(
+        "above", lambda e: F.when(e["directory"] == F.col("path"), e["own"]).otherwise(e["below"])))))
     rest = F.substring(F.col("path"), F.when(F.col("hit.from_path") == "/", F.lit(1)).otherwise(
         F.length("hit.from_path") + 1), F.length("path"))
     name = file_name(F.col("path"))
@@ -65,12 +64,13 @@ def map_includes(includes: DataFrame, mapping: DataFrame, workspace_root: str) -
     path without a name stays as it is.
     """
     wanted = includes.select("session", "path").distinct()
-    probes = wanted.withColumn("from_path", F.explode(absolute_chain(F.col("path"))))
-    inside = spread_join(probes, mapping.filter(F.col("kind") == PROJECT), ["session", "from_path"], "inner", ["path"]) \
-        .groupBy("session", "path").agg(F.min(F.struct("ord", "from_path", "to_path")).alias("project"))
+    projects = mapping.filter(F.col("kind") == PROJECT).groupBy("session", F.col("from_path").alias("directory")).agg(
+        F.min(F.struct("ord", "from_path", "to_path")).alias("project"))
+    inside = with_directories_above(wanted, projects, ["session"], "path", ["project"]).select(
+        "session", "path", F.array_min(F.transform("above", lambda e: e["project"])).alias("project"))
     exact = mapping.filter(F.col("kind") == DIRECTORY).groupBy("session", F.col("from_path").alias("path")).agg(
         F.min(F.struct("ord", "to_path")).alias("own"))
-    found = wanted.join(inside, ["session", "path"], "left").join(exact, ["session", "path"], "left")
+    found = inside.join(exact, ["session", "path"], "left")
     project = F.col("project.from_path")
     rest = F.substring(F.col("path"), F.when(project == "/", 1).otherwise(F.length(project) + 1), F.length("path"))
     name = file_name(F.col("path"))
@@ -97,11 +97,8 @@ def nearest_policy(directories: DataFrame, policies: DataFrame, *, names=POLICY_
         .groupBy(F.when(F.col("_dir") == "", "/").otherwise(F.col("_dir")).alias("ancestor")) \
         .agg(F.min(F.struct("_priority", "path")).alias("_best")) \
         .select("ancestor", F.col("_best.path").alias("policy_path"))
-    probes = wanted.select("directory").distinct() \
-        .withColumn("ancestor", F.explode(absolute_chain(F.col("directory"))))
-    nearest = spread_join(probes, located, ["ancestor"], "inner", ["directory"]).groupBy("directory").agg(
-        F.max(F.struct(path_depth(F.col("ancestor")).alias("depth"), "policy_path")).alias("_near")) \
-        .select("directory", F.col("_near.policy_path").alias("found"))
+    nearest = with_directories_above(wanted.select("directory").distinct(), located.withColumnRenamed("ancestor", "directory"), [], "directory", ["policy_path"]) \
+        .select("directory", F.try_element_at("above", F.lit(-1))["policy_path"].alias("found"))
     return wanted.join(nearest, "directory", "left").select(
         "directory", "explicit", "environment",
         F.coalesce("explicit", "environment", "found").alias("policy_path"))

@@ -6,10 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.paths import absolute_chain
 from ..policy import Policy, policy_fingerprint
 from ..sources.scratch import written
-from .joins import spread_join
+from .intervals import with_directories_above
 from .rules import STATUS_TYPE, apply_policy
 
 MANIFEST_VERSION = 1
@@ -63,14 +62,10 @@ def removed_paths(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def covered_by(paths: DataFrame, directories: DataFrame, key: Sequence[str], path: str) -> DataFrame:
-    """Distinct (key, path) equal to or below one of the directories (key, directory).
-
-    Every path is looked up by its ancestors, so this is an equality join and
-    its work grows with path depth, never with the number of directories.
-    """
-    probes = paths.select(*key, path).distinct().withColumn("directory", F.explode(absolute_chain(F.col(path))))
+    """Distinct (key, path) equal to or below one of the directories (key, directory)."""
     known = directories.select(*key, "directory").distinct()
-    return spread_join(probes, known, [*key, "directory"], "left_semi", [path]).select(*key, path).distinct()
+    found = with_directories_above(paths.select(*key, path).distinct(), known, key, path)
+    return found.where(F.size("above") > 0).select(*key, path)
 
 
 def invalidate_prefix(manifest: DataFrame, removed: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.paths import absolute_chain, workspace_key
-from ..operators.joins import spread_join
+from ..functions.paths import workspace_key
+from ..operators.intervals import with_directories_above
 from ..operators.reuse import MANIFEST_VERSION, valid_entries
 from ..operators.rules import BLOCKED, FINDINGS_TYPE, STATUS_TYPE, WRITE_SANITIZED_TEXT
 from ..policy import Policy, policy_fingerprint
@@ -90,11 +90,11 @@ def current_log_entries(log: DataFrame) -> DataFrame:
     """Entries that hold: the latest of their path, with no later removal of the path or of a directory above it."""
     latest = _latest(log).where("NOT removed").drop("removed")
     version = F.struct(*_VERSION)
-    gone = log.where("removed AND below").groupBy("root", F.col("source_path").alias("ancestor")).agg(F.max(version).alias("removed_at"))
-    probes = latest.select("root", "source_path", version.alias("version"), F.explode(absolute_chain(F.col("source_path"))).alias("ancestor"))
-    overtaken = spread_join(probes, gone, ["root", "ancestor"], "inner", ["source_path"]).where("removed_at > version").select("root", "source_path").distinct()
+    gone = log.where("removed AND below").groupBy("root", F.col("source_path").alias("directory")).agg(F.max(version).alias("removed_at"))
+    held = with_directories_above(latest, gone, ["root"], "source_path", ["removed_at"]).where(
+        ~F.exists("above", lambda e: e["removed_at"] > version)).drop("above")
     key = ["root", "source_path", *_VERSION]
-    return log.where("NOT removed").join(latest.join(overtaken, ["root", "source_path"], "left_anti"), key, "left_semi")
+    return log.where("NOT removed").join(held, key, "left_semi")
 
 
 def short_log(log: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.paths import absolute_chain, in_skipped_directory, is_under, normalize, relative_path
-from ..operators.joins import spread_join
+from ..functions.paths import in_skipped_directory, is_under, normalize, relative_path
+from ..operators.intervals import with_directories_above
 from ..operators.reuse import reuse_decisions
 from ..operators.rollups import sync_status
 from ..operators.rules import BLOCKED, FINDINGS_TYPE, WRITE_SANITIZED_TEXT, apply_policy
@@ -168,16 +168,13 @@ def compacted(log: DataFrame) -> DataFrame:
 def current_state(log: DataFrame) -> DataFrame:
     """Latest version per path that is staged now.
 
-    Removing a directory removes everything below it that is not newer: the
-    ancestors of a path are looked up among the removals by equality.
+    Removing a directory removes everything below it that is not newer.
     """
     latest = collapse_changes(log.filter(F.col("action") != IGNORED))
     staged = latest.filter(F.col("action") == UPDATED)
     version = F.struct("mtime_ms", "event_id")
     removals = log.filter(F.col("op") == "DELETE").filter(F.col("action") == REMOVED) \
-        .groupBy("root", F.col("path").alias("ancestor")).agg(F.max(version).alias("removed_at"))
-    probes = staged.select("root", "path", version.alias("version"),
-                           F.explode(absolute_chain(F.col("path"))).alias("ancestor"))
-    overtaken = spread_join(probes, removals, ["root", "ancestor"], "inner", ["path"]).filter(F.col("removed_at") > F.col("version")) \
-        .select("root", "path").distinct()
+        .groupBy("root", F.col("path").alias("directory")).agg(F.max(version).alias("removed_at"))
+    overtaken = with_directories_above(staged.select("root", "path", version.alias("version")), removals, ["root"], "path", ["removed_at"]) \
+        .where(F.exists("above", lambda e: e["removed_at"] > F.col("version"))).select("root", "path")
     return staged.join(overtaken, ["root", "path"], "left_anti")
