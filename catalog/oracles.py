@@ -601,3 +601,11 @@ SELECT path, CASE WHEN t3 <> text THEN 'WRITE_SANITIZED_TEXT' ELSE 'COPY_ORIGINA
 }
 
 ORACLES["r1_sync_state"] = ORACLES["r1_sync_batch"]
+
+ORACLES["j5_rule_table"] = f"""WITH {FILES}, r AS (
+  SELECT item_id AS rule_ord, 'item-' || item_id AS rule_id, 'BLOCK' AS action, item_id % 4 = 1 AS in_src, item_id % 3 = 0 AS even,
+         array_to_string(w[1:4], ' ') AS p, CASE WHEN item_id % 5 = 0 THEN array_to_string(w[9:12], ' ') END AS q
+  FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
+  UNION ALL SELECT 1000000 + c_custkey, 'customer-' || c_custkey, 'REDACT', false, false, c_name, NULL FROM customer)
+SELECT path, rule_ord, rule_id, action FROM f JOIN r ON (contains(text, p) OR contains(text, q))
+  AND (NOT in_src OR path LIKE 'src/%') AND (NOT even OR regexp_matches(path, '/src[0-9]*[02468]/'))"""

@@ -6,10 +6,10 @@ import os
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilframe.functions import match, paths as P, secrets as S, text as T
-from veilframe.operators import audit, context, detectors as D, mapping, reuse, rollups, rules, symbols
+from veilframe.operators import audit, context, detectors as D, mapping, reuse, rollups, rule_index, rules, symbols
 from veilframe.plans import flows
 from veilframe.policy import REDACT, policy_fingerprint
 from veilframe.sources import manifest as M, tables
@@ -453,6 +453,33 @@ def j5_rule_hits(spark, sf_dir):
         "path", F.col("rule_ord").cast("long"), "rule_id", "action")
 
 
+def phrase_rules(spark, sf_dir) -> DataFrame:
+    """A rule per test item (its first words, in some folders only, or words further on) and per customer (the name)."""
+    words = F.split("text", " ")
+    item = F.col("item_id")
+
+    def phrase(first: int) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(words, first, 4), " "), r"([^\p{L}\p{N}\s])", r"\\$1")
+
+    nothing = F.array().cast("array<string>")
+    items = I.table(spark, sf_dir, "benchmark").select(
+        item.cast("int").alias("rule_ord"), F.concat(F.lit("item-"), item.cast("string")).alias("rule_id"), F.lit("BLOCK").alias("action"),
+        F.when(item % 4 == 1, F.array(F.lit("src/**"))).otherwise(nothing).alias("paths"),
+        F.when(item % 3 == 0, F.array(F.lit("/src[0-9]*[02468]/"))).otherwise(nothing).alias("path_regex"),
+        F.when(item % 5 == 0, F.array(phrase(1), phrase(9))).otherwise(F.array(phrase(1))).alias("content_regex"))
+    names = I.table(spark, sf_dir, "customer").select(
+        (F.lit(1_000_000) + F.col("c_custkey")).cast("int").alias("rule_ord"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("rule_id"),
+        F.lit("REDACT").alias("action"), nothing.alias("paths"), nothing.alias("path_regex"), F.array("c_name").alias("content_regex"))
+    return items.unionByName(names).withColumn("kotlin", F.lit(None).cast("struct<packages:array<string>>"))
+
+
+@query
+def j5_rule_table(spark, sf_dir):
+    """Thousands of rules from tables; none of them is in the plan."""
+    return rule_index.indexed_rule_hits(I.files(spark, sf_dir), phrase_rules(spark, sf_dir)).select(
+        "path", F.col("rule_ord").cast("long"), "rule_id", "action")
+
+
 @query
 def j5_symbol_rule_hits(spark, sf_dir):
     return rules.rule_hits(I.sources(spark, sf_dir), I.SYMBOLS_POLICY).select(

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from veilframe import (apply_policy, assemble_context, context_lines, directory_rollup, evaluate_requests, explode_findings,
                        findings_summary, gate, load_policy, safe_subtrees, sanitize_turns, stage_stats, top_findings)
 from veilframe.operators.context import CONTEXT_HEAD, CONTEXT_TAIL
@@ -80,3 +83,31 @@ def test_turns(spark):
     out = [(r.text, r.sanitized_text, r.was_redacted) for r in sanitize_turns(turns, POLICY).collect()]
     assert out == [("a secret", "a <redacted>", True), ("/secret", "/secret", False), (" ", " ", False), (None, None, False)]
     assert [r.sanitized_text for r in sanitize_turns(turns, POLICY, approve=True).collect()] == ["a <redacted>", "/secret", " ", "ask", None]
+
+
+@pytest.mark.parametrize("partitions", [1, 30])
+def test_directory_counts_against_all_ancestors(spark, partitions):
+    rng = random.Random(partitions)
+    rows = []
+    for i in range(700):
+        folder = "/".join(rng.choice(["a", "b", "a-b", "a b", "é"]) for _ in range(rng.randrange(6)))
+        rows.append((rng.choice(["/v", "/w"]), (folder + "/" if folder else "") + f"f{i}", rng.choice(["BLOCKED", "COPY_ORIGINAL", "WRITE_SANITIZED_TEXT"])))
+    rows += [("/w", "/".join(["d"] * 500) + "/deep", "COPY_ORIGINAL"), ("/w", "/".join(["d"] * 250) + "/half", "BLOCKED")]
+    want = {}
+    for root, path, disposition in rows:
+        parts = path.split("/")[:-1]
+        for n in range(len(parts) + 1):
+            own = want.setdefault((root, "/".join(parts[:n])), [0, 0, 0, 0])
+            for k, holds in enumerate((disposition != "BLOCKED", disposition == "WRITE_SANITIZED_TEXT", disposition == "BLOCKED", disposition == "COPY_ORIGINAL")):
+                own[k] += holds
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = directory_rollup(spark.createDataFrame(rows, "root string, path string, disposition string"))
+        got = {(r.root, r.directory): [r.mirrored, r.redacted, r.blocked, r.pass_through] for r in out.collect()}
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == want

@@ -1,9 +1,12 @@
+import random
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe import (apply_policy, evaluate_prompts, explode_findings, gitleaks_detector, load_policy,
-                       privacy_filter_detector, register_detector)
+from veilframe import (apply_policy, evaluate_prompts, explode_findings, gitleaks_detector, indexed_rule_hits, load_policy,
+                       privacy_filter_detector, register_detector, rule_hits, rules_frame)
 from veilframe.operators.detectors import OK
 
 SCHEMA = "root string, path string, text string"
@@ -174,3 +177,43 @@ def test_forty_rules_stay_linear(spark):
     assert len(plan) < 200_000
     assert out.first().sanitized_text == "<3> <39>"
     assert explode_findings(out, "path").count() == 2
+
+
+def many_rules(n):
+    rng = random.Random(n)
+    rules = []
+    for i in range(n):
+        match = {"content_regex": [rng.choice([f"word{i}x", f"w[a-c]rd{i} (a|b)", f"(?i)number{i}", f"one{i}|two{i}", r"\\d{3}-%d" % i])]} if i % 7 else {}
+        if i % 5 == 0:
+            match["paths"] = [rng.choice(["**/*.txt", "a/*", f"**/f{i}.txt"])]
+        if i % 11 == 0:
+            match["path_regex"] = [rng.choice([f"f{i}", "^b/", "[0-4]+.txt$"])]
+        rules.append({"id": f"r{i}", "match": match or {"content_regex": ["."] if i % 2 else [f"rare{i}"]}, "action": {"type": "block"}})
+    return load_policy({"version": 1, "rules": rules})
+
+
+def test_rules_as_data_match_like_rules_in_the_plan(spark):
+    policy, rng = many_rules(120), random.Random(1)
+    words = [x.format(i) for i in range(120) for x in ("word{}x", "wbrd{} a", "NUMBER{}", "one{}", "two{}", "123-{}", "rare{}")]
+    rows = [("/w", rng.choice(["a", "b", "b/c"]) + f"/f{i}.txt", rng.choice([None, "", " ".join(rng.choice(words) for _ in range(12))])) for i in range(300)]
+    files = spark.createDataFrame([*rows, ("/w", None, "word1x")], "root string, path string, text string")
+    got = indexed_rule_hits(files, rules_frame(spark, policy)).collect()
+    want = rule_hits(files, policy).collect()
+    assert len(got) > 300 and sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+
+
+def test_thousands_of_rules_are_planned_at_once(spark):
+    rules = rules_frame(spark, many_rules(5000))
+    files = spark.createDataFrame([("/w", f"a/f{i}.txt", f"word{i}x rare{i}") for i in range(100)], "root string, path string, text string")
+    indexed_rule_hits(files.limit(0), rules).count()
+    begin = time.perf_counter()
+    out = indexed_rule_hits(files, rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - begin < 5 and len(plan) < 20_000
+    assert out.where("rule_id = 'r1'").count() <= 100
+
+
+def test_symbol_criteria_are_refused(spark):
+    policy = load_policy({"version": 1, "rules": [{"id": "k", "match": {"kotlin": {"classes": ["X"]}}, "action": {"type": "block"}}]})
+    with pytest.raises(ValueError, match="symbol"):
+        indexed_rule_hits(spark.createDataFrame([("/w", "a", "b")], "root string, path string, text string"), rules_frame(spark, policy))

@@ -8,6 +8,7 @@ from .operators.mapping import external_files, map_paths, nearest_policy, number
 from .operators.reuse import invalidate_prefix, removed_paths, reuse_decisions
 from .operators.rollups import (directory_rollup, disposition_counts, findings_summary, gate,
                                 request_decision, request_result, safe_subtrees, stage_stats, top_findings)
+from .operators.rule_index import indexed_rule_hits
 from .operators.rules import (all_findings, apply_policy, evaluate_prompts, explode_findings,
                               path_findings, rule_hits)
 from .operators.symbols import kotlin_symbols, merge_ranges, redact_kotlin

@@ -6,11 +6,14 @@ that holds most of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.paths import directory_chain, parent_directory
+from ..functions.paths import parent_directory
 from ..policy import ALLOW, BLOCK, CONFIRM
 from .joins import spread_join
 from .rules import BLOCKED, COPY_ORIGINAL, SECRET_DETECTOR, TEXT_SANITIZER_BACKEND, WRITE_SANITIZED_TEXT
@@ -65,16 +68,62 @@ def stage_stats(items: DataFrame, by: Sequence[str] = ("root",)) -> DataFrame:
     return items.groupBy(*by).agg(*_counts(hits))
 
 
+_COUNTED = ("mirrored", "redacted", "blocked", "pass_through")
+
+
 def directory_rollup(items: DataFrame, path: str = "path") -> DataFrame:
     """The counts for every directory subtree and whether all of it is untouched.
 
-    Files are counted per leaf directory first; only these counts are spread
-    over the ancestors.
+    Files are counted per leaf directory first.  Leaf directories are dealt out by ranges of
+    their order, in which a subtree is an interval; one sweep over a range adds a
+    directory's counts to the one above it as soon as its interval ends, and gives one row
+    per directory.  So counts climb once, whatever the depth; only directories that reach
+    over the end of a range have several rows, which are added up last.
     """
-    names = ["mirrored", "redacted", "blocked", "pass_through"]
-    leaves = items.groupBy("root", parent_directory(F.col(path)).alias("_leaf")).agg(*_counts(None))
-    spread = leaves.withColumn("directory", F.explode(directory_chain(F.col("_leaf"))))
-    totals = spread.groupBy("root", "directory").agg(*(F.sum(n).alias(n) for n in names))
+    leaves = items.groupBy("root", parent_directory(F.col(path)).alias("directory")).agg(*_counts(None))
+    order = F.replace(F.col("directory"), F.lit("/"), F.lit("\0"))  # nothing comes between a directory and what is below it
+    dealt = leaves.withColumn("_order", order).repartitionByRange("root", "_order").sortWithinPartitions("root", "_order") \
+        .select("root", "directory", *_COUNTED)
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, opened, done = None, [], []  # opened: directories from the root's down to the last one, with counts so far
+
+        def close() -> None:
+            directory, counts = opened.pop()
+            done.append((here, directory, *counts))
+            if opened:
+                opened[-1][1] = [a + b for a, b in zip(opened[-1][1], counts)]
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * len(_COUNTED)]
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["root", "directory", *_COUNTED])
+            done.clear()
+            return out
+
+        for batch in batches:
+            for root, directory, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != here:
+                    while opened:
+                        close()
+                    here = root
+                while opened and not (opened[-1][0] in ("", directory) or directory.startswith(opened[-1][0] + "/")):
+                    close()
+                if not opened:
+                    opened.append(["", [0] * len(_COUNTED)])
+                top = opened[-1][0]
+                for part in directory[len(top) + (top != ""):].split("/") if directory != top else ():
+                    top = f"{top}/{part}" if top else part
+                    opened.append([top, [0] * len(_COUNTED)])
+                opened[-1][1] = [a + b for a, b in zip(opened[-1][1], counts)]
+                if len(done) >= 4096:
+                    yield batch_of()
+        while opened:
+            close()
+        if done:
+            yield batch_of()
+
+    climbed = dealt.mapInArrow(climb, "root string, directory string, " + ", ".join(f"{n} bigint" for n in _COUNTED))
+    totals = climbed.groupBy("root", "directory").agg(*(F.sum(n).alias(n) for n in _COUNTED))
     return totals.withColumn("fully_safe", (F.col("mirrored") > 0) & (F.col("redacted") == 0) & (F.col("blocked") == 0))
 
 
@@ -125,3 +174,6 @@ def top_findings(findings: DataFrame, k: int = 10, path: str = "path", salts: in
     more = findings.groupBy("root").agg((F.count(F.lit(1)) - F.least(
         F.count_if(F.col("action") != ALLOW), F.lit(k))).alias("more"))
     return shown.join(more, "root").select("root", "rank", path, "action", finding_label().alias("label"), "more")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
