@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from veilframe.functions.secrets import SECRET_REGEX
-
 from .inputs import BLOCK_WORD, CARD, CONFIRM_WORD, EMAIL, IPV4_PLAIN, LICENSE, PHONE, REDACT_WORD
 
-SECRET = SECRET_REGEX.replace("'", "''")
+# The secret formats, written out once more so that the SQL does not follow the code: an assignment of a long value to a
+# credential-like key, an access key id, a repository token, the first line of a private key, a signed web token.
+SECRET_FORMATS = (
+    r"""(?i:(?:api|access)[_-]?key|passw(?:or)?d|secret|token)["'']?[ \t]*[=:][ \t]*["'']?[0-9A-Za-z_-]{16,}["'']?""",
+    r"AKIA[A-Z0-9]{16}",
+    r"gh[oprsu]_[0-9A-Za-z]{36,}",
+    r"-----BEGIN [ A-Z]*PRIVATE KEY-----",
+    r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+)
+SECRET = "|".join(SECRET_FORMATS)
 
 # Whitespace class of trimming and blank tests.
 WS = r"[\p{Z}\t-\r\x1C-\x1F]"
@@ -609,3 +616,8 @@ ORACLES["j5_rule_table"] = f"""WITH {FILES}, r AS (
   UNION ALL SELECT 1000000 + c_custkey, 'customer-' || c_custkey, 'REDACT', false, false, c_name, NULL FROM customer)
 SELECT path, rule_ord, rule_id, action FROM f JOIN r ON (contains(text, p) OR contains(text, q))
   AND (NOT in_src OR path LIKE 'src/%') AND (NOT even OR regexp_matches(path, '/src[0-9]*[02468]/'))"""
+
+ORACLES["t5_secret_formats"] = """
+SELECT name AS format, count(*) AS texts, count(*) FILTER (kind < 5) AS found, count(*) AS as_expected
+FROM documents JOIN (VALUES (0, 'assignment'), (1, 'access key'), (2, 'repository token'), (3, 'private key'), (4, 'web token'), (5, 'near miss')) f(kind, name)
+  ON f.kind = doc_id % 6 GROUP BY name"""

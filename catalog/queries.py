@@ -270,6 +270,29 @@ def t5_find_secrets(spark, sf_dir):
         .select("doc_id", F.col("pos").cast("long").alias("ord"), F.col("col").alias("secret"))
 
 
+@query
+def t5_secret_formats(spark, sf_dir):
+    """One row per format: a value of it beside two words in every document's place, found and redacted as a whole."""
+    digits = F.sha2(F.col("doc_id").cast("string"), 256)
+
+    def cut(start: int, length: int) -> Column:
+        return F.substring(digits, start, length)
+
+    formats = {"assignment": F.concat(F.lit('token = "'), cut(1, 20), F.lit('"')), "access key": F.concat(F.lit("AKIA"), F.upper(cut(1, 16))),
+               "repository token": F.concat(F.lit("ghp_"), cut(1, 36)), "private key": F.lit("-----BEGIN RSA PRIVATE KEY-----"),
+               "web token": F.concat(F.lit("eyJ"), cut(1, 12), F.lit("."), cut(13, 12), F.lit("."), cut(25, 12)),
+               "near miss": F.concat(F.lit("token: "), cut(1, 15), F.lit(" AKIA"), F.upper(cut(1, 15)), F.lit(" eyJabcdefgh.x"))}
+    kind = F.col("doc_id") % len(formats)
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (own, text) in enumerate(formats.items()):
+        name, value = F.when(kind == i, own).otherwise(name), F.when(kind == i, text).otherwise(value)
+    texts = I.documents(spark, sf_dir).select(name.alias("format"), "lang", "source", F.concat_ws(" ", "lang", value, "source").alias("text"))
+    counted = texts.withColumn("n", S.count_secrets(F.col("text")))
+    whole = F.when(F.col("format") == "near miss", F.col("text")).otherwise(F.concat_ws(" ", "lang", F.lit("<redacted>"), "source"))
+    right = S.redact_secrets(F.col("text"), F.col("n"), REDACT, "<redacted>") == whole
+    return counted.groupBy("format").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("n").cast("long")).alias("found"), F.count_if(right).alias("as_expected"))
+
+
 @query
 def t6_redact_secrets(spark, sf_dir):
     counted = I.documents(spark, sf_dir).withColumn("found", S.count_secrets(F.col("text")))

@@ -46,10 +46,6 @@ def redact_content(text: Column, patterns, replacement: str) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, F.lit(p), F.lit(replacement)), patterns, text)
 
 
-def redact_whole(text: Column, replacement: str) -> Column:
-    return F.when(text.isNotNull(), F.lit(replacement))
-
-
 def summary_of_rule(rule_id: str) -> Column:
     return F.lit(f"<summarized by {rule_id}>")
 
