@@ -12,7 +12,7 @@ from veilframe.llm.queries import ORACLES, QUERIES
 from veilframe.sources.scratch import written
 
 COLUMNS = {
-    "op1_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op1_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, longest bigint",
     "op2_secret_scans": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op3_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op4_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "

@@ -20,7 +20,7 @@ def query(fn):
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "longest")
 
 
 @query
