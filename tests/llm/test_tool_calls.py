@@ -1,3 +1,4 @@
+import re
 import json
 
 import pytest
@@ -52,3 +53,9 @@ def test_long_chain(frame):
 
 def test_nothing(frame):
     assert linked(frame, [], [])[1] == []
+
+
+def test_runs_without_python(spark, sf):
+    from veilframe.llm.queries import QUERIES
+    plan = QUERIES["op7_tool_calls"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
