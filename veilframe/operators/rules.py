@@ -8,8 +8,6 @@ except for Kotlin files under symbol rules (see ``operators.symbols``).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
