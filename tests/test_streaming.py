@@ -1,5 +1,6 @@
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe import (collapse_changes, current_manifest, current_state, load_policy, read_staged_log, run_lines, sanitize_turns, sync_batch,
@@ -187,3 +188,14 @@ def test_late_events_after_a_fold_change_nothing(spark, tmp_path):
         log.fold(short_log)
     known = {r.source_path for r in current_manifest(spark, folder, POLICY).collect()}
     assert "/w/d/x" not in known and {"/w/d/y", "/w/a"} <= known
+
+
+def test_a_log_has_one_stream(spark, tmp_path):
+    for i in range(2):
+        spark.createDataFrame(BATCHES[i], CHANGES_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        changes = spark.readStream.schema(CHANGES_SCHEMA).parquet(str(tmp_path / "changes"))
+        sync_stream(changes, POLICY, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert read_staged_log(spark, str(tmp_path / "log")).select("batch_id").distinct().count() == 2
+    for start in (sync_stream, sync_state_stream):
+        with pytest.raises(ValueError, match="is the log of"):
+            start(changes, POLICY, str(tmp_path / "log"), str(tmp_path / "another"))

@@ -2,7 +2,8 @@
 
 A writer adds a numbered folder and never touches what is there, so readers of an earlier
 state keep it and a repeated write of a batch changes nothing.  The state is the newest base
-and all deltas after it.  What a write costs depends on its own rows.
+and all deltas after it.  What a write costs depends on its own rows.  A log has one writer
+at a time: what another one adds while a base is written may fall behind that base.
 """
 
 from __future__ import annotations
@@ -34,6 +35,19 @@ class DeltaLog:
     def _files(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def claim(self, owner: str) -> None:
+        """Let only this owner number the batches of the log; another one (a stream with another checkpoint) raises."""
+        files, mark, jvm = self._files(), self._path("_owner"), self.spark._jvm
+        if not files.exists(mark):
+            out = files.create(mark, False)
+            out.write(bytearray(owner.encode()))
+            out.close()
+        content = files.open(mark)
+        known = jvm.org.apache.commons.io.IOUtils.toString(content, "UTF-8")
+        content.close()
+        if known != owner:
+            raise ValueError(f"{self.folder} is the log of {known}, not of {owner}")
+
     def versions(self) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
         """Bases and deltas that are complete, by number."""
         files, top = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

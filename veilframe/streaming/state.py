@@ -73,6 +73,8 @@ def sync_state_stream(changes: DataFrame, policy: Policy, staged_log: str, check
     The staged log is the same.  A batch costs a shuffle of its own events and the state of
     their paths; no table of all paths is read.
     """
+    DeltaLog(changes.sparkSession, staged_log, LOG_SCHEMA).claim(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         log = DeltaLog(batch.sparkSession, staged_log, LOG_SCHEMA)
         log.append(log_rows(decide_batch(batch, policy, detectors=detectors, collapsed=True)), f"batch_id={batch_id}")

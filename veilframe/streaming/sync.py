@@ -125,6 +125,8 @@ def sync_stream(changes: DataFrame, policy: Policy, staged_log: str, checkpoint:
     stream folds them.  By default it handles what is there and stops; pass ``trigger`` (say
     ``{"processingTime": "10 seconds"}``) to keep it running.
     """
+    DeltaLog(changes.sparkSession, staged_log, LOG_SCHEMA).claim(checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, target = batch.sparkSession, f"batch_id={batch_id}"
         staged = DeltaLog(spark, staged_log, LOG_SCHEMA)
