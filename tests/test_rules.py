@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe import (apply_policy, evaluate_prompts, explode_findings, gitleaks_detector, indexed_rule_hits, load_policy,
                        privacy_filter_detector, register_detector, rule_hits, rules_frame)
+from veilframe.operators import rule_index
 from veilframe.operators.detectors import OK
 
 SCHEMA = "root string, path string, text string"
@@ -217,3 +218,43 @@ def test_symbol_criteria_are_refused(spark):
     policy = load_policy({"version": 1, "rules": [{"id": "k", "match": {"kotlin": {"classes": ["X"]}}, "action": {"type": "block"}}]})
     with pytest.raises(ValueError, match="symbol"):
         indexed_rule_hits(spark.createDataFrame([("/w", "a", "b")], "root string, path string, text string"), rules_frame(spark, policy))
+
+
+def test_rules_never_come_to_the_driver(spark, monkeypatch):
+    rules = rules_frame(spark, many_rules(3000))
+    files = spark.createDataFrame([("/w", f"a/f{i}.txt", f"word{i}x rare{i}") for i in range(20)], "root string, path string, text string")
+    kind = type(rules)
+    collected, collect = [], kind.collect
+
+    def spied(self):
+        collected.append(collect(self))
+        return collected[-1]
+
+    with monkeypatch.context() as m:
+        m.setattr(kind, "collect", spied)
+        out = indexed_rule_hits(files, rules)
+    assert max(map(len, collected), default=0) <= 64 and out.count()
+
+
+def test_literals_of_any_length_and_place(spark, monkeypatch):
+    monkeypatch.setattr(rule_index, "_SLICE", 16)  # grams over the borders of slices
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdé ß") for _ in range(150))
+    literals = [long[a:a + n] for n in (1, 2, 3, 5, 8, 15, 16, 31, 32, 40, 63, 64, 65, 100) for a in (0, 7, 50)] + [long + "x", "x" + long[:80], "q", "é"]
+    rules = rules_frame(spark, load_policy({"version": 1, "rules": [
+        {"id": f"{kind}{i}", "match": {kind: [x]}, "action": {"type": "block"}} for i, x in enumerate(literals) for kind in ("content_regex", "path_regex")]}))
+    texts = [None, "", long, long + "x", long[1:], long[:64] + "x" + long[64:], long[30:95], "é", "c" * 300, long[::-1]]
+    rows = [(texts[(i + 3) % len(texts)] or "q", t) for i, t in enumerate(texts)] + [(None, long), ("a", "a")] * 2
+    got = indexed_rule_hits(spark.createDataFrame(rows, "path string, text string"), rules, carry=("path", "text"))
+    want = [(p, t, 2 * i + k, f"{kind}{i}") for p, t in rows for i, x in enumerate(literals)
+            for k, (kind, value) in enumerate((("content_regex", t), ("path_regex", p))) if value and x in value]
+    assert sorted(map(str, ((*r[:4],) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_bad_globs_and_repeated_numbers_are_refused(spark):
+    files = spark.createDataFrame([("a", "b")], "path string, text string")
+    rules = rules_frame(spark, policy(rule("a", "block", paths=["x"]), rule("b", "block", paths=["y"])))
+    with pytest.raises(ValueError, match="unclosed"):
+        indexed_rule_hits(files, rules.withColumn("paths", F.array(F.lit("[a"))))
+    with pytest.raises(ValueError, match="unique"):
+        indexed_rule_hits(files, rules.withColumn("rule_ord", F.lit(1)))
