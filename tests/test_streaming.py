@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilframe import (collapse_changes, current_manifest, current_state, load_policy, read_staged_log, run_lines, sanitize_turns, sync_batch,
                        sync_state_stream, sync_stream)
 from veilframe.sources.deltas import DeltaLog
-from veilframe.sources.manifest import manifest_log, short_log
+from veilframe.sources.manifest import MANIFEST_SCHEMA, manifest_entries, manifest_log, short_log
 from veilframe.sources.scratch import written
 from veilframe.streaming.sync import CHANGES_SCHEMA, LOG_SCHEMA, compacted, decide_batch, manifest_delta
 
@@ -199,3 +199,28 @@ def test_a_log_has_one_stream(spark, tmp_path):
     for start in (sync_stream, sync_state_stream):
         with pytest.raises(ValueError, match="is the log of"):
             start(changes, POLICY, str(tmp_path / "log"), str(tmp_path / "another"))
+
+
+def test_texts_of_a_batch_move_once(spark):
+    rows = [(i, "/w", f"/w/{i % 7}", "CREATE", f"text {i}", 5, i) for i in range(30)]
+    changes = spark.createDataFrame(rows, CHANGES_SCHEMA)
+    known = spark.createDataFrame([], MANIFEST_SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame, most in ((collapse_changes(changes), 1), (decide_batch(changes, POLICY, manifest=known), 2)):
+            plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count("Exchange hashpartitioning") <= most
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_decisions_beside_deleted_and_unknown_files(spark):
+    rows = [(1, "/w", "/w/a", "CREATE", "one", 3, 10), (2, "/w", "/w/b", "DELETE", None, None, 20), (3, "/w", "/w/c", "CREATE", "x", 9, 30), (4, "/w", "/w/d", "CREATE", "y", 1, 40)]
+    first = decide_batch(spark.createDataFrame(rows, CHANGES_SCHEMA), POLICY, manifest=spark.createDataFrame([], MANIFEST_SCHEMA))
+    known = manifest_entries(first.filter("NOT gone"), POLICY).cache()
+    rows[2], rows[3] = (5, "/w", "/w/c", "CREATE", "xx", 10, 30), (6, "/w", "/w/d", "CREATE", "y", 1, 41)
+    rows += [(7, "/w", "/w/e", "CREATE", "z", 1, 50), (8, "/w", "/w/f", "CREATE", None, None, 60)]
+    again = {r.source_path: r for r in decide_batch(spark.createDataFrame(rows, CHANGES_SCHEMA), POLICY, manifest=known).collect()}
+    assert {p: r.cache_hit for p, r in again.items()} == {"/w/a": True, "/w/b": None, "/w/c": False, "/w/d": False, "/w/e": False, "/w/f": None}
+    assert {p: (r.text, r.disposition is None) for p, r in again.items()} == {
+        "/w/a": ("one", False), "/w/b": (None, True), "/w/c": ("xx", False), "/w/d": ("y", False), "/w/e": ("z", False), "/w/f": (None, True)}
