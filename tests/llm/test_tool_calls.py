@@ -51,6 +51,22 @@ def test_long_chain(frame):
     assert [by_id[1, f"c{i}"].depth for i in range(100)] == list(range(100))
 
 
+def test_lookups_never_go_through_the_driver(frame, monkeypatch):
+    # Their tables are small as files, so that the planner would broadcast them, each row 16 times.
+    plans, write = [], T.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(T, "written", noted)
+    calls = [(1, f"c{i}", i, "find", '{"q":"a"}', f"c{i - 1}", 0) for i in range(4)]
+    out = T.link_calls(frame(calls, CALLS), frame([(1, "c0", 1, "x")], RESULTS), TOOLS)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+    assert sorted((r.call_id, r.depth) for r in out.collect()) == [(f"c{i}", i) for i in range(4)]
+
+
 def test_nothing(frame):
     assert linked(frame, [], [])[1] == []
 

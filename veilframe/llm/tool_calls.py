@@ -52,6 +52,15 @@ def argument_problems(name: Column, arguments: Column, tools: Mapping[str, Schem
     return F.when(value.isNull(), F.array(F.lit("bad json"))).when(~kind.startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(out)
 
 
+def _shuffled(calls: DataFrame) -> DataFrame:
+    """A lookup side that is never sent to the driver for a broadcast, however small its table is.
+
+    Identifiers take few bytes in a file, over a hundred times as many when repeated for the
+    parts of a join, and the planner goes by the file.
+    """
+    return calls.hint("merge")
+
+
 def call_depths(calls: DataFrame) -> DataFrame:
     """Columns conv_id, call_id and depth: how many calls stand before a call in its chain; NULL on or behind a cycle.
 
@@ -61,7 +70,7 @@ def call_depths(calls: DataFrame) -> DataFrame:
     open, or when none was closed, which only cycles bring about.
     """
     known = calls.select("conv_id", F.col("call_id").alias("up"))
-    first = spread_join(calls.select("conv_id", "call_id", F.col("after").alias("up")), known.withColumn("_is", F.lit(True)),
+    first = spread_join(calls.select("conv_id", "call_id", F.col("after").alias("up")), _shuffled(known.withColumn("_is", F.lit(True))),
                         ["conv_id", "up"], "left", ["call_id"])
     state = written(first.select("conv_id", "call_id", F.when(F.col("_is"), F.col("up")).alias("up"),
                                  F.when(F.col("_is"), 1).otherwise(0).cast("long").alias("depth")), "call-depths")
@@ -72,7 +81,7 @@ def call_depths(calls: DataFrame) -> DataFrame:
             return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
         before = left
         ahead = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        stepped = spread_join(state.where("up IS NOT NULL"), ahead, ["conv_id", "up"], "inner", ["call_id"]).select(
+        stepped = spread_join(state.where("up IS NOT NULL"), _shuffled(ahead), ["conv_id", "up"], "inner", ["call_id"]).select(
             "conv_id", "call_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
         state = written(state.where("up IS NULL").unionByName(stepped), "call-depths")
 
@@ -106,10 +115,10 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: Mapping[str, Schema]
     single = written(single.select("conv_id", "call_id", "call.*", "copies"), "calls")
     answers = results.where(has_id).groupBy("conv_id", "call_id").agg(F.min("answer").alias("answer"))
     depths = call_depths(single)
-    # One row per identifier on every side: hash joins without hot keys.
-    linked = single.join(depths, ["conv_id", "call_id"]).join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
+    # One row per identifier on every side: joins without hot keys.
+    linked = single.join(_shuffled(depths), ["conv_id", "call_id"]).join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     needed = single.select("conv_id", F.col("call_id").alias("after")).withColumn("_needed", F.lit(True))
-    linked = spread_join(linked, needed, ["conv_id", "after"], "left", ["call_id"])
+    linked = spread_join(linked, _shuffled(needed), ["conv_id", "after"], "left", ["call_id"])
     unknown_id = calls.where(~has_id).select(
         "conv_id", "call_id", *own, F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("depth"),
         F.lit(None).cast(answers.schema["answer"].dataType).alias("answer"), F.lit(None).cast("boolean").alias("_needed"))
