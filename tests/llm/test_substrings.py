@@ -290,3 +290,54 @@ def test_the_table_of_windows_goes_when_all_levels_are_written(spark, frame):
     new = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
     assert "windows" not in new and "answers" in new
     assert {r.doc_id: (r.n_removed, r.longest) for r in out.collect()} == {1: (0, 52), 2: (120, 52)}
+
+
+def test_every_window_of_the_longer_levels_is_looked_up(frame, rows_of):
+    rng = random.Random(8)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for n in (12, 13, 25, 26, 27, 38, 51, 52, 60, 77, 104, 120, 155, 207, 208, 300):
+        own = fresh(n)
+        for _ in range(2):
+            rows.append((len(rows), " ".join(fresh(rng.randrange(40)) + own + fresh(rng.randrange(40)))))
+    rows += [(7, rows[40 % len(rows)][1]), (1000, " ".join(fresh(900))), (None, rows[-1][1]), (1001, "q " * 130), (1002, "q " * 70), (1003, None)]
+    docs = frame(rows, "doc_id long, text string").repartition(3)
+    out = S.dedup_substrings(docs, longest=True, every=True)
+    assert rows_of(out, *COLUMNS) == brute(rows, 13)
+
+    def level(n):
+        return max((13 << k for k in range(9) if 13 << k <= n), default=None)
+    real = shared_lengths([r for r in rows if r[0] is not None], 13)
+    assert {(r.doc_id, r.longest) for r in out.where("doc_id IS NOT NULL").collect()} == {(d, level(n)) for d, n in real.items()}
+
+
+def test_doubled_windows_are_all_with_both_halves():
+    rng = np.random.default_rng(11)
+    row, at = np.repeat(np.arange(3), 60), np.tile(np.arange(60), 3)
+    keep = rng.random(180) < 0.8
+    row, at, codes = row[keep], at[keep], rng.integers(0, 2**63, int(keep.sum()), dtype=np.uint64)
+    there = dict(zip(zip(row.tolist(), at.tolist()), codes))
+    found = list(zip(*(x.tolist() for x in S.doubled(row, at, codes, 7))))
+    assert [x[:2] for x in found] == [(r, i) for r, i in there if (r, i + 7) in there]
+    assert all(c == int(W.pair_codes(np.array([there[r, i]]), np.array([there[r, i + 7]]))[0]) for r, i, c in found)
+    assert [len(x) for x in S.doubled(row[:0], at[:0], codes[:0], 7)] == [0, 0, 0]
+
+
+def test_the_query_looks_up_every_window(spark, tmp_path, monkeypatch):
+    from veilframe.llm.queries import op1_substring_dedup
+
+    shared = " ".join(f"w{i}" for i in range(30))  # over 26, under one and a half times as many
+    rows = [(d, f"a{d} {shared} z{d}") for d in range(12)]
+    rows += [(100 + 2 * i + j, f"x{i}{j} " + " ".join(f"p{i}_{k}" for k in range(26))) for i in range(12) for j in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    survived, level = {}, S.repeated_longer
+
+    def noted(windows, below, length):
+        out = level(windows, below, length)
+        survived[length] = out.count()
+        return out
+    monkeypatch.setattr(S, "repeated_longer", noted)
+    op1_substring_dedup(spark, str(tmp_path)).collect()
+    assert survived == {26: 36, 52: 0}
