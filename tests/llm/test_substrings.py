@@ -341,3 +341,23 @@ def test_the_query_looks_up_every_window(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "repeated_longer", noted)
     op1_substring_dedup(spark, str(tmp_path)).collect()
     assert survived == {26: 36, 52: 0}
+
+
+@pytest.mark.parametrize("far", [1, 2**50])
+def test_order_by_code_then_document(far):
+    rng = np.random.default_rng(12)
+    h, g = rng.integers(0, 40, 500).astype(np.uint64), rng.integers(0, 2, 500).astype(np.uint32)
+    d = rng.integers(-9, 9, 500) * far
+    for check in (g, np.zeros(500, np.uint32), (h % np.uint64(2)).astype(np.uint32)):
+        order = S._by_code(h, check, d)
+        assert sorted(order.tolist()) == list(range(500))
+        assert (found := list(zip(h[order].tolist(), check[order].tolist(), d[order].tolist()))) == sorted(found)
+    assert len(S._by_code(h[:0], g[:0], d[:0])) == 0 and S._by_code(h[:1], g[:1], d[:1]).tolist() == [0]
+
+
+def test_a_task_answers_a_document_in_one_row(spark, frame):
+    texts = frame([(d, " ".join(f"w{i}" for i in range(200))) for d in (1, 2)], "doc_id long, text string").repartition(2, "doc_id")
+    sent = S.extended_windows(texts, S.repeated_seeds(texts, 13), 13, longer=False)
+    rows = S._met(S._dealt(sent), S._answer_later).where("codes IS NOT NULL").collect()
+    assert {r.doc for r in rows} == {2} and sum(len(r.codes) for r in rows) == 188
+    assert len(rows) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
