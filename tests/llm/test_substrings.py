@@ -355,9 +355,14 @@ def test_order_by_code_then_document(far):
     assert len(S._by_code(h[:0], g[:0], d[:0])) == 0 and S._by_code(h[:1], g[:1], d[:1]).tolist() == [0]
 
 
-def test_a_task_answers_a_document_in_one_row(spark, frame):
-    texts = frame([(d, " ".join(f"w{i}" for i in range(200))) for d in (1, 2)], "doc_id long, text string").repartition(2, "doc_id")
+def test_answers_are_as_many_rows_as_they_fill(spark, frame):
+    texts = frame([(d, " ".join(f"w{i}" for i in range(60))) for d in range(400)], "doc_id long, text string").repartition(2, "doc_id")
     sent = S.extended_windows(texts, S.repeated_seeds(texts, 13), 13, longer=False)
-    rows = S._met(S._dealt(sent), S._answer_later).where("codes IS NOT NULL").collect()
-    assert {r.doc for r in rows} == {2} and sum(len(r.codes) for r in rows) == 188
-    assert len(rows) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = S._met(S._dealt(sent), S._answer_later).collect()
+    told = [(d, r.first) for r in rows for d in r.docs]
+    assert set(told) == {(0, True), *((d, False) for d in range(1, 400))} and len(told) == 400 * 48
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(rows) <= len(told) / S.IN_ROW + 2 * parts * parts < 0.01 * len(told)
+    one = {r.doc: r for r in S._gathered(S._met(S._dealt(sent), S._answer_later)).collect()}
+    assert len(one) == 400 and len(one[0].firsts) == 48 and not one[0].codes
+    assert all(sorted(one[d].codes) == sorted(one[0].firsts) and not one[d].firsts for d in range(1, 400))
